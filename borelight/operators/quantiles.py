@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from borelight.operators.skew import (
     HOT_ROWS,
-    KNOTS,
-    broadcast_if_small,
-    cell_of,
+    broadcast_within,
+    cells_per_knot,
     hot_keys,
     knot_array,
     null_safe,
+    with_cell,
 )
 
 
@@ -43,15 +43,15 @@ def group_quantiles(
     n_hot = hot.count()
     if n_hot == 0:
         return df.groupBy(*keys).agg(*plain)
-    hot = broadcast_if_small(hot.select(*[F.col(k).alias(k + "_h") for k in keys], "_n"))
+    hot = broadcast_within(hot.select(*[F.col(k).alias(k + "_h") for k in keys], "_n"), n_hot)
     cond = null_safe(df, hot, keys, "_h")
-    big = _hot_quantiles(df.join(hot, cond, "left_semi"), keys, cols, probs, max_rows)
+    big = _hot_quantiles(df.join(hot, cond, "left_semi") if keys else df, keys, cols, probs, max_rows, n_hot)
     if not keys:
         return big
     return df.join(hot, cond, "left_anti").groupBy(*keys).agg(*plain).unionByName(big)
 
 
-def _hot_quantiles(df, keys, cols, probs, max_rows):
+def _hot_quantiles(df, keys, cols, probs, max_rows, n_hot):
     long = df.select(
         *keys,
         F.explode(
@@ -62,16 +62,17 @@ def _hot_quantiles(df, keys, cols, probs, max_rows):
     stats = long.groupBy(*ck).agg(
         F.count(F.lit(1)).alias("_n"), knot_array(F.col("_v")).alias("_knots")
     )
-    small = broadcast_if_small(
+    small = broadcast_within(
         stats.select(
             *[F.col(k).alias(k + "_s") for k in ck],
             "_n",
             "_knots",
-            (F.ceil(F.col("_n") / (max_rows * KNOTS)) * 8).cast("long").alias("_per"),
-        )
+            cells_per_knot(F.col("_n"), max_rows).alias("_per"),
+        ),
+        n_hot * len(cols),
     )
-    cells = long.join(small, null_safe(long, small, ck, "_s")).select(
-        *ck, "_v", "_n", cell_of(F.col("_v"), F.col("_knots"), F.col("_per")).alias("_cell")
+    cells = with_cell(long.join(small, null_safe(long, small, ck, "_s")), "_v", "_knots", "_per").select(
+        *ck, "_v", "_n", "_cell"
     )
     counts = cells.groupBy(*ck, "_cell").agg(
         F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")
@@ -96,7 +97,7 @@ def _hot_quantiles(df, keys, cols, probs, max_rows):
         .where(F.size("_ranks") > 0)
         .select(*[F.col(k).alias(k + "_t") for k in ck], F.col("_cell").alias("_cell_t"), "_start", "_ranks")
     )
-    need = broadcast_if_small(need)
+    need = broadcast_within(need, n_hot * len(cols) * len(probs) * 2)
     near = cells.join(need, null_safe(cells, need, [*ck, "_cell"], "_t"))
     vals = near.groupBy(*ck, "_cell", "_v").agg(
         F.count(F.lit(1)).alias("_c"), F.max("_start").alias("_start"), F.first("_ranks").alias("_ranks")

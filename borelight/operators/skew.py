@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 HOT_ROWS = 5_000_000
 BROADCAST_ROWS = 200_000
-KNOTS = 64
+KNOTS = 16
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -28,6 +28,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast when a known upper bound on the rows of `df` is small; otherwise leave it as it is."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def position(df: DataFrame, name: str) -> Column:
     """The ordering column as a double (timestamps as microseconds)."""
     if isinstance(df.schema[name].dataType, T.TimestampType):
@@ -39,18 +44,26 @@ def knot_array(pos: Column) -> Column:
     return F.percentile_approx(pos, [i / KNOTS for i in range(KNOTS + 1)], 2000)
 
 
-def cell_of(pos: Column, knots: Column, per_knot: Column) -> Column:
-    """Monotone cell number of `pos`: equal-width cells between neighbouring knots."""
-    i = F.greatest(
-        F.lit(1),
-        F.least(F.size(knots) - 1, F.size(F.filter(knots, lambda k: k <= pos))),
-    )
-    lo, hi = F.element_at(knots, i), F.element_at(knots, i + 1)
-    part = F.when(hi > lo, F.least(F.greatest((pos - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0)))
-    step = F.least(F.floor(F.coalesce(part, F.lit(0.0)) * per_knot), per_knot - 1)
-    return F.when(pos.isNull(), F.lit(-1).cast("long")).otherwise(
-        ((i - 1) * per_knot + step).cast("long")
+def cells_per_knot(n: Column, max_rows: int) -> Column:
+    return (F.ceil(n / (max_rows * KNOTS)) * 8).cast("long")
+
+
+def with_cell(df: DataFrame, pos: str, knots: str, per_knot: str, name: str = "_cell") -> DataFrame:
+    """Add the monotone cell number of column `pos`: equal-width cells between neighbouring knots.
+
+    NULL without knots; unknown positions get -1. The knot number is its own projection, so it is
+    computed once per row.
+    """
+    below = F.size(F.filter(knots, lambda k: k <= F.col(pos)))
+    df = df.withColumn("_knot", F.greatest(F.lit(1), F.least(F.size(knots) - 1, below)))
+    lo, hi = F.element_at(knots, F.col("_knot")), F.element_at(knots, F.col("_knot") + 1)
+    part = F.when(hi > lo, F.least(F.greatest((F.col(pos) - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0)))
+    per = F.col(per_knot)
+    step = F.least(F.floor(F.coalesce(part, F.lit(0.0)) * per), per - 1)
+    cell = F.when(F.col(pos).isNull(), F.lit(-1).cast("long")).otherwise(
+        ((F.col("_knot") - 1) * per + step).cast("long")
     )
+    return df.withColumn(name, F.when(per.isNotNull(), cell)).drop("_knot")
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> Column:
@@ -94,29 +107,33 @@ def framed(
     """
     pos = position(df, order)
     big = hot_keys(df, keys, max_rows)
-    n_hot = big.count()
+    size = big.agg(
+        F.count(F.lit(1)).alias("keys"), F.sum(cells_per_knot(F.col("_n"), max_rows) * KNOTS + 1).alias("cells")
+    ).first()
+    n_hot = size["keys"]
     if n_hot == 0:
         return Framed(df, list(keys), False)
 
     sfx = "_h"
-    big = big.select(*[F.col(k).alias(k + sfx) for k in keys], "_n")
-    big = F.broadcast(big) if n_hot <= BROADCAST_ROWS else big
+    big = broadcast_within(big.select(*[F.col(k).alias(k + sfx) for k in keys], "_n"), n_hot)
     hot_rows = df.join(big, null_safe(df, big, keys, sfx)).select(
         *keys, pos.alias("_pos"), "_n"
     )
     knots = hot_rows.groupBy(*keys).agg(
         F.max("_n").alias("_n"), knot_array(F.col("_pos")).alias("_knots")
     )
-    knots = knots.select(
-        *[F.col(k).alias(k + sfx) for k in keys],
-        "_knots",
-        (F.ceil(F.col("_n") / (max_rows * KNOTS)) * 8).cast("long").alias("_per"),
+    knots = broadcast_within(
+        knots.select(
+            *[F.col(k).alias(k + sfx) for k in keys],
+            "_knots",
+            cells_per_knot(F.col("_n"), max_rows).alias("_per"),
+        ),
+        n_hot,
+    )
+    tagged = df.join(knots, null_safe(df, knots, keys, sfx), "left").withColumn("_pos", pos)
+    tagged = with_cell(tagged, "_pos", "_knots", "_per").drop(
+        *[k + sfx for k in keys], "_knots", "_per", "_pos"
     )
-    knots = F.broadcast(knots) if n_hot <= BROADCAST_ROWS else knots
-    tagged = df.join(knots, null_safe(df, knots, keys, sfx), "left").withColumn(
-        "_cell",
-        F.when(F.col("_per").isNotNull(), cell_of(pos, F.col("_knots"), F.col("_per"))),
-    ).drop(*[k + sfx for k in keys], "_knots", "_per")
 
     cells = (
         tagged.where(F.col("_cell").isNotNull())
@@ -143,7 +160,7 @@ def framed(
         "_own",
         F.array_distinct(F.concat(*dest)).alias("_dest"),
     )
-    cells = broadcast_if_small(cells)
+    cells = broadcast_within(cells, size["cells"])
     out = tagged.join(cells, null_safe(tagged, cells, keys + ["_cell"], sfx), "left")
     out = (
         out.drop(*[k + sfx for k in keys], "_cell" + sfx)
@@ -192,7 +209,6 @@ def run_starts(
         carry = per_chunk.select(
             *[F.col(k).alias(k + "_c") for k in fr.keys], F.max("_last").over(back).alias("_carry")
         )
-        carry = broadcast_if_small(carry)
         rows = rows.join(carry, null_safe(rows, carry, fr.keys, "_c"), "left")
         rows = rows.withColumn(name, F.coalesce(name, "_carry"))
         rows = rows.drop("_carry", "_chunk", *[k + "_c" for k in fr.keys])
