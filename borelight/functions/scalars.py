@@ -24,13 +24,15 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     half = F.pow(F.sin((lat2 - lat1) / 2), 2) + F.cos(lat1) * F.cos(lat2) * F.pow(
         F.sin((lon2 - lon1) / 2), 2
     )
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(half)))
+    # least and greatest pass over NULL, so an unknown position is kept out of them
+    return F.when(half.isNotNull(), F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(half))))
 
 
 def great_circle_km(lat1, lon1, lat2, lon2) -> Column:
     lat1, lon1, lat2, lon2 = (F.radians(col(c)) for c in (lat1, lon1, lat2, lon2))
     cosine = F.cos(lat1) * F.cos(lat2) * F.cos(lon2 - lon1) + F.sin(lat1) * F.sin(lat2)
-    return F.lit(EARTH_RADIUS_KM) * F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
+    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
+    return F.when(cosine.isNotNull(), F.lit(EARTH_RADIUS_KM) * angle)
 
 
 def exp_decay(x, scale: float) -> Column:

@@ -184,13 +184,11 @@ def is_negated(prefix, cues=NEGATION_TERMS, window: int = NEGATION_WINDOW_WORDS)
 def routine_span(sentence, start, length, phrases=ROUTINE_TERMS) -> Column:
     """First routine phrase one of whose occurrences overlaps [start, start+length); else NULL."""
     s, end = col(start), col(start) + col(length)
-    hits = [
-        F.when(
-            F.exists(positions_of(sentence, p), lambda at, n=len(p): (at < end) & (s < at + n)), F.lit(p)
-        )
-        for p in phrases
-    ]
-    return F.coalesce(*hits)
+
+    def overlaps(phrase):
+        return F.exists(positions_of(sentence, phrase), lambda at: (at < end) & (s < at + len(phrase)))
+
+    return F.coalesce(*[F.when(overlaps(p), F.lit(p)) for p in phrases])
 
 
 def actions_in(window, verbs=ACTION_TERMS, whole_words: bool = True) -> Column:

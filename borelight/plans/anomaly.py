@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from borelight.operators.clean import uninformative_channels
+from borelight.operators.materialise import materialised
 from borelight.operators.quantiles import group_quantiles
 from borelight.operators.skew import HOT_ROWS, with_one_row
 from borelight.operators.topk import top_deviations
@@ -209,7 +210,7 @@ def score_anomalies(
     usable = [c for c in have if c not in flat]
     rows = rolling_time_stats(telemetry, usable, windows, well, at, ties, max_rows)
     features = time_feature_names(usable, windows)
-    active = rows.where(F.col("operations_active"))
+    active = materialised(rows.where(F.col("operations_active")))
     forest = fit_isolation_forest(active, features, [well, at, *(ties or [])], max_rows=max_rows, **fit_options)
     scored = deviation_attribution(score_isolation_forest(active, forest), features, max_rows=max_rows)
     keep = [c for c in telemetry.columns]

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from borelight.functions import scalars as S
 from borelight.operators.joins import formations_in_window
+from borelight.operators.materialise import materialised
 from borelight.operators.profile import corpus_status
 from borelight.operators.quantiles import group_median
-from borelight.operators.skew import HOT_ROWS, broadcast_if_small, with_one_row
+from borelight.operators.skew import HOT_ROWS, broadcast_if_small, broadcast_within, with_one_row
 from borelight.operators.topk import top_k_per_query
 from borelight.operators.windows import segment_rows
 from borelight.params import ANALOGUE_WEIGHTS, BEHAVIOUR_SCALES, DEFAULTS
@@ -30,9 +31,9 @@ class SearchUnavailable(RuntimeError):
     """The passage index is not there or not built."""
 
 
-def _query_blocks(queries: DataFrame, cols: list[str]) -> list[pd.DataFrame]:
+def _query_blocks(queries: DataFrame, cols: list[str], n: int | None = None) -> list[pd.DataFrame]:
     """Queries in blocks of about QUERY_BLOCK rows; more queries mean more passes, not larger blocks."""
-    n = queries.count()
+    n = queries.count() if n is None else n
     blocks = max(1, -(-n // QUERY_BLOCK))
     q = queries.select(*cols)
     if blocks == 1:
@@ -235,10 +236,10 @@ def segment_vectors(
 # ---------------------------------------------------------------- analogue ranking
 
 
-def query_vectors(queries: DataFrame, segments: DataFrame) -> DataFrame:
+def query_vectors(queries: DataFrame, segments: DataFrame, n_queries: int) -> DataFrame:
     """Vector of the query well's segment holding the depth (lowest top), else of the nearest segment."""
-    q = broadcast_if_small(
-        queries.select("query_id", F.col("well_id").alias("_well"), F.col("depth_m").alias("_depth"))
+    q = broadcast_within(
+        queries.select("query_id", F.col("well_id").alias("_well"), F.col("depth_m").alias("_depth")), n_queries
     )
     top, base = F.col("segment_top_m"), F.col("segment_base_m")
     inside = (top <= F.col("_depth")) & (F.coalesce(base, F.col("_depth")) >= F.col("_depth"))
@@ -253,7 +254,9 @@ def query_vectors(queries: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
-def best_segments(queries: DataFrame, wells: DataFrame, segments: DataFrame) -> DataFrame:
+def best_segments(
+    queries: DataFrame, wells: DataFrame, segments: DataFrame, n_queries: int | None = None
+) -> DataFrame:
     """Per (query, other well) the segment most similar to the query vector, or nearest in depth if the
     query has none; wells without segments give a row of NULLs.
 
@@ -272,7 +275,7 @@ def best_segments(queries: DataFrame, wells: DataFrame, segments: DataFrame) ->
         "segment_base_m double" + "".join(f", {n} string" for n in names)
     )
     parts = []
-    for block in _query_blocks(queries, ["query_id", "well_id", "depth_m", "embedding"]):
+    for block in _query_blocks(queries, ["query_id", "well_id", "depth_m", "embedding"], n_queries):
         parts.append(rows.mapInArrow(_segment_kernel(block, names), schema))
     found = reduce(DataFrame.unionByName, parts)
     rest = ["geology", "segment_top_m", "segment_base_m", *names]
@@ -366,17 +369,18 @@ def rank_analogues(
     latitude, longitude, total_depth_m. `segments`: well_id, segment_top_m, segment_base_m, embedding
     and optionally the dominant names. `profiles`: well_id, profile map.
     """
+    n_queries, n_wells = queries.count(), wells.count()
     own = wells.select(
         "well_id", F.col("latitude").alias("_qlat"), F.col("longitude").alias("_qlon"),
         F.col("total_depth_m").alias("_qtd"),
     )
-    q = broadcast_if_small(queries.select("query_id", "well_id", "depth_m"))
-    q = own.join(q, "well_id").select(
+    q = own.join(broadcast_within(queries.select("query_id", "well_id", "depth_m"), n_queries), "well_id").select(
         "query_id", "well_id", F.coalesce("depth_m", "_qtd", F.lit(0.0)).alias("depth_m"), "_qlat", "_qlon"
     )
-    vec = query_vectors(q, segments)
-    located = q.join(vec, "query_id", "left")
-    pairs = best_segments(located, wells, segments)
+    # one row per query: written once, read by the vector scan and by every query-side join
+    located = materialised(q.join(query_vectors(q, segments, n_queries), "query_id", "left"))
+    q = located.drop("embedding")
+    pairs = best_segments(located, wells, segments, n_queries)
 
     window = q.select(
         "query_id", "well_id",
@@ -392,7 +396,7 @@ def rank_analogues(
         .join(window.select("query_id", "lo", "hi"), "query_id")
         .drop("well_id")
     )
-    rows = pairs.join(broadcast_if_small(q_side), "query_id")
+    rows = pairs.join(broadcast_within(q_side, n_queries), "query_id")
     rows = rows.withColumn("_lo", F.coalesce("segment_top_m", "lo")).withColumn(
         "_hi", F.coalesce("segment_base_m", "hi")
     )
@@ -408,8 +412,8 @@ def rank_analogues(
         "left",
     ).drop("_sw", "_slo", "_shi")
     others = wells.select("well_id", "well_name", "latitude", "longitude", "total_depth_m")
-    rows = rows.join(broadcast_if_small(others), "well_id").join(
-        broadcast_if_small(profiles.select("well_id", F.col("profile").alias("_cp"))), "well_id", "left"
+    rows = rows.join(broadcast_within(others, n_wells), "well_id").join(
+        broadcast_within(profiles.select("well_id", F.col("profile").alias("_cp")), n_wells), "well_id", "left"
     )
 
     def some(a, b):

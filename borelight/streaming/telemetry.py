@@ -15,9 +15,13 @@ from borelight.plans.alerts import match_alert, qualifying
 from borelight.plans.anomaly import Forest, score_isolation_forest
 
 
-def stream_telemetry(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
+def stream_telemetry(
+    spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, fmt: str = "parquet", pattern: str | None = None,
+) -> DataFrame:
     """Stored rows as a stream, file by file, nothing made up."""
     r = spark.readStream.format(fmt).schema(schema)
+    if pattern:
+        r = r.option("pathGlobFilter", pattern)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
     return r.load(path)
