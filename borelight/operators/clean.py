@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -274,3 +276,8 @@ def filter_alerts(df: DataFrame, well=None, status=None, level=None, limit: int
 def absent_channels(df: DataFrame, cols: list[str]) -> DataFrame:
     """Channels without a single value in the slice."""
     return unpivot_counts(df, {c: F.count(c) for c in cols}, "channel", "known").where("known = 0").select("channel")
+
+
+def union_frames(*frames: DataFrame) -> DataFrame:
+    """All rows of per-log, per-well or per-table frames; columns a frame lacks are NULL."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
