@@ -256,61 +256,3 @@ def nan_to_null(c) -> Column:
 
 def round_half_even(x) -> Column:
     return F.bround(col(x), 0)
-
-
-
-def utm_to_wgs84(easting, northing, zone: int = 31) -> Column:
-    """Struct (latitude, longitude) on WGS84 from projected metres on the European 1950 datum.
-
-    Inverse transverse Mercator by its series on the International 1924 ellipsoid, then a
-    three-parameter geocentric shift. NULL stays NULL.
-    """
-    a, f = 6378388.0, 1 / 297.0
-    e2 = f * (2 - f)
-    ep2 = e2 / (1 - e2)
-    k0 = 0.9996
-    e1 = (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
-    x = col(easting) - F.lit(500000.0)
-    mu = col(northing) / F.lit(k0 * a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
-    phi1 = (
-        mu
-        + F.sin(2 * mu) * (3 * e1 / 2 - 27 * e1**3 / 32)
-        + F.sin(4 * mu) * (21 * e1**2 / 16 - 55 * e1**4 / 32)
-        + F.sin(6 * mu) * (151 * e1**3 / 96)
-        + F.sin(8 * mu) * (1097 * e1**4 / 512)
-    )
-    s, c, t = F.sin(phi1), F.cos(phi1), F.tan(phi1)
-    c1, t1 = ep2 * c * c, t * t
-    den = 1 - e2 * s * s
-    n1 = F.lit(a) / F.sqrt(den)
-    r1 = F.lit(a * (1 - e2)) / F.pow(den, 1.5)
-    d = x / (n1 * k0)
-    lat = phi1 - (n1 * t / r1) * (
-        d * d / 2
-        - (5 + 3 * t1 + 10 * c1 - 4 * c1 * c1 - 9 * ep2) * F.pow(d, 4) / 24
-        + (61 + 90 * t1 + 298 * c1 + 45 * t1 * t1 - 252 * ep2 - 3 * c1 * c1) * F.pow(d, 6) / 720
-    )
-    lon = F.radians(F.lit(zone * 6.0 - 183.0)) + (
-        d
-        - (1 + 2 * t1 + c1) * F.pow(d, 3) / 6
-        + (5 - 2 * c1 + 28 * t1 - 3 * c1 * c1 + 8 * ep2 + 24 * t1 * t1) * F.pow(d, 5) / 120
-    ) / c
-    nn = F.lit(a) / F.sqrt(1 - e2 * F.sin(lat) * F.sin(lat))
-    # mean published shift European 1950 -> WGS84, metres
-    gx = nn * F.cos(lat) * F.cos(lon) + F.lit(-87.0)
-    gy = nn * F.cos(lat) * F.sin(lon) + F.lit(-98.0)
-    gz = nn * F.lit(1 - e2) * F.sin(lat) + F.lit(-121.0)
-    wa, wf = 6378137.0, 1 / 298.257223563
-    we2 = wf * (2 - wf)
-    wb = wa * (1 - wf)
-    p = F.sqrt(gx * gx + gy * gy)
-    th = F.atan2(gz * wa, p * wb)
-    out_lat = F.atan2(
-        gz + F.lit(we2 / (1 - we2) * wb) * F.pow(F.sin(th), 3),
-        p - F.lit(we2 * wa) * F.pow(F.cos(th), 3),
-    )
-    known = col(easting).isNotNull() & col(northing).isNotNull()
-    return F.struct(
-        F.when(known, F.degrees(out_lat)).alias("latitude"),
-        F.when(known, F.degrees(F.atan2(gy, gx))).alias("longitude"),
-    )

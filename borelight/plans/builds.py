@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from borelight.functions.scalars import join_name, utm_to_wgs84
+from borelight.functions.scalars import join_name
 from borelight.operators.clean import (
     decimate_by_depth,
     filter_logs,
@@ -20,6 +20,7 @@ from borelight.operators.clean import (
     validate_positions,
 )
 from borelight.operators.joins import attach_positions, recover_depths
+from borelight.operators.positions import utm_to_wgs84
 from borelight.operators.quantiles import group_median
 from borelight.operators.skew import HOT_ROWS, broadcast_if_small
 from borelight.operators.windows import (
@@ -78,20 +79,30 @@ def channel_columns(logs: DataFrame, channel_map=CHANNEL_MAP, sentinels=SENTINEL
     The first listed mnemonic the log has as a column is used, filled or not, so no shuffle is needed.
     """
     scale, shift = _lookup({u: r[1] for u, r in units.items()}), _lookup({u: r[2] for u, r in units.items()})
-    own_null = F.col("null_value").try_cast("double")
-
-    def channel(names):
-        pick = F.coalesce(*[F.when(F.map_contains_key("values", m), F.lit(m)) for m in names])
-        v = F.trim(F.col("values")[pick]).try_cast("double")
-        bad = F.isnan(v) | v.isin(*[float(s) for s in sentinels]) | F.coalesce(v == own_null, F.lit(False))
-        unit = F.col("units")[pick]
-        return F.when(~bad, F.coalesce(v * scale[unit] + shift[unit], v))
-
     at = F.trim(F.col("values")[F.coalesce("index_curve", F.lit("Time"))]).try_cast("timestamp")
-    return logs.select(
-        "well_name", at.alias("timestamp"), F.col("log_name").alias("source_log"), "source_file",
-        *[channel(names).alias(c) for c, names in channel_map.items()],
+    keep = ["well_name", "timestamp", "source_log", "source_file"]
+    # the mnemonic, its number and the cleaned value are three projections, so nothing is worked out twice
+    rows = logs.select(
+        "well_name", at.alias("timestamp"), F.col("log_name").alias("source_log"), "source_file", "values", "units",
+        F.col("null_value").try_cast("double").alias("_null"),
+        *[
+            F.coalesce(*[F.when(F.map_contains_key("values", m), F.lit(m)) for m in names]).alias(f"{c}#")
+            for c, names in channel_map.items()
+        ],
     ).where(F.col("timestamp").isNotNull())
+    rows = rows.select(
+        *keep, "_null",
+        *[F.trim(F.col("values")[F.col(f"{c}#")]).try_cast("double").alias(c) for c in channel_map],
+        *[F.col("units")[F.col(f"{c}#")].alias(f"{c}#") for c in channel_map],
+    )
+
+    def cleaned(c):
+        v = F.col(c)
+        bad = F.isnan(v) | v.isin(*[float(s) for s in sentinels]) | F.coalesce(v == F.col("_null"), F.lit(False))
+        unit = F.col(f"{c}#")
+        return F.when(~bad, F.coalesce(v * scale[unit] + shift[unit], v)).alias(c)
+
+    return rows.select(*keep, *[cleaned(c) for c in channel_map])
 
 
 @dataclass
@@ -140,12 +151,10 @@ def build_wells(
     max_rows: int = HOT_ROWS,
 ) -> WellTables:
     """Well table with capability flags and provenance, and the tables that hang off it."""
-    mid = group_median(logs, [well], {east: "_e", north: "_n"}, max_rows)
+    mid = group_median(logs, [well], {east: "_east", north: "_north"}, max_rows)
     reach = logs.groupBy(well).agg(F.max(depth).alias("total_depth_md_m"))
-    place = utm_to_wgs84("_e", "_n", zone)
-    logged = reach.join(mid, well).select(
-        F.col(well).alias("well_name"), "total_depth_md_m", place["latitude"].alias("latitude"),
-        place["longitude"].alias("longitude"), F.lit(True).alias("has_logs"), F.lit(False).alias("has_telemetry"),
+    logged = utm_to_wgs84(reach.join(mid, well), "_east", "_north", zone).select(
+        F.col(well).alias("well_name"), "total_depth_md_m", "latitude", "longitude", F.lit(True).alias("has_logs"), F.lit(False).alias("has_telemetry"),
         F.lit(False).alias("has_trajectory"), F.lit(log_source).alias("source_dataset"),
     )
     parts = [logged]

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from borelight.functions.scalars import decode_dir, utm_to_wgs84
+from borelight.functions.scalars import decode_dir
 from borelight.operators.clean import nan_as_null
 from borelight.operators.joins import known_wells_only
+from borelight.operators.positions import utm_to_wgs84
 from borelight.params import LOG_FILE_ORDER, LOG_TEXT_COLUMNS
 
 
@@ -54,9 +55,9 @@ def read_positions(
     rest = [c for c in both.columns if c != "join_name"]
     one = both.groupBy("join_name").agg(F.min_by(F.struct(*rest), F.struct("_table", "_line")).alias("_r"))
     one = one.select("join_name", "_r.*")
-    place = utm_to_wgs84(east, north, zone)
+    one = utm_to_wgs84(one, east, north, zone)
     return one.select(
-        "join_name", place["latitude"].alias("latitude"), place["longitude"].alias("longitude"),
+        "join_name", "latitude", "longitude",
         *[F.col(c).alias(a) for c, a in extra.items() if c in one.columns],
     )
 
@@ -252,21 +253,43 @@ def read_witsml_bha_runs(spark: SparkSession, path) -> DataFrame:
     )
 
 
+# Directory names that tell the object type.
+OBJECT_TYPES = (
+    "log", "trajectory", "message", "bhaRun", "wbGeometry", "tubular", "rig", "_wellInfo", "_wellboreInfo",
+)
+
+
+def find_objects(spark: SparkSession, root: str, object_type: str, levels: int = 4) -> list[str]:
+    """Directories of one object type below `root`.
+
+    Spark's own listing passes over names with a leading underscore, so those have to be named.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for depth in range(levels + 1):
+        hits = fs.globStatus(hadoop.Path(top, "/".join(["*"] * depth + [object_type])))
+        found += [str(h.getPath()) for h in (hits or [])]
+    return sorted(set(found))
+
+
 def witsml_object_inventory(spark: SparkSession, root: str) -> DataFrame:
     """XML files per well directory and object type, from the listing alone."""
+    hidden = [p for t in OBJECT_TYPES if t.startswith("_") for p in find_objects(spark, root, t)]
     files = (
         spark.read.format("binaryFile")
         .options(pathGlobFilter="*.xml", recursiveFileLookup="true")
-        .load(root)
+        .load([root, *hidden])
         .select("path", "length")
     )
     base = "/" + root.strip("/") + "/"
     rel = F.element_at(F.split("path", rf"\Q{base}\E", 2), 2)
-    parts = F.split(F.replace(rel, F.lit("%24"), F.lit("$")), "/")
-    kinds = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    parts = F.split(F.replace(F.replace(rel, F.lit("%24"), F.lit("$")), F.lit("%20"), F.lit(" ")), "/")
+    kind = F.filter(parts, lambda p: p.isin(*OBJECT_TYPES))[0]
     return (
-        files.select(decode_dir(parts[0]).alias("well_name"), F.explode(F.array_distinct(kinds)).alias("object_type"), "length")
-        .where(~F.col("object_type").rlike(r"^\d+$"))
+        files.select(decode_dir(parts[0]).alias("well_name"), kind.alias("object_type"), "length")
+        .where(F.col("object_type").isNotNull())
         .groupBy("well_name", "object_type")
         .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
     )

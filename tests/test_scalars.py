@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from borelight.functions import scalars as S
 from borelight.functions import vectors as V
 from borelight.operators import clean as C
+from borelight.operators.positions import utm_to_wgs84
 from conftest import col
 
 
@@ -123,9 +124,9 @@ def test_narrative(spark):
 
 def test_position_shift(spark):
     """Projected metres near 58.44 N 1.89 E come back within tens of metres."""
-    r = spark.range(1).select(S.utm_to_wgs84(F.lit(435050.0), F.lit(6478550.0)).alias("p")).first()["p"]
-    assert r["latitude"] == pytest.approx(58.441, abs=0.02) and r["longitude"] == pytest.approx(1.886, abs=0.02)
-    none = spark.range(1).select(S.utm_to_wgs84(F.lit(None).cast("double"), F.lit(1.0)).alias("p")).first()["p"]
+    df = spark.createDataFrame([(435050.0, 6478550.0), (None, 1.0)], "e double, n double")
+    near, none = utm_to_wgs84(df, "e", "n").collect()
+    assert near["latitude"] == pytest.approx(58.441, abs=0.02) and near["longitude"] == pytest.approx(1.886, abs=0.02)
     assert none["latitude"] is None and none["longitude"] is None
 
 
