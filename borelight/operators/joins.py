@@ -55,7 +55,8 @@ def nearest_join(
         lo = F.floor((F.col("_p") - tolerance) / width).cast("long")
         hi = F.floor((F.col("_p") + tolerance) / width).cast("long")
         r = r.withColumn("_b", F.explode(F.sequence(lo, hi)))
-    nowhere = F.lit(-(2**62)) + F.pmod(F.xxhash64(*q_cols), F.lit(4096))
+    flat = [f.name for f in queries.schema.fields if not isinstance(f.dataType, T.MapType)]
+    nowhere = F.lit(-(2**62)) + F.pmod(F.xxhash64(*flat), F.lit(4096))
     q = queries.select(
         *on,
         q_pos.alias("_p"),
@@ -162,17 +163,16 @@ def telemetry_near_depth(
 
     Adds `payload` and `gap`; `gap` stays NULL for rows found by time.
     """
-    known = queries.where(F.col(q_depth).isNotNull())
-    unknown = queries.where(F.col(q_depth).isNull())
     prefer = F.unix_micros(F.col(at)).cast("double")
-    near = nearest_join(known, telemetry, [well], q_depth, t_depth, payload, width, prefer=prefer)
-    last = telemetry.groupBy(well).agg(F.max_by(F.struct(*payload), at).alias("_row"))
-    newest = unknown.join(last, well, "left").select(
-        *[unknown[c] for c in queries.columns],
-        *[F.col(f"_row.{c}").alias(c) for c in payload],
-        F.lit(None).cast("double").alias("gap"),
+    near = nearest_join(queries, telemetry, [well], q_depth, t_depth, payload, width, prefer=prefer)
+    last = telemetry.groupBy(F.col(well).alias("_lw")).agg(F.max_by(F.struct(*payload), at).alias("_last"))
+    out = near.join(last, F.col(well) == F.col("_lw"), "left")
+    none = F.col(q_depth).isNull()
+    return out.select(
+        *queries.columns,
+        *[F.when(none, F.col(f"_last.{c}")).otherwise(F.col(c)).alias(c) for c in payload],
+        "gap",
     )
-    return near.unionByName(newest)
 
 
 def near_within(

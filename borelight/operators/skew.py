@@ -33,6 +33,18 @@ def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a file scan with fewer partitions than cores more of them before costly per-row work.
+
+    Large tables have more partitions than cores and pass through; so do plans with a shuffle of their own.
+    """
+    run = df._jdf.queryExecution()
+    if df.isStreaming or run.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if run.toRdd().getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def position(df: DataFrame, name: str) -> Column:
     """The ordering column as a double (timestamps as microseconds)."""
     if isinstance(df.schema[name].dataType, T.TimestampType):

@@ -228,10 +228,15 @@ def segment_rows(
     depth: str = "depth",
     length: float = DEFAULTS.segment_length_m,
     stride: float = DEFAULTS.segment_stride_m,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows repeated once per overlapping depth segment they fall in (`segment` numbers them per well)."""
-    ends = df.groupBy(well).agg(F.min(depth).alias("_d0"), F.max(depth).alias("_d1"))
-    ends = broadcast_if_small(ends.withColumnRenamed(well, "_well"))
+    """Rows repeated once per overlapping depth segment they fall in (`segment` numbers them per well).
+
+    `ends` may give the depth range of every well (columns well, _d0, _d1) when it is known already.
+    """
+    if ends is None:
+        ends = broadcast_if_small(df.groupBy(well).agg(F.min(depth).alias("_d0"), F.max(depth).alias("_d1")))
+    ends = ends.withColumnRenamed(well, "_well")
     rel = F.col(depth) - F.col("_d0")
     lo = F.greatest(F.lit(0).cast("long"), F.floor((rel - length) / stride).cast("long") + 1)
     hi = F.floor(rel / stride).cast("long")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from borelight.operators.clean import uninformative_channels
 from borelight.operators.materialise import materialised
 from borelight.operators.quantiles import group_quantiles
-from borelight.operators.skew import HOT_ROWS, with_one_row
+from borelight.operators.skew import HOT_ROWS, spread, with_one_row
 from borelight.operators.topk import top_deviations
 from borelight.operators.windows import rolling_time_stats, score_range_normalise, time_feature_names
 from borelight.params import ANOMALY_CHANNELS, DEFAULTS
@@ -168,6 +168,7 @@ def _score(df: DataFrame, forest: Forest, name: str) -> DataFrame:
             total += depth[at]
         return pd.Series(-np.power(2.0, -total / (len(parts) * norm if norm else 1.0)))
 
+    df = spread(df)
     x = F.array(*_prepared(df, forest.features, forest.centre, forest.mean, forest.scale))
     return df.withColumn(name, score(x))
 

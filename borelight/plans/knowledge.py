@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from borelight.functions import text as X
 from borelight.functions.vectors import check_dimension
 from borelight.operators.joins import new_rows_only
-from borelight.operators.skew import broadcast_if_small
+from borelight.operators.skew import broadcast_if_small, spread
 from borelight.operators.windows import chunk_numbering
 from borelight.params import (
     ACTION_TERMS,
@@ -51,6 +51,7 @@ class Knowledge:
 
 
 def _readable(pages: DataFrame) -> DataFrame:
+    pages = spread(pages, "document_id", "page_number")
     return pages.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
 
 

@@ -19,7 +19,13 @@ from borelight.operators.joins import formations_in_window
 from borelight.operators.materialise import materialised
 from borelight.operators.profile import corpus_status
 from borelight.operators.quantiles import group_median
-from borelight.operators.skew import HOT_ROWS, broadcast_if_small, broadcast_within, with_one_row
+from borelight.operators.skew import (
+    HOT_ROWS,
+    broadcast_if_small,
+    broadcast_within,
+    spread,
+    with_one_row,
+)
 from borelight.operators.topk import top_k_per_query
 from borelight.operators.windows import segment_rows
 from borelight.params import ANALOGUE_WEIGHTS, BEHAVIOUR_SCALES, DEFAULTS
@@ -69,7 +75,7 @@ def nearest_vectors(
     keep = candidate_pool or k
     kind = items.schema[item_id].dataType.simpleString()
     q_kind = queries.schema["query_id"].dataType.simpleString()
-    rows = items.where(F.col(vector).isNotNull()).select(item_id, vector)
+    rows = spread(items.where(F.col(vector).isNotNull()).select(item_id, vector))
     parts = []
     for block in _query_blocks(queries, ["query_id", vector]):
         q_ids = block["query_id"].to_numpy()
@@ -156,21 +162,29 @@ def segment_features(
     max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Unscaled features per depth segment: mean, deviation and median per curve, thickness, mid depth."""
-    rows = segment_rows(df.select(well, depth, *curves), well, depth, length, stride)
-    stats = rows.groupBy(well, "segment").agg(
+    ends = df.groupBy(well).agg(
+        F.min(depth).alias("_d0"), F.max(depth).alias("_d1"), F.count(F.lit(1)).alias("_n")
+    )
+    size = ends.agg(F.count(F.lit(1)).alias("wells"), F.max("_n").alias("rows")).first()
+    rows = segment_rows(
+        df.select(well, depth, *curves), well, depth, length, stride, broadcast_within(ends.drop("_n"), size["wells"])
+    )
+    aggs = [
         F.min(depth).alias("segment_top_m"),
         F.max(depth).alias("segment_base_m"),
         F.count(F.lit(1)).alias("sample_count"),
         *[F.avg(c).alias(f"{c}_mean") for c in curves],
-        *[
-            F.when(F.count(c) == 1, F.lit(0.0)).otherwise(F.stddev_samp(c)).alias(f"{c}_std")
-            for c in curves
-        ],
-    ).where(F.col("sample_count") >= min_samples)
-    mids = group_median(rows, [well, "segment"], {c: f"{c}_median" for c in curves}, max_rows)
+        *[F.when(F.count(c) == 1, F.lit(0.0)).otherwise(F.stddev_samp(c)).alias(f"{c}_std") for c in curves],
+    ]
+    if (size["rows"] or 0) <= max_rows:
+        # no well is too large, so no segment is: everything in one aggregation
+        seg = rows.groupBy(well, "segment").agg(*aggs, *[F.median(c).alias(f"{c}_median") for c in curves])
+    else:
+        mids = group_median(rows, [well, "segment"], {c: f"{c}_median" for c in curves}, max_rows)
+        seg = rows.groupBy(well, "segment").agg(*aggs).join(mids, [well, "segment"])
     top, base = F.col("segment_top_m"), F.col("segment_base_m")
     return (
-        stats.join(mids, [well, "segment"])
+        seg.where(F.col("sample_count") >= min_samples)
         .withColumn("segment_thickness_norm", (base - top) / depth_scale)
         .withColumn("segment_middepth_norm", (top + base) / 2.0 / depth_scale)
     )
@@ -227,7 +241,8 @@ def segment_vectors(
 ) -> DataFrame:
     """Scaled segment vectors, with the dominant names when the name columns are given."""
     seg = segment_features(df, curves, well, depth, length, stride, min_samples, depth_scale, max_rows)
-    out = scaled_vectors(seg, feature_names(curves), clip)
+    # one row per segment, read by the corpus statistics and by the scaling
+    out = scaled_vectors(materialised(seg), feature_names(curves), clip)
     if group and formation:
         out = out.join(dominant_names(df, well, depth, group, formation, length, stride), [well, "segment"], "left")
     return out
