@@ -47,7 +47,7 @@ def q_nearest_vectors(s, d):
 @query(
     "WITH q AS (SELECT b.item_id AS query_id, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id), c AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 5 <> 0), s AS (SELECT query_id, vec_id AS chunk_id, "
     f"{DOT} AS x FROM q, c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, chunk_id) AS r FROM s) SELECT query_id, chunk_id, round(x, 4) AS similarity, CAST(r AS INT) AS rank, d.source AS title, s.s_name AS "
-    "well_name FROM r LEFT JOIN documents d ON d.doc_id = chunk_id LEFT JOIN supplier s ON s.s_suppkey = chunk_id % 150 WHERE r <= 10 AND x >= 0.25"
+    "well_name FROM r LEFT JOIN documents d ON d.doc_id = chunk_id LEFT JOIN supplier s ON s.s_suppkey = d.doc_id % 150 WHERE r <= 10 AND x >= 0.25"
 )
 def q_search_passages(s, d):
     v = F.col("vec_id")
