@@ -123,7 +123,7 @@ def recover_depths(
     hole: str = "hole_depth_m",
     reported: str | None = None,
     tolerance_s: float = 600.0,
-    piece_s: float = 86400.0,
+    piece_s: float = 14400.0,
 ) -> DataFrame:
     """Give each message the depth of the telemetry row nearest in time, within the tolerance.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from borelight.operators.clean import uninformative_channels
 from borelight.operators.materialise import materialised
 from borelight.operators.quantiles import group_quantiles
-from borelight.operators.skew import HOT_ROWS, spread, with_one_row
+from borelight.operators.skew import HOT_ROWS, spread
 from borelight.operators.topk import top_deviations
 from borelight.operators.windows import rolling_time_stats, score_range_normalise, time_feature_names
 from borelight.params import ANOMALY_CHANNELS, DEFAULTS
@@ -191,14 +191,14 @@ def deviation_attribution(
     df: DataFrame, features: list[str], n: int = DEFAULTS.attribution_top, max_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Per row, the features furthest from their median in standard deviations of all rows."""
-    med = group_quantiles(df, [], features, [0.5], max_rows).select(*[F.col(f)[0].alias(f"m_{f}") for f in features])
-    spread = df.agg(*[F.stddev_samp(F.col(f).cast("double")).alias(f"s_{f}") for f in features])
-    both = with_one_row(with_one_row(df, med, "_med"), spread, "_std")
-    pairs = [
-        (f, F.abs(F.col(f) - F.col(f"_med.m_{f}")) / F.when(F.col(f"_std.s_{f}") > 0, F.col(f"_std.s_{f}")))
-        for f in features
-    ]
-    return both.withColumn("contributing_features", top_deviations(pairs, n)).drop("_med", "_std")
+    med = group_quantiles(df, [], features, [0.5], max_rows).first()
+    std = df.agg(*[F.stddev_samp(F.col(f).cast("double")).alias(f) for f in features]).first()
+    usable = [f for f in features if std[f] and med[f] is not None and med[f][0] is not None]
+    pairs = [(f, F.abs(F.col(f) - F.lit(med[f][0])) / F.lit(std[f])) for f in usable]
+    if not pairs:
+        kind = "array<struct<feature:string,contribution:double,unit:string>>"
+        return df.withColumn("contributing_features", F.array().cast(kind))
+    return df.withColumn("contributing_features", top_deviations(pairs, n))
 
 
 def score_anomalies(

@@ -24,7 +24,6 @@ from borelight.operators.skew import (
     broadcast_if_small,
     broadcast_within,
     spread,
-    with_one_row,
 )
 from borelight.operators.topk import top_k_per_query
 from borelight.operators.windows import segment_rows
@@ -198,17 +197,18 @@ def feature_names(curves: list[str]) -> list[str]:
 
 def scaled_vectors(segments: DataFrame, names: list[str], clip: float = DEFAULTS.clip_sigma) -> DataFrame:
     """Features standardised over all segments as one array; unknown features sit at the mean."""
-    stats = segments.agg(
+    st = segments.agg(
         *[F.avg(n).alias(f"{n}_c") for n in names], *[F.stddev_pop(n).alias(f"{n}_s") for n in names]
-    )
-    s = with_one_row(segments, stats, "_st")
+    ).first()
 
     def scaled(n):
-        centre, spread = F.col(f"_st.{n}_c"), F.col(f"_st.{n}_s")
-        z = (F.coalesce(F.col(n), centre) - centre) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
+        if st[f"{n}_c"] is None:
+            return F.lit(None).cast("float")
+        centre, spread = F.lit(st[f"{n}_c"]), F.lit(st[f"{n}_s"] or 1.0)
+        z = (F.coalesce(F.col(n), centre) - centre) / spread
         return F.greatest(F.lit(-clip), F.least(F.lit(clip), z)).cast("float")
 
-    return s.withColumn("embedding", F.array(*[scaled(n) for n in names])).drop("_st", *names)
+    return segments.withColumn("embedding", F.array(*[scaled(n) for n in names])).drop(*names)
 
 
 def dominant_names(
