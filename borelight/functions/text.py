@@ -149,6 +149,12 @@ def _word_pattern(term: str) -> str:
     return rf"(?U)(?<!\w){re.escape(term)}(?!\w)"
 
 
+def _named(text: Column, term: str, whole_words: bool) -> Column:
+    """Term in the text; the plain search spares most texts the pattern."""
+    there = F.contains(text, F.lit(term))
+    return there & text.rlike(_word_pattern(term)) if whole_words else there
+
+
 def positions_of(text, term: str) -> Column:
     """All 1-based start positions of a literal term."""
     t, n = col(text), len(term)
@@ -196,7 +202,7 @@ def actions_in(window, verbs=ACTION_TERMS, whole_words: bool = True) -> Column:
     w = col(window)
 
     def seen(v):
-        return w.rlike(_word_pattern(v)) if whole_words else F.contains(w, F.lit(v))
+        return _named(w, v, whole_words)
 
     return F.filter(
         F.array(*[F.when(seen(v), F.lit(v)) for v in sorted(set(verbs))]), lambda x: x.isNotNull()
@@ -207,7 +213,7 @@ def outcome_in(window, outcomes: dict[str, str] = OUTCOME_TERMS, whole_words: bo
     """Struct (outcome, status) of the first listed outcome word in the text; NULL if none."""
     w, out = col(window), None
     for word, status in outcomes.items():
-        hit = w.rlike(_word_pattern(word)) if whole_words else F.contains(w, F.lit(word))
+        hit = _named(w, word, whole_words)
         value = F.struct(F.lit(word).alias("outcome"), F.lit(status).alias("status"))
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out

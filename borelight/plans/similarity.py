@@ -161,13 +161,12 @@ def segment_features(
     max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Unscaled features per depth segment: mean, deviation and median per curve, thickness, mid depth."""
+    df = spread(df.select(well, depth, *curves), well, depth)
     ends = df.groupBy(well).agg(
         F.min(depth).alias("_d0"), F.max(depth).alias("_d1"), F.count(F.lit(1)).alias("_n")
     )
     size = ends.agg(F.count(F.lit(1)).alias("wells"), F.max("_n").alias("rows")).first()
-    rows = segment_rows(
-        df.select(well, depth, *curves), well, depth, length, stride, broadcast_within(ends.drop("_n"), size["wells"])
-    )
+    rows = segment_rows(df, well, depth, length, stride, broadcast_within(ends.drop("_n"), size["wells"]))
     aggs = [
         F.min(depth).alias("segment_top_m"),
         F.max(depth).alias("segment_base_m"),
