@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from borelight.llm import fingerprints, mixing, urls
+from borelight.llm import fingerprints, mixing, tokens, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -66,3 +66,15 @@ def op9_mix(spark, folder):
     """The place of every document in a mix of all sources."""
     docs = table(spark, folder, "documents").select("doc_id", "source")
     return mixing.mix(docs).select("doc_id", "source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
+
+
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op10_token_files(spark, folder):
+    """Token ids of all documents, written as rANS blocks by ascending doc_id and read back."""
+    return tokens.encoded(table(spark, folder, "documents"), byte_bpe())
