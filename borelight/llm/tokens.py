@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from borelight.llm.held import held
 from borelight.llm.order import piece_of
 from borelight.operators.materialise import checkpoint_folder
 
@@ -27,7 +28,7 @@ LANES = 4096
 BLOCK_TOKENS = 1 << 20
 CHECK_ROWS = 128
 MAGIC = b"RNS1"
-HEAD = struct.Struct("<4sIQIIII")  # magic, crc of the rest, ids, lanes, checkpoints, words, crc of the ids
+HEAD = "<4sIQIIII"  # magic, crc of the rest, ids, lanes, checkpoints, words, crc of the ids
 CACHED_WORDS = 600_000
 CACHED_LENGTH = 48
 
@@ -80,17 +81,17 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
     body = b"".join(struct.pack("<IQ", r, int(sizes[r])) + checks[r].astype("<u4").tobytes() for r in sorted(checks))
     body += b"".join(w.tobytes() for w in words)
     crc = zlib.crc32(ids.astype("<u4").tobytes())
-    rest = HEAD.pack(MAGIC, 0, n, lanes, len(checks), int(sizes[-1]), crc)[8:] + body
+    rest = struct.pack(HEAD, MAGIC, 0, n, lanes, len(checks), int(sizes[-1]), crc)[8:] + body
     return MAGIC + struct.pack("<I", zlib.crc32(rest)) + rest
 
 
 def decode_rows(payload: bytes, table: Table, check: int, last: int | None = None) -> np.ndarray:
     """Ids from checkpoint number `check` up to checkpoint `last` (default: the end)."""
-    _, _, n, lanes, checks, n_words, _ = HEAD.unpack_from(payload)
+    _, _, n, lanes, checks, n_words, _ = struct.unpack_from(HEAD, payload)
     if not checks:
         return np.empty(0, dtype=np.uint32)
     size = 12 + 4 * lanes
-    at = lambda k: HEAD.size + k * size
+    at = lambda k: struct.calcsize(HEAD) + k * size
     row, pos = struct.unpack_from("<IQ", payload, at(check))
     x = np.frombuffer(payload, "<u4", lanes, at(check) + 12).astype(np.uint32)
     words = np.frombuffer(payload, "<u2", n_words, at(checks))
@@ -111,7 +112,7 @@ def decode_rows(payload: bytes, table: Table, check: int, last: int | None = Non
 
 def decode_block(payload: bytes, table: Table) -> np.ndarray:
     """All ids of a block, checked against both checksums."""
-    magic, crc, *_, ids_crc = HEAD.unpack_from(payload)
+    magic, crc, *_, ids_crc = struct.unpack_from(HEAD, payload)
     if magic != MAGIC or zlib.crc32(payload[8:]) != crc:
         raise ValueError("damaged block")
     ids = decode_rows(payload, table, 0)
@@ -120,9 +121,6 @@ def decode_block(payload: bytes, table: Table) -> np.ndarray:
     return ids
 
 
-_LOADED: dict = {}
-
-
 class Words:
     """A tokenizer with remembered words. A text whose white space is single spaces and line feeds between other characters is
     cut before each space and around each line feed, where byte-level pre-tokens never cross, so its ids are those of the whole text."""
@@ -180,9 +178,7 @@ class Words:
 
 
 def words_of(path: str) -> Words:
-    if path not in _LOADED:
-        _LOADED[path] = Words(path)
-    return _LOADED[path]
+    return held(("words", path), lambda: Words(path))
 
 
 def token_rows(docs: DataFrame, order: Column, tokenizer: str, end_id: int) -> DataFrame:
