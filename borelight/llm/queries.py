@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from borelight.llm import fingerprints, mixing, tokens, urls
+from borelight.llm import fingerprints, mixing, near, tokens, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,9 @@ def byte_bpe() -> str:
 def op10_token_files(spark, folder):
     """Token ids of all documents, written as rANS blocks by ascending doc_id and read back."""
     return tokens.encoded(table(spark, folder, "documents"), byte_bpe())
+
+
+@query()
+def op7_near_duplicates(spark, folder):
+    """Components of documents whose sets of two-word shingles are at least 0.8 alike."""
+    return near.near_duplicates(table(spark, folder, "documents"), size=2, percent=80)
