@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from borelight.llm import fingerprints, mixing, near, tokens, urls
+from borelight.llm import decontaminate, fingerprints, mixing, near, tokens, toxicity, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,16 @@ def op10_token_files(spark, folder):
 def op7_near_duplicates(spark, folder):
     """Components of documents whose sets of two-word shingles are at least 0.8 alike."""
     return near.near_duplicates(table(spark, folder, "documents"), size=2, percent=80)
+
+
+@query()
+def op1_benchmark_passages(spark, folder):
+    """Every benchmark passage found in a document."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op6_toxicity(spark, folder):
+    """Chained probabilities of poor quality and toxicity of every document."""
+    docs = table(spark, folder, "documents")
+    return toxicity.scored(docs, toxicity.fit_chain(docs, table(spark, folder, "labels"), toxicity.categories()))
