@@ -7,7 +7,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from borelight.llm.shingles import GOLD, common, mix, shingle_set
@@ -234,3 +234,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     component = F.coalesce("component_id", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, all columns, of one document (the smallest id) of each near-duplicate group; of rows with one id one
+    stays. Rows with a null id stay, equal ones once."""
+    found = near_duplicates(docs, size, percent)
+    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
+    whole = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if not t.startswith("map")])
+    rows = docs.join(gone, "doc_id", "left_anti").withColumn("_whole", whole)
+    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("_whole"))).orderBy("_whole")
+    return rows.withColumn("_k", F.row_number().over(one)).where("_k = 1").select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from borelight.llm import decontaminate, fingerprints, mixing, near, tokens, toxicity, urls
+from borelight.llm import decontaminate, fingerprints, mixing, near, personal, tokens, toxicity, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -97,3 +97,9 @@ def op6_toxicity(spark, folder):
     """Chained probabilities of poor quality and toxicity of every document."""
     docs = table(spark, folder, "documents")
     return toxicity.scored(docs, toxicity.fit_chain(docs, table(spark, folder, "labels"), toxicity.categories()))
+
+
+@query()
+def op8_personal_data(spark, folder):
+    """Personal data in every document."""
+    return personal.personal_data(table(spark, folder, "documents"))
