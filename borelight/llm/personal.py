@@ -40,7 +40,7 @@ def digits_of(s: str) -> str:
 
 
 def small_parts(s: str) -> bool:
-    return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in s.split("."))
+    return all(len(x.lstrip("0")) <= 3 and int(x[-3:]) <= 255 for x in s.split("."))
 
 
 def emails(text: str) -> list[tuple[int, int]]:
