@@ -154,6 +154,38 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.sortWithinPartitions("a", "share", F.col("b").asc_nulls_first()).mapInArrow(verify, "a long, b long")
 
 
+def cross_pairs(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of `members` (doc_id, component, n_shingles, sketch) of different components that may link.
+
+    Shingles are put in one order for all, rarest first. Two linked sets share a shingle among the first (1 - percent) of each,
+    and their first common one cannot stand so late that too few are left to share; a document's own edits come first and so
+    rule most pairs out without loss. A shingle's largest component is never paired with itself: the others meet all its rows.
+    """
+    rows = rows_of(members, texts, "doc_id").select("doc_id", "text")
+
+    def spread(batches):
+        for batch in batches:
+            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                s = shingle_set(t.as_py(), size).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), d)), pa.array(s)], names=["doc_id", "h"])
+
+    each = materialised(rows.mapInArrow(spread, "doc_id long, h long"))
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "h"))
+    front = each.join(often, "h").withColumn("i", place).where("n > 1").join(members, "doc_id")
+    front = materialised(front.where(F.col("i") * 100 <= F.col("n_shingles") * (100 - percent) + 100).drop("n"))
+    sizes = front.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
+    home = sizes.groupBy("h").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    front = front.join(home.select("h", F.col("m.component").alias("home")), "h")
+    names = (("doc_id", "a"), ("component", "ca"), ("n_shingles", "na"), ("sketch", "sa"), ("i", "ia"))
+    a = front.where("component <> home").select("h", *[F.col(c).alias(d) for c, d in names])
+    b = front.select(F.col("h").alias("h2"), *[F.col(c).alias(d.replace("a", "b") if d != "sa" else "sb") for c, d in names])
+    most = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    on = (F.col("h") == F.col("h2")) & (F.col("ca") != F.col("cb")) & (most * 100 >= (F.col("na") + F.col("nb") - most) * percent)
+    found = a.join(b, on & may_link("na", "nb", "sa", "sb", percent))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, component) of all nodes of undirected edges (a, b): the smallest node of each connected component.
 
@@ -183,8 +215,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Two documents link if 100 * intersection >= percent * union of their sets of `size`-word shingles; components are what links
     connect. Equal sets are one representative (the smallest id) from the start, so copies cost one row. Representatives that
     share a band key are candidates. No bucket is expanded into pairs at first: its members are compared with its smallest member,
-    then with another one that differs from bucket to bucket; only members still apart from others of their bucket are paired
-    with those, where sizes and sketches allow a link. Every link between buckets' members is thus either confirmed on full
+    then with another one that differs from bucket to bucket; members still apart from others of their bucket are then
+    paired across components by an exact prefix join. Every link between members of a bucket is thus either confirmed on full
     sets or implied by links that are.
 
     Null, empty and blank texts have no shingles, link with nothing and are kept. Ids should be unique: rows with one id are all kept or dropped by
@@ -222,11 +254,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     tried2 = materialised(pairs.join(tried, ["a", "b"], "left_anti"))
     edges = edges.unionByName(link(tried2))
     groups = components(edges)
-    left = materialised(apart(groups).join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id").select("key", "doc_id", "component", "n_shingles", "sketch"))
-    a = left.select("key", *[F.col(c).alias(d) for c, d in (("doc_id", "a"), ("component", "ca"), ("n_shingles", "na"), ("sketch", "sa"))])
-    b = left.select(F.col("key").alias("key2"), *[F.col(c).alias(d) for c, d in (("doc_id", "b"), ("component", "cb"), ("n_shingles", "nb"), ("sketch", "sb"))])
-    on = (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link("na", "nb", "sa", "sb", percent)
-    rest = a.join(b, on).select("a", "b").distinct().join(tried.unionByName(tried2), ["a", "b"], "left_anti")
+    members = apart(groups).select("doc_id", "component").distinct().join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    rest = cross_pairs(materialised(members), texts, size, percent).join(tried.unionByName(tried2), ["a", "b"], "left_anti")
     edges = edges.unionByName(materialised(confirmed(materialised(rest), texts, size, percent)))
     groups = components(edges)
     named = ids.join(groups, "doc_id", "left").select("d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
