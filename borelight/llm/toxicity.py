@@ -55,8 +55,10 @@ class Chain:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Between the two neighbouring probabilities where F1 is best; 0.5 without both kinds of rows."""
-    if not len(y) or y.min() == y.max():
+    """Between the two neighbouring probabilities where F1 is best; 0.5 if all rows are positive; beyond any if none is."""
+    if not len(y) or y.max() == 0:
+        return 2.0
+    if y.min() == 1:
         return 0.5
     order = np.argsort(-p, kind="stable")
     p, y = p[order], y[order]
@@ -88,7 +90,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column])
     """Fit on about SAMPLE labelled documents, chosen by a hash of their id; of near copies (equal least shingle hash) one is used.
 
     Categories (name: condition on the labels) go in order. Models of a later category are trained on out-of-fold probabilities
-    of the earlier ones (a document's probability comes from a model that has not seen its fold). Folds are trained in tasks.
+    of the earlier ones (without positive labels a chain rejects nothing; a document's probability comes from a model that has not seen its fold). Folds are trained in tasks.
     """
     spark = docs.sparkSession
     names = list(categories)

@@ -330,7 +330,7 @@ def main_text(page: str, template: list) -> str:
     inside = any(is_core(n) for n in home)
 
     def drop(n: Node) -> bool:
-        return furniture(n, inside) or judged and id(n) in found and constant(found[id(n)])
+        return furniture(n, inside) or judged and n.tag in BLOCK and id(n) in found and constant(found[id(n)])
 
     return "\n".join(b for n in home for b in blocks_of(n, drop))
 
@@ -388,7 +388,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", key: str = "
     """page_id, url, text (empty if none) and n_chars (code points) of every row of `pages`.
 
     The text is what the host's template calls content, without elements that their markup names as furniture (menus, headers,
-    footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) and without slots that hold the same text on
+    footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) and without blocks that hold the same text on
     nine of ten pages (from four pages on). Blocks stand in page order, one line each; white space inside is one blank.
 
     Null html: empty text. A null url, or one without a host, belongs to the host ''. Cut pages are closed at their end. Rows repeat
