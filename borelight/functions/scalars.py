@@ -180,9 +180,15 @@ def citation_path(path, root: str) -> Column:
 
 
 def decode_dir(name) -> Column:
-    """Directory name to well name: `$47$` and `_/_` stand for a slash."""
-    slash = F.replace(col(name), F.lit("$47$"), F.lit("/"))
-    return F.replace(slash, F.lit("_/_"), F.lit("/"))
+    """Directory name to well name: `$N$` stands for the character with the decimal code N, `_/_` for a slash."""
+    codes = F.array_distinct(F.regexp_extract_all(col(name), F.lit(r"\$(\d{1,5})\$"), F.lit(1)))
+
+    def put(text, code):
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+        return F.when(code.cast("long") < 65536, F.replace(text, F.concat(F.lit("$"), code, F.lit("$")), char)).otherwise(text)
+
+    plain = F.aggregate(codes, col(name).cast("string"), put)
+    return F.replace(plain, F.lit("_/_"), F.lit("/"))
 
 
 def join_name(name) -> Column:
@@ -202,9 +208,11 @@ def lithology_name(code, names: dict[int, str] = LITHOLOGY_NAMES) -> Column:
     return F.coalesce(table[col(code).cast("int")], col(code).cast("int").cast("string"))
 
 
-def investigation_query(formation, event_type, description) -> Column:
+def investigation_query(formation, event_type, description, length: int | None = None) -> Column:
+    """The known parts as one search text; cut to `length` characters only if asked."""
     words = [F.when(col(c) != "", col(c)) for c in (formation, event_type, description)]
-    return F.substring(F.concat_ws(" ", *words), 1, 300)
+    text = F.concat_ws(" ", *words)
+    return text if length is None else F.substring(text, 1, length)
 
 
 def narrative(level, well, depth, components, evidence_count, evidence_wells, mode) -> Column:

@@ -9,9 +9,11 @@ from borelight.params import DEFAULTS
 
 
 def paginate(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """One page in order, and the total before paging (one row)."""
-    limit = max(1, min(limit, DEFAULTS.page_limit))
+    """One page in order, and the total before paging (one row). Equal rows of `order` go by the other columns."""
+    if not 1 <= limit <= DEFAULTS.page_limit:
+        raise ValueError(f"limit must be between 1 and {DEFAULTS.page_limit}")
     total = df.agg(F.count(F.lit(1)).alias("total"))
+    order = [*order, *[c for c, t in df.dtypes if c not in order and not t.startswith("map")]]
     return df.orderBy(*order).offset(max(0, offset)).limit(limit), total
 
 

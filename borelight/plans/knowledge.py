@@ -119,8 +119,8 @@ def extract_events(found: DataFrame, lexicon: Lexicon = LEXICON, whole_words: bo
         *keep,
         F.col("category").alias("event_type"),
         "category",
-        F.substring("sentence", 1, 500).alias("description"),
-        F.substring("sentence", 1, 1000).alias("raw_text"),
+        F.col("sentence").alias("description"),
+        F.col("sentence").alias("raw_text"),
         X.first_depth("sentence").alias("depth_m"),
         "actions",
         F.col("_out.outcome").alias("outcome"),
@@ -158,7 +158,7 @@ def extract_knowledge(pages: DataFrame, lexicon: Lexicon = LEXICON, whole_words:
         "value", "unit",
     )
     excluded = found.where(F.col("reason").isNotNull()).select(
-        "document_id", "page_number", "sentence_no", F.substring("sentence", 1, 200).alias("sentence"), "category", "reason"
+        "document_id", "page_number", "sentence_no", "sentence", "category", "reason"
     )
     return Knowledge(
         f.unionByName(m, allowMissingColumns=True), extract_events(found, lexicon, whole_words), excluded

@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from borelight.functions.scalars import lithology_name
@@ -21,7 +21,6 @@ from borelight.operators.skew import HOT_ROWS, broadcast_if_small, global_rank,
 from borelight.params import DEFAULTS
 
 SPLITS = ("train", "validation", "test")
-GREEDY_WELLS = 100_000
 
 
 def well_splits(
@@ -86,26 +85,19 @@ def well_splits(
     return fixed.unionByName(rest)
 
 
-def group_folds(
-    df: DataFrame, k: int = 5, well: str = "well", use_splits: tuple = (), greedy_wells: int = GREEDY_WELLS
-) -> DataFrame:
-    """(well, fold): whole wells, the largest first to the lightest fold; beyond `greedy_wells` by hash."""
+def group_folds(df: DataFrame, k: int = 5, well: str = "well", use_splits: tuple = ()) -> DataFrame:
+    """(well, fold): whole wells, dealt by falling size (then name) to folds 0 .. k - 1 and back again, at every number of wells.
+
+    The wells are ranked in one ordered pass over one row per well.
+    """
     if "test" in use_splits:
         raise ValueError("use_splits contains 'test': selecting on the test wells would invalidate their numbers")
     sizes = df.groupBy(well).agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.orderBy(F.desc("_n"), well).limit(greedy_wells).collect()
-    k = max(1, min(k, len(big)))
-    load, rows = [0] * k, []
-    for r in big:
-        fold = load.index(min(load))
-        load[fold] += r["_n"]
-        rows.append((r[well], fold))
-    kind = df.schema[well].dataType.simpleString()
-    dealt = df.sparkSession.createDataFrame(rows, f"`{well}` {kind}, fold int")
-    if len(big) < greedy_wells:
-        return dealt
-    rest = sizes.join(F.broadcast(dealt), well, "left_anti")
-    return dealt.unionByName(rest.select(well, F.pmod(F.xxhash64(well), F.lit(k)).cast("int").alias("fold")))
+    every = Window.partitionBy(F.lit(0))
+    ranked = sizes.withColumn("_r", F.row_number().over(every.orderBy(F.desc("_n"), well)) - 1).withColumn("_k", F.count(F.lit(1)).over(every))
+    folds = F.least(F.lit(max(1, k)).cast("long"), F.col("_k"))
+    step = F.col("_r") % (2 * folds)
+    return ranked.select(well, F.least(step, 2 * folds - 1 - step).cast("int").alias("fold"))
 
 
 def early_stop_wells(wells: DataFrame, fraction: float = 0.15, seed: int = 42, well: str = "well") -> DataFrame:

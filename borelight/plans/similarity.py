@@ -65,13 +65,12 @@ def _top_in_batch(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def nearest_vectors(
     items: DataFrame, queries: DataFrame, k: int, item_id: str = "chunk_id", vector: str = "embedding",
-    candidate_pool: int | None = None,
 ) -> DataFrame:
     """Exact top-k items per query by dot product: (query_id, item id, similarity, rank).
 
     Every batch sends on at most k rows per query.
     """
-    keep = candidate_pool or k
+    keep = k
     kind = items.schema[item_id].dataType.simpleString()
     q_kind = queries.schema["query_id"].dataType.simpleString()
     rows = spread(items.where(F.col(vector).isNotNull()).select(item_id, vector))

@@ -89,7 +89,8 @@ def _known(c):
 def read_witsml_logs(spark: SparkSession, path) -> DataFrame:
     """One row per data line: log attributes, `values` (mnemonic -> text) and `units` (mnemonic -> unit).
 
-    A unit listed with the data is used only where the curve header has none.
+    A unit listed with the data is used only where the curve header has none. A line with fewer cells than mnemonics has NULL for
+    the rest; cells beyond the mnemonics have no name and are counted in `extra_cells`.
     """
     raw = _xml(
         spark, path, "log",
@@ -123,9 +124,10 @@ def read_witsml_logs(spark: SparkSession, path) -> DataFrame:
         F.posexplode("logData.data").alias("line", "_text"),
     )
     cells = F.split("_text", ",")
+    filled = F.transform("_names", lambda _, i: F.get(cells, i))
     return (
-        rows.where(F.size(cells) == F.size("_names"))
-        .withColumn("values", F.map_from_arrays("_names", cells))
+        rows.withColumn("values", F.map_from_arrays("_names", filled))
+        .withColumn("extra_cells", F.greatest(F.size(cells) - F.size("_names"), F.lit(0)))
         .drop("_names", "_text")
     )
 
@@ -259,18 +261,21 @@ OBJECT_TYPES = (
 )
 
 
-def find_objects(spark: SparkSession, root: str, object_type: str, levels: int = 4) -> list[str]:
-    """Directories of one object type below `root`.
+def find_objects(spark: SparkSession, root: str, object_type: str) -> list[str]:
+    """Directories of one object type below `root`, however deep.
 
     Spark's own listing passes over names with a leading underscore, so those have to be named.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     top = hadoop.Path(root)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = []
-    for depth in range(levels + 1):
-        hits = fs.globStatus(hadoop.Path(top, "/".join(["*"] * depth + [object_type])))
+    found, above = [], []
+    while True:
+        hits = fs.globStatus(hadoop.Path(top, "/".join([*above, object_type])))
         found += [str(h.getPath()) for h in (hits or [])]
+        above.append("*")
+        if not fs.globStatus(hadoop.Path(top, "/".join(above))):
+            break
     return sorted(set(found))
 
 

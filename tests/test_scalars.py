@@ -100,13 +100,14 @@ def test_context_depth(spark, prev, bit, step, want):
 def test_names(spark):
     assert one(spark, S.slugify(F.lit("15/9-F-4: Final (report)"))) == "15_9_F_4_Final_report"
     assert one(spark, S.decode_dir(F.lit("NO 15_$47$_9-F-4"))) == "NO 15/9-F-4"
+    assert one(spark, S.decode_dir(F.lit("A$32$B$47$$229$ $99999$"))) == "A B/å $99999$"
     assert one(spark, S.citation_path(F.lit("/srv/x/a.pdf"), "/srv")) == "x/a.pdf"
     assert one(spark, S.citation_path(F.lit("/opt/a.pdf"), "/srv")) == "/opt/a.pdf"
     assert one(spark, S.join_name(F.lit("NO 15/9-F-4 "))) == "15/9-F-4"
     assert one(spark, S.dedupe_key(F.lit(7), F.lit("HIGH"), F.lit(None).cast("double"))) == "7:HIGH:0"
     assert one(spark, S.lithology_name(F.lit(70032))) == "Chalk"
     assert one(spark, S.lithology_name(F.lit(1))) == "1"
-    assert len(one(spark, S.investigation_query(F.lit(None).cast("string"), F.lit("stuck_pipe"), F.lit("x" * 400)))) == 300
+    assert len(one(spark, S.investigation_query(F.lit(None).cast("string"), F.lit("stuck_pipe"), F.lit("x" * 400), 300))) == 300
 
 
 def test_narrative(spark):
@@ -161,3 +162,10 @@ def test_behaviour(spark):
     r = df.select(S.behaviour_similarity("l", "r", {"a": 10.0, "b": 1.0}).alias("x")).first()["x"]
     assert r["value"] == 1.0 and r["shared"] == 1
     assert math.isclose(one(spark, S.exp_decay(F.lit(25.0), 25.0)), math.exp(-1))
+
+
+def test_page_above_the_limit(spark):
+    from borelight.operators.topk import paginate
+
+    with pytest.raises(ValueError, match="limit"):
+        paginate(spark.range(3), ["id"], 501)

@@ -190,3 +190,21 @@ def test_build_wells(spark, tree):
     assert s == [(5.01, 1.2346), (10.02, 2.0)]
     ch = got.telemetry.orderBy("timestamp").collect()[1]["channels"]
     assert "standpipe_pressure_bar" not in ch and "trip_speed_m_per_min" in ch and got.unmapped.count() == 0
+
+
+def test_short_and_long_log_lines(spark, tmp_path):
+    lines = "".join(f"<data>{x}</data>" for x in ("1,2,3", "4,5", "6,7,8,9"))
+    (tmp_path / "a.xml").write_text(
+        f"<logs {NS}><log uid='l'><nameWell>W</nameWell><name>n</name><indexCurve>T</indexCurve><logData><mnemonicList>T,A,B</mnemonicList>"
+        f"<unitList>s,m,m</unitList>{lines}</logData></log></logs>"
+    )
+    got = R.read_witsml_logs(spark, str(tmp_path)).orderBy("line").collect()
+    assert [(r["values"], r["extra_cells"]) for r in got] == [
+        ({"T": "1", "A": "2", "B": "3"}, 0), ({"T": "4", "A": "5", "B": None}, 0), ({"T": "6", "A": "7", "B": "8"}, 1)
+    ]
+
+
+def test_objects_at_any_depth(spark, tmp_path):
+    deep = tmp_path.joinpath(*"abcdef", "_wellInfo")
+    deep.mkdir(parents=True)
+    assert [x.endswith("/a/b/c/d/e/f/_wellInfo") for x in R.find_objects(spark, str(tmp_path), "_wellInfo")] == [True]

@@ -198,3 +198,9 @@ def test_embedding(spark):
     half = spark.createDataFrame([(1, "ab", [1.0, 0.0, 0.0]), (2, "abcd", None)], "chunk_id long, text string, embedding array<float>")
     kept = {r["chunk_id"]: r["embedding"] for r in K.embed_passages(half, encoder, dims=3).collect()}
     assert kept[1] == [1.0, 0.0, 0.0] and len(kept) == 2
+
+
+def test_long_sentences_stay_whole(spark):
+    long = "The string became stuck at 2100 m " + "and more " * 150
+    events, _ = run(spark, f"{long}today.", f"{long}tomorrow.")
+    assert len({e["raw_text"] for e in events}) == 2 and all(len(e["description"]) > 1000 for e in events)
