@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -226,13 +227,25 @@ def fit_on(docs: DataFrame) -> dict[str, float]:
 def spans_of(text: str, weights: dict[str, float]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and, beside them, the model's spans that touch none of them; each sorted by kind, then start."""
     base = base_spans(text)
+    taken: list[list[int]] = []  # what base spans cover, in order, without overlaps
+    for x, y in sorted(s[1:] for s in base):
+        if taken and x <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], y)
+        else:
+            taken.append([x, y])
+    starts = [x for x, _ in taken]
+
+    def reached(start: int, end: int) -> bool:
+        k = bisect.bisect_left(starts, end) - 1
+        return k >= 0 and taken[k][1] > start
+
     added = []
     for a, b in islands(text):
-        if base and all(any(k[1] <= m.start() < k[2] for k in base) for m in SIGN.finditer(text, a, b)):
+        if base and all(reached(m.start(), m.end()) for m in SIGN.finditer(text, a, b)):
             continue  # every sign is taken
         edges, spans = candidates(text, a, b)
         if any(spans):
-            added += [s for s in decode(weights, edges, spans) if not any(s[1] < y and x < s[2] for _, x, y in base)]
+            added += [s for s in decode(weights, edges, spans) if not reached(s[1], s[2])]
     order = lambda s: (KINDS.index(s[0]), s[1])
     return sorted(base, key=order), sorted(added, key=order)
 
