@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 512
+BUCKET_ROWS = 2000  # rows of a hash bucket in which a source is ranked, about
 
 
 def whole_shares(weights: dict, period: int) -> dict:
@@ -44,12 +44,17 @@ def schedule(shares: dict) -> list[tuple]:
     return out
 
 
-def natural_weights(docs: DataFrame, source: str, power: float, max_sources: int) -> dict:
-    """Rows of each source to the `power` (1: as they are; 0: all alike). More than `max_sources` sources: an error."""
+def source_rows(docs: DataFrame, source: str, max_sources: int) -> dict:
+    """Rows of each source. More than `max_sources` sources: an error."""
     rows = docs.groupBy(source).count().limit(max_sources + 1).collect()
     if len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    return {r[0]: max(1, round(r[1] ** power * 1000)) for r in rows}
+    return {r[0]: r[1] for r in rows}
+
+
+def natural_weights(sizes: dict, power: float) -> dict:
+    """Rows of each source to the `power` (1: as they are; 0: all alike)."""
+    return {s: max(1, round(n**power * 1000)) for s, n in sizes.items()}
 
 
 def mix(
@@ -65,35 +70,33 @@ def mix(
     that repeats; at most `period` rows are broadcast.
 
     A null source is a source of its own; a source without weight is an error. Null and equal keys are ordered by the other columns.
-    A source is ranked in 512 hash buckets, so one that holds a third of all rows is spread. Columns of these names are replaced.
+    A source is ranked in hash buckets of about 2000 rows, so one that holds a third of all rows is spread over as many tasks as it
+    needs at any size; only counts of buckets are summed along a source. Columns of these names are replaced.
     """
     docs = docs.drop("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
-    names = natural_weights(docs, source, power, max_sources) if weights is None else weights
+    sizes = source_rows(docs, source, max_sources)
+    names = natural_weights(sizes, power) if weights is None else weights
     spark = docs.sparkSession
     if not names:
         extra = [F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")]
         return docs.select("*", *extra)
     shares = whole_shares(names, period)
     kind = docs.schema[source].dataType.simpleString()
-    one = spark.createDataFrame(
-        [(s, j, r, d, t, shares[s]) for s, j, r, d, t in schedule(shares)],
-        f"_s {kind}, _j long, _release long, _due long, _slot long, _share long",
-    )
-    h = F.xxhash64(F.lit(seed), key)
-    rows = docs.withColumn("_h", h).withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 8), F.lit(BUCKETS)).cast("int"))
-    sizes = rows.groupBy(F.col(source).alias("_s"), F.col("_b").alias("_sb")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_s").orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    number = {s: i for i, s in enumerate(shares)}
+    one = spark.createDataFrame([(number[s], j, r, d, t) for s, j, r, d, t in schedule(shares)], "_i int, _j long, _release long, _due long, _slot long")
+    about = [(s, number.get(s, -1), shares.get(s), -(-n // BUCKET_ROWS)) for s, n in sizes.items()]
+    about = spark.createDataFrame(about, f"_s {kind}, _i int, _share long, _buckets long")  # a row a source
+    rows = docs.withColumn("_h", F.xxhash64(F.lit(seed), key)).join(F.broadcast(about), F.col(source).eqNullSafe(F.col("_s"))).drop("_s")
+    rows = rows.withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 8), F.col("_buckets"))).drop("_buckets")
+    counts = rows.groupBy("_i", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_i").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_i", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     ties = [F.col(c) for c, t in docs.dtypes if not t.startswith("map")]
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(source, "_b").orderBy("_h", *ties)))
-    rows = rows.join(F.broadcast(sizes), F.col(source).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_sb"))).drop("_s", "_sb")
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_i", "_b").orderBy("_h", *ties))).join(counts, ["_i", "_b"])
     rows = rows.withColumn("_rank", F.col("_before") + F.col("_k") - 1).withColumn("mix_block", F.floor(F.col("_rank") / block_rows))
-    counts = spark.createDataFrame([(s, n) for s, n in shares.items()], f"_s {kind}, _share long")
-    rows = rows.join(F.broadcast(counts), F.col(source).eqNullSafe(F.col("_s")), "left").drop("_s")
     known = F.coalesce("_share", F.raise_error(F.lit("a source has no weight")).cast("long"))
     rows = rows.withColumn("_j", F.col("mix_block") % known).withColumn("_round", F.floor(F.col("mix_block") / known))
-    one = F.broadcast(one.drop("_share").withColumnRenamed("_j", "_jj"))
-    rows = rows.join(one, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_j") == F.col("_jj")))
+    rows = rows.join(F.broadcast(one), ["_i", "_j"])
     turn = F.col("_round") * period
     return rows.select(
         *docs.columns, "mix_block", (F.col("_release") + turn).alias("mix_release"), (F.col("_due") + turn).alias("mix_deadline"),
