@@ -209,6 +209,19 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("doc_id"), F.col("v").alias("component")))
 
 
+def merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """`groups` (doc_id, component) after further edges (a, b): only the components that these join are contracted again. A component is
+    named by its smallest node, so the smallest of the joined names is the smallest node of all."""
+    if edges.isEmpty():
+        return groups
+    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    known = materialised(groups.join(ends, "doc_id", "full").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
+    name = lambda c: known.select(F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"))
+    between = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    roots = components(between).select(F.col("doc_id").alias("component"), F.col("component").alias("root"))
+    return materialised(known.join(roots, "component", "left").select("doc_id", F.coalesce("root", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) for every row of `docs` (doc_id, text).
 
@@ -243,8 +256,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         return own.join(mixed, "key")
 
     tried = materialised(live.where("doc_id <> head").groupBy("doc_id").agg(F.min("head").alias("a")).select("a", F.col("doc_id").alias("b")))
-    edges = link(tried)
-    groups = components(edges)
+    groups = components(link(tried))
     left = apart(groups)
     other = left.groupBy("key").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "key")).alias("o"))
     home = left.where("doc_id = head").select("key", F.col("component").alias("home"))
@@ -252,12 +264,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     pairs = left.select(F.explode(F.array(F.struct(F.col("head").alias("a"), F.col("home").alias("ca")), F.struct(F.col("o.doc_id").alias("a"), F.col("o.component").alias("ca")))).alias("p"), "doc_id", "component")
     pairs = pairs.where("p.a <> doc_id and p.ca <> component").select(F.least("p.a", "doc_id").alias("a"), F.greatest("p.a", "doc_id").alias("b")).distinct()
     tried2 = materialised(pairs.join(tried, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(link(tried2))
-    groups = components(edges)
+    groups = merged(groups, link(tried2))
     members = apart(groups).select("doc_id", "component").distinct().join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
     rest = cross_pairs(materialised(members), texts, size, percent).join(tried.unionByName(tried2), ["a", "b"], "left_anti")
-    edges = edges.unionByName(materialised(confirmed(materialised(rest), texts, size, percent)))
-    groups = components(edges)
+    groups = merged(groups, materialised(confirmed(materialised(rest), texts, size, percent)))
     named = ids.join(groups, "doc_id", "left").select("d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
     out = all_prints.select("doc_id", "n_shingles", "d1", "d2").join(materialised(named), ["d1", "d2"], "left")
     component = F.coalesce("component_id", "doc_id")
