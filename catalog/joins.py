@@ -192,12 +192,12 @@ def q_attach_positions(s, d):
 
 
 @query(
-    "SELECT DISTINCT o_custkey, o_orderpriority FROM orders o WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_orderstatus = 'O' AND x.o_custkey = "
+    "SELECT DISTINCT o_custkey, o_orderpriority FROM orders o WHERE o_orderstatus <> 'O' AND NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_orderstatus = 'O' AND x.o_custkey = "
     "o.o_custkey AND x.o_orderpriority = o.o_orderpriority)"
 )
 def q_new_rows_only(s, d):
     o = table(s, d, "orders")
-    new = o.where("o_orderstatus = 'F'").select("o_custkey", "o_orderpriority", "o_orderkey")
+    new = o.where("o_orderstatus <> 'O'").select("o_custkey", "o_orderpriority", "o_orderkey")
     old = o.where("o_orderstatus = 'O'").select("o_custkey", "o_orderpriority")
     return J.new_rows_only(new, old, ["o_custkey", "o_orderpriority"]).select("o_custkey", "o_orderpriority")
 
@@ -208,10 +208,10 @@ def q_known_wells_only(s, d):
 
 
 @query(
-    "SELECT o_orderkey AS event_id, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(l_partkey AS VARCHAR) AS l_partkey FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'"
+    "SELECT o_orderkey AS event_id, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(l_partkey AS VARCHAR) AS l_partkey FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey"
 )
 def q_event_mitigations(s, d):
-    e = table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("event_id"))
+    e = table(s, d, "orders").select(F.col("o_orderkey").alias("event_id"))
     m = table(s, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), "l_linenumber", "l_partkey")
     return J.event_mitigations(e, m).withColumns(
         {c: F.col(c).cast("string") for c in ("l_linenumber", "l_partkey")}

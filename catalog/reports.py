@@ -440,8 +440,7 @@ def q_cv_verdict(s, d):
 
 
 VERSIONS = (
-    "ver AS (SELECT o_orderpriority AS algorithm, o_orderkey AS version, o_orderdate AS trained_at, o_totalprice / 600000 AS v, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey / 200000.0::DOUBLE END AS h FROM orders "
-    "WHERE o_orderstatus = 'F')"
+    "ver AS (SELECT o_orderpriority AS algorithm, o_orderkey AS version, o_orderdate AS trained_at, o_totalprice / 600000 AS v, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey / 200000.0::DOUBLE END AS h FROM orders)"
 )
 
 
@@ -450,7 +449,7 @@ VERSIONS = (
     "arg_max(version, v) AS version, round(max(v), 6) AS validation_macro_f1, count(*) AS candidates, arg_max(algorithm, h) AS holdout_best FROM l) SELECT *, holdout_best <> selected_model AS disagreement_warning FROM o"
 )
 def q_select_model(s, d):
-    o = table(s, d, "orders").where("o_orderstatus = 'F'").select(
+    o = table(s, d, "orders").select(
         F.col("o_orderpriority").alias("algorithm"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("trained_at"), F.lit("trained").alias("status"),
         (F.col("o_totalprice") / 600000).alias("validation_macro_f1"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey") / 200000.0).alias("holdout_macro_f1"),
     )
