@@ -346,11 +346,7 @@ def risk_mode(events: DataFrame, threshold: int = DEFAULTS.supervised_threshold,
         F.when(enough, "supervised").otherwise("hybrid_indicator").alias("mode"),
         F.when(enough, F.concat(count, F.lit(f" labelled events meet the threshold of {threshold}"))).otherwise(
             F.concat(
-                F.lit("only "), count,
-                F.lit(
-                    f" categorised historical events exist (threshold {threshold}), so risk is reported as a "
-                    "historical indicator rather than a supervised prediction, and no probability is produced"
-                ),
+                count, F.lit(f" labelled events are too few to train on ({threshold} needed): scores are indicators from past events, without probabilities"),
             )
         ).alias("reason"),
     )
