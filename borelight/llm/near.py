@@ -197,7 +197,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialised(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
@@ -209,6 +209,19 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("doc_id"), F.col("v").alias("component")))
 
 
+def rooted(edges: DataFrame) -> DataFrame:
+    """(doc_id, component) of all nodes of a forest, edges (a, b) with one smaller parent a for each b: a tree's smallest node is its root.
+    In each round every node takes its parent's parent, so a path of n nodes needs log2(n) rounds of one join each."""
+    now, moved = edges.select(F.col("b").alias("doc_id"), F.col("a").alias("component")), True
+    while moved:
+        up = now.select(F.col("doc_id").alias("component"), F.col("component").alias("above"))
+        now = now.select("doc_id", "component").join(up, "component", "left")
+        now = materialised(now.select("doc_id", F.coalesce("above", "component").alias("component"), F.col("above").isNotNull().alias("moved")))
+        moved = not now.where("moved").isEmpty()
+    roots = now.select(F.col("component").alias("doc_id"), "component").distinct()
+    return now.select("doc_id", "component").unionByName(roots)
+
+
 def merged(groups: DataFrame, edges: DataFrame) -> DataFrame:
     """`groups` (doc_id, component) after further edges (a, b): only the components that these join are contracted again. A component is
     named by its smallest node, so the smallest of the joined names is the smallest node of all."""
@@ -240,7 +253,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     all_prints = materialised(prints(docs, size))
     first = all_prints.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
     ids = materialised(first)
-    slim = all_prints.where("n_shingles > 0 and doc_id is not null").join(ids, ["d1", "d2", "doc_id"]).dropDuplicates(["d1", "d2"])
+    slim = all_prints.where("n_shingles > 0 and doc_id is not null").join(ids, ["d1", "d2", "doc_id"]).dropDuplicates(["d1", "d2", "doc_id"])
     reps = materialised(slim.select("doc_id", "n_shingles", "sketch", "bands"))
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head <> last")
@@ -248,19 +261,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = materialised(rows_of(live, docs.where("doc_id is not null"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
 
     def link(pairs: DataFrame) -> DataFrame:
-        return materialised(confirmed(materialised(plausible(pairs, reps, percent)), texts, size, percent))
+        pairs = materialised(plausible(pairs, reps, percent))
+        return pairs if pairs.isEmpty() else materialised(confirmed(pairs, texts, size, percent))
 
     def apart(groups: DataFrame) -> DataFrame:
-        own = live.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = own.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-        return own.join(mixed, "key")
+        """Rows of buckets of several components: key, doc_id, component, another member `o` that differs from bucket to bucket, and the
+        smallest member `head` with its component `home`."""
+        own = live.join(groups, "doc_id", "left").select("key", "doc_id", "head", F.coalesce("component", "doc_id").alias("component"))
+        own = materialised(own)
+        other = F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "key")).alias("o")
+        ends = (F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by("component", "doc_id").alias("home"), other)
+        return materialised(own.join(own.groupBy("key").agg(*ends).where("c0 <> c1"), "key"))
 
     tried = materialised(live.where("doc_id <> head").groupBy("doc_id").agg(F.min("head").alias("a")).select("a", F.col("doc_id").alias("b")))
-    groups = components(link(tried))
+    groups = rooted(link(tried))
     left = apart(groups)
-    other = left.groupBy("key").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "key")).alias("o"))
-    home = left.where("doc_id = head").select("key", F.col("component").alias("home"))
-    left = left.join(other, "key").join(home, "key")
     pairs = left.select(F.explode(F.array(F.struct(F.col("head").alias("a"), F.col("home").alias("ca")), F.struct(F.col("o.doc_id").alias("a"), F.col("o.component").alias("ca")))).alias("p"), "doc_id", "component")
     pairs = pairs.where("p.a <> doc_id and p.ca <> component").select(F.least("p.a", "doc_id").alias("a"), F.greatest("p.a", "doc_id").alias("b")).distinct()
     tried2 = materialised(pairs.join(tried, ["a", "b"], "left_anti"))
