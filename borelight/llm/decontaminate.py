@@ -104,13 +104,67 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return min(row[len(b)], most + 1)
 
 
+def near_windows(item: np.ndarray, codes: np.ndarray, first: int, last: int, low: int, high: int) -> list[tuple]:
+    """(item start, item end, document start, document end): windows of `item` that start in first..last and lie in `codes`
+    with at most their budget of edits, on diagonals (document place - item place) low..high. All windows go through the rows of
+    one banded alignment together; its ends are free in the document."""
+    w = min(WINDOW, len(item))
+    most = min(EDITS, max(1, w * EDITS // WINDOW))
+    n = high - low + 1
+    step = np.arange(n) * n  # one more document character costs n; what is left over is the diagonal of the start
+    out = []
+    for lo in range(first, last + 1, 4096):
+        a = np.arange(lo, min(lo + 4096, last + 1))
+        base, stop = int(a[0]) + low, int(a[-1]) + w + high
+        near = np.full(stop - base, -1, dtype=np.int64)
+        have = slice(max(base, 0), max(min(stop, len(codes)), 0))
+        if have.stop <= have.start:
+            continue
+        near[have.start - base : have.stop - base] = codes[have]
+        own, place = item.astype(np.int64), (a - a[0])[:, None] + np.arange(n)
+        cost = np.broadcast_to(np.arange(n), (len(a), n))
+        for r in range(w):
+            new = cost + n * (near[place + r] != own[a + r, None])
+            new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + n)
+            cost = np.minimum.accumulate(new - step, axis=1) + step
+            if r % 16 == 15:
+                live = cost.min(axis=1) < (most + 1) * n
+                if not live.any():
+                    break
+                a, place, cost = a[live], place[live], cost[live]
+        else:
+            end = cost.argmin(axis=1)
+            best = cost[np.arange(len(a)), end]
+            for x, c, e in zip(a.tolist(), best.tolist(), end.tolist(), strict=True):
+                d0, d1 = max(0, x + low + c % n), min(len(codes), x + w + low + e)
+                if c < (most + 1) * n and d1 > d0:
+                    out.append((x, x + w, d0, d1))
+    return out
+
+
+def joined(windows: list[tuple], whole: list[tuple]) -> list[tuple]:
+    """Windows (item start, item end, document start, document end) that overlap on about one diagonal, as one passage each;
+    those inside a passage of `whole` are left out."""
+    runs: list[list] = []
+    for i0, i1, d0, d1 in sorted(windows):
+        if any(i0 >= x[0] - EDITS and i1 <= x[1] + EDITS and d0 >= x[2] - EDITS and d1 <= x[3] + EDITS for x in whole):
+            continue
+        for x in reversed(runs):
+            if i0 < x[1] and d0 < x[3] and x[2] < d1 and abs(d0 - i0 - x[4]) <= EDITS:
+                x[1:] = max(x[1], i1), min(x[2], d0), max(x[3], d1), d0 - i0
+                break
+        else:
+            runs.append([i0, i1, d0, d1, d0 - i0])
+    return [tuple(x[:4]) for x in runs]
+
+
 def regions(text: str, index: Index) -> list[tuple]:
     """(item number, document start and end, item start and end, edits): places in `text` and in the plain item.
 
     A passage of `WINDOW` characters with at most `EDITS` edits shares at least WINDOW - Q + 1 - EDITS * Q q-grams with its item,
     all on diagonals at most EDITS apart. Bands of BAND diagonals overlap by EDITS, so they lie in one band. Windows that reach
-    the count are joined to regions and confirmed by alignment: in all, or else window by window. Items shorter than a window
-    count as one window of their length.
+    the count are joined to regions and confirmed by alignment: in all, or else every window of the item that touches the region
+    by itself, as its shared q-grams may cover only a part of it. Items shorter than a window count as one window of their length.
     """
     codes, at = plain(text)
     p, item, place = index.hits(codes)
@@ -119,7 +173,8 @@ def regions(text: str, index: Index) -> list[tuple]:
     sizes = np.array([len(c) for c in index.codes])
     window = np.minimum(WINDOW, sizes)[item]
     need = window - Q + 1 - np.minimum(EDITS, np.maximum(0, (window - Q) // Q)) * Q
-    diagonal = p - place + int(sizes.max())
+    shift = int(sizes.max())
+    diagonal = p - place + shift
     band, over = diagonal // BAND, diagonal % BAND < EDITS
     p, item, place, band, window, need = (np.concatenate([x, x[over]]) for x in (p, item, place, band, window, need))
     band[len(over):] -= 1
@@ -128,14 +183,14 @@ def regions(text: str, index: Index) -> list[tuple]:
     if counts.max() < need.min():
         return []
     order = np.lexsort((place, p, key))
-    p, item, place, window, need, key = (x[order] for x in (p, item, place, window, need, key))
+    p, item, place, band, window, need, key = (x[order] for x in (p, item, place, band, window, need, key))
     fresh = np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1])]  # a place counts once in a band
-    p, item, place, window, need, key = (x[fresh] for x in (p, item, place, window, need, key))
+    p, item, place, band, window, need, key = (x[fresh] for x in (p, item, place, band, window, need, key))
     end = np.arange(len(p)) + need - 1
     good = end < len(p)
     end = np.minimum(end, len(p) - 1)
     good &= (key[end] == key) & (p[end] - p <= window - Q + EDITS)
-    out = set()
+    out, whole, parts = set(), {}, {}
     starts, ends = np.flatnonzero(good), end[good]
     i = 0
     while i < len(starts):
@@ -144,22 +199,30 @@ def regions(text: str, index: Index) -> list[tuple]:
         while j + 1 < len(starts) and key[starts[j + 1]] == key[starts[i]] and p[starts[j + 1]] <= p[last] + Q:
             j += 1
             last = max(last, ends[j])
-        pieces = [(starts[i], last)]
-        while pieces:
-            s, e = pieces.pop()
-            k = int(item[s])
-            d0, d1, i0, i1 = int(p[s]), int(p[e]) + Q, int(place[s]), int(place[e]) + Q
-            size = max(d1 - d0, i1 - i0)
-            if i1 - i0 < Q:
-                continue
+        s = starts[i]
+        i = j + 1
+        k, own = int(item[s]), index.codes[int(item[s])]
+        d0, d1, i0, i1 = int(p[s]), int(p[last]) + Q, int(place[s]), int(place[last]) + Q
+        size, w = max(d1 - d0, i1 - i0), min(WINDOW, len(own))
+        if i1 - i0 >= Q and size >= w - EDITS * 2:
             most = max(1, size * EDITS // WINDOW)
-            edits = distance(index.codes[k][i0:i1], codes[d0:d1], most)
+            edits = distance(own[i0:i1], codes[d0:d1], most)
             if edits <= most:
-                if size >= min(WINDOW, len(index.codes[k])) - EDITS * 2:
-                    out.add((k, int(at[d0]), int(at[d1 - 1]) + 1, i0, i1, edits))
-            elif (s, e) == (starts[i], last) and j > i:
-                pieces += [(starts[m], ends[m]) for m in range(i, j + 1)]
-        i = j + 1
+                out.add((k, int(at[d0]), int(at[d1 - 1]) + 1, i0, i1, edits))
+                whole.setdefault(k, []).append((i0, i1, d0, d1))
+                continue
+        low = int(band[s]) * BAND - shift
+        touched = place[s : last + 1]
+        first, final = max(0, int(touched.min()) - w + 1), min(len(own) - w, int(touched.max()) + Q - 1)
+        parts.setdefault(k, set()).add((first, final, low - EDITS, low + BAND + 2 * EDITS - 1))
+    for k, zones in parts.items():
+        own = index.codes[k]
+        windows = {x for z in zones for x in near_windows(own, codes, *z)}
+        for i0, i1, d0, d1 in joined(list(windows), whole.get(k, [])):
+            most = 2 * EDITS
+            while (edits := distance(own[i0:i1], codes[d0:d1], most)) > most:
+                most *= 2
+            out.add((k, int(at[d0]), int(at[d1 - 1]) + 1, i0, i1, edits))
     return sorted(out)
 
 

@@ -55,6 +55,45 @@ def test_passages_are_found(spark):
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def brute_windows(item, text):
+    """Item places of windows that lie in `text` with at most EDITS edits: full alignment of each with free ends in the text."""
+    a, b = decontaminate.plain(item)[0], decontaminate.plain(text)[0]
+    found = []
+    for at in range(len(a) - decontaminate.WINDOW + 1):
+        row = np.zeros(len(b) + 1, dtype=np.int64)
+        for c in a[at : at + decontaminate.WINDOW]:
+            new = np.r_[row[0] + 1, np.minimum(row[1:] + 1, row[:-1] + (b != c))]
+            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        if row.min() <= decontaminate.EDITS:
+            found.append(at)
+    return found
+
+
+def test_passages_inside_reworded_copies():
+    r = np.random.default_rng(5)
+    counts = set()
+    for trial in range(24):
+        words = ["".join(r.choice(list("abcdefghijklmnop"), 6)) for _ in range(33)]
+        copy = list(words)
+        for k in r.choice(33, 3 + trial % 6, replace=False):  # up to 8 words of 6 letters replaced
+            copy[k] = "zyxwvu"
+        item, text = " ".join(words), " ".join(["before"] * 9 + copy + ["behind"] * 9)
+        if trial % 3 == 0:  # single edits too
+            text = "".join(c if r.random() > 0.02 else "q" * int(r.integers(0, 3)) for c in text)
+        got = decontaminate.regions(text, decontaminate.Index([(1, item)]))
+        want = brute_windows(item, text)
+        counts.add(bool(want))
+        assert all(any(x[3] <= w + 3 and w + decontaminate.WINDOW - 3 <= x[4] for x in got) for w in want), trial
+        assert bool(want) or not got
+        for _, d0, d1, i0, i1, edits in got:
+            a, b = decontaminate.plain(item)[0][i0:i1], decontaminate.plain(text[d0:d1])[0]
+            assert edits == decontaminate.distance(a, b, 60)
+    assert counts == {True, False} or counts == {True}
+    edge = "abcdefghijk" + "lmnopqrstuv".join("0123") + " the rest of the item without any edit"
+    item, text = edge[:64], "".join("#" if k in (11, 23, 35) else c for k, c in enumerate(edge[:64]))
+    assert len(brute_windows(item, text)) == 1 and decontaminate.regions(text, decontaminate.Index([(1, item)]))
+
+
 # 2
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p>";</script></head><body><nav><ul><li><a href=/a>menu {i}</a></ul></nav>
