@@ -346,6 +346,21 @@ def test_mix(spark):
         mixing.mix(docs(spark, rows), {"big": 1}).collect()
 
 
+def test_mix_keeps_to_the_given_weights(spark):
+    weights = {"hot": 0.2} | {f"s{k}": 0.8 / 19 for k in range(19)}
+    weights["s3"] *= 1.37
+    rows = [(i, None, s) for i, s in enumerate(s for s in weights for _ in range(round(weights[s] * 24000)))]
+    got = mixing.mix(docs(spark, rows), weights, block_rows=2, period=64).select("source", "mix_slot", "mix_block").distinct().collect()
+    left = {s: sum(r["source"] == s for r in got) for s in weights}
+    done, total, slots = dict.fromkeys(weights, 0), sum(weights.values()), set()
+    for r in sorted(got, key=lambda r: r["mix_slot"]):
+        assert r["mix_block"] == done[r["source"]] and r["mix_slot"] not in slots
+        slots.add(r["mix_slot"])
+        done[r["source"]] += 1
+        assert all(abs(done[s] - w / total * (r["mix_slot"] + 1)) < 1 + 1e-6 for s, w in weights.items() if done[s] < left[s])
+    assert done == left and len(slots) > 10000  # more than 150 of the old periods
+
+
 # 10
 
 def test_blocks_come_back():
