@@ -202,7 +202,7 @@ def train_lithology(
             v = v.where(F.col("_label") >= 0).withColumn("weight", F.lit(1.0)).withColumn("_val", F.lit(True))
             ready = ready.withColumn("_val", F.lit(False)).unionByName(v)
             gbt = gbt.setValidationIndicatorCol("_val")
-        learner = OneVsRest(classifier=gbt, featuresCol="_features", labelCol="_label", weightCol="weight")
+        learner = OneVsRest(classifier=gbt, featuresCol="_features", labelCol="_label", weightCol="weight", parallelism=min(8, len(codes) or 1))
     else:
         raise ValueError(f"unknown model kind {kind!r}")
     model = Pipeline(stages=[assemble, learner]).fit(ready)

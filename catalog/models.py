@@ -77,42 +77,42 @@ def q_deviation_attribution(s, d):
     )
 
 
+CHANNELS = ["flow_in_lpm", "bit_rpm", "bit_depth_m"]
+LITHOLOGY = ["depth", "l_quantity", "l_discount", "l_tax"]
+
+
 def _forest_rows(s, d):
-    return tele(s, d).select("event_id", "well_name", "flow_in_lpm", "bit_rpm")
+    return tele(s, d).select("event_id", "well_name", *CHANNELS)
 
 
 @query()
 def q_isolation_forest(s, d):
     rows = _forest_rows(s, d)
-    f = A.fit_isolation_forest(rows, ["flow_in_lpm", "bit_rpm"], ["event_id"], trees=50)
+    f = A.fit_isolation_forest(rows, CHANNELS, ["event_id"])
     return rounded(A.score_isolation_forest(rows, f).select("event_id", "is_anomaly", "anomaly_score"), 6, "anomaly_score")
 
 
 @query()
 def q_score_anomalies(s, d):
     t = tele(s, d).withColumn("operations_active", F.col("flow_in_lpm") > 20)
-    out, _ = A.score_anomalies(t, ["flow_in_lpm", "bit_rpm"], ties=["event_id"], windows={"short": 6, "medium": 12}, trees=25)
+    out, _ = A.score_anomalies(t, CHANNELS, ties=["event_id"])
     return out.select("event_id", "is_anomaly", F.round("anomaly_score", 6).alias("anomaly_score"), F.size("contributing_features").alias("n"))
 
 
 @query()
 def q_train_and_predict_lithology(s, d):
     df = _labelled(s, d)
-    m = L.train_lithology(df, ["depth", "l_quantity", "l_discount", "l_tax"], trees=10, depth=6)
-    return L.predict_lithology(m, df, 5.0).select("well", "depth", "lithology_code", "lithology_name", "probability", "actual_code")
+    m = L.train_lithology(df, LITHOLOGY)
+    return L.predict_lithology(m, df).select("well", "depth", "lithology_code", "lithology_name", "probability", "actual_code")
 
 
 @query()
 def q_train_boosted_lithology(s, d):
     df = _labelled(s, d)
-    m = L.train_lithology(df.where("well % 5 > 0"), ["depth", "l_quantity"], "boosted", validation=df.where("well % 5 = 0"), depth=3, rounds=5)
+    m = L.train_lithology(df.where("well % 5 > 0"), LITHOLOGY, "boosted", validation=df.where("well % 5 = 0"))
     return L.evaluate(m, df.where("well % 5 = 0"), split="validation")
 
 
 @query()
 def q_cross_validate(s, d):
-    df = _labelled(s, d)
-    out = L.cross_validate(df, ["depth", "l_quantity"], ["random_forest"], 3, trees=5, depth=4)
-    return out.drop("fit_seconds")
-
-
+    return L.cross_validate(_labelled(s, d), LITHOLOGY, ["random_forest", "boosted"]).drop("fit_seconds")

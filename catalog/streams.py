@@ -93,6 +93,7 @@ def q_stream_dedupe(s, d):
 
 @query()
 def q_stream_score(s, d):
-    forest = A.fit_isolation_forest(tele(s, d).select("event_id", "flow_in_lpm", "bit_rpm"), ["flow_in_lpm", "bit_rpm"], ["event_id"], trees=25)
+    channels = ["flow_in_lpm", "bit_rpm", "bit_depth_m"]
+    forest = A.fit_isolation_forest(tele(s, d).select("event_id", *channels), channels, ["event_id"])
     out = _run(s, S.stream_score(_stream(s, d), forest).select("event_id", "is_anomaly", "anomaly_score"))
     return out.withColumn("anomaly_score", F.round("anomaly_score", 6))

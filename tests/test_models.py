@@ -1,3 +1,6 @@
+import inspect
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -160,3 +163,39 @@ def test_lithology_models(spark):
     stop = df.where("well = 'W0'").withColumn("lithology", F.when(F.col("depth") < 18, 12345).otherwise(F.col("lithology")))
     b = L.train_lithology(df.where("well <> 'W0'"), ["x"], "boosted", validation=stop, depth=2, rounds=3)
     assert b.excluded == 3 and L.evaluate(b, df.where("well = 'W0'")).first()["accuracy"] == 1.0
+
+
+class Called(Exception):
+    pass
+
+
+@pytest.mark.parametrize(
+    "name, operator, kinds",
+    [
+        ("isolation_forest", "anomaly.fit_isolation_forest", None), ("score_anomalies", "anomaly.score_anomalies", None),
+        ("stream_score", "anomaly.fit_isolation_forest", None), ("train_and_predict_lithology", "lithology.train_lithology", None),
+        ("train_boosted_lithology", "lithology.train_lithology", None),
+        ("cross_validate", "lithology.cross_validate", ["random_forest", "boosted"]),
+    ],
+)
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="test tables not there")
+def test_model_queries_run_whole_forms(spark, monkeypatch, name, operator, kinds):
+    import importlib
+
+    import __spark_entry__ as entry
+
+    module, function = operator.split(".")
+    plan = importlib.import_module(f"borelight.plans.{module}")
+    real = inspect.signature(getattr(plan, function))
+
+    def seen(*args, **options):
+        raise Called(real.bind(*args, **options).arguments)
+
+    monkeypatch.setattr(plan, function, seen)
+    with pytest.raises(Called) as got:
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    given = got.value.args[0]
+    cut = {"trees", "depth", "rounds", "k", "windows", "min_leaf", "samples"}
+    assert not cut & (given.keys() | given.get("model_options", {}).keys() | given.get("fit_options", {}).keys())
+    assert len(given.get("features") or given.get("channels")) == (3 if module == "anomaly" else 4)
+    assert kinds is None or given["kinds"] == kinds
