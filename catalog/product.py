@@ -53,8 +53,9 @@ def q_search_passages(s, d):
     v = F.col("vec_id")
     e = table(s, d, "embeddings")
     chunks = e.select(
-        v.alias("chunk_id"), v.alias("document_id"), F.lit(1).alias("page_number"), F.lit("passage").alias("text"), F.when(v % 5 != 0, F.col("embedding")).alias("embedding")
+        v.alias("chunk_id"), v.alias("document_id"), F.lit(1).alias("page_number"), F.when(v % 5 != 0, F.col("embedding")).alias("embedding")
     )
+    chunks = chunks.join(table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text"), "document_id", "left")
     q = table(s, d, "benchmark").join(e, F.col("item_id") == v).select(F.col("item_id").alias("query_id"), "text", "embedding")
     docs = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"), (F.col("doc_id") % 150).alias("well_id"))
     wells = table(s, d, "supplier").select(F.col("s_suppkey").alias("well_id"), F.col("s_name").alias("well_name"))

@@ -54,3 +54,15 @@ def test_gives_rows(spark, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_search_passages_reads_document_texts(spark, monkeypatch):
+    from borelight.plans import similarity
+
+    def seen(queries, chunks, documents, wells):
+        return chunks.selectExpr("document_id AS query_id", "chunk_id", "0 AS similarity", "1 AS rank", "text AS title", "'' AS well_name")
+
+    monkeypatch.setattr(similarity, "search_passages", seen)
+    got = {r["chunk_id"]: r["title"] for r in entry.queries()["search_passages"](spark, FOLDER).collect()}
+    want = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    assert len(got) == spark.read.parquet(f"{FOLDER}/embeddings.parquet").count() and all(got[k] == want.get(k) for k in got)
