@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+SENT_SOURCES = 4096  # more are joined by shuffle
 BUCKET_ROWS = 2000  # rows of a hash bucket in which a source is ranked, about
 
 
@@ -79,10 +80,11 @@ def scheduled(spark: SparkSession, shares: dict, blocks: dict) -> DataFrame:
     return spark.createDataFrame(pa.table({n: np.frombuffer(c, dtype=np.int64) for n, c in zip(names, columns, strict=True)}))
 
 
-def source_rows(docs: DataFrame, source: str, max_sources: int) -> dict:
-    """Rows of each source. More than `max_sources` sources: an error."""
-    rows = docs.groupBy(source).count().limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
+def source_rows(docs: DataFrame, source: str, max_sources: int | None = None) -> dict:
+    """Rows of each source. More than `max_sources` sources, if given: an error."""
+    counts = docs.groupBy(source).count()
+    rows = (counts if max_sources is None else counts.limit(max_sources + 1)).collect()
+    if max_sources is not None and len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     return {r[0]: r[1] for r in rows}
 
@@ -94,7 +96,7 @@ def natural_weights(sizes: dict, power: float) -> dict:
 
 def mix(
     docs: DataFrame, weights: dict | None = None, source: str = "source", key: str = "doc_id", block_rows: int = 16, period: int = 4096,
-    power: float = 0.7, max_sources: int = 1024, seed: int = 7,
+    power: float = 0.7, max_sources: int | None = None, seed: int = 7,
 ) -> DataFrame:
     """`docs` with mix_block, mix_release, mix_deadline, mix_slot and mix_position (unique; the order to read in).
 
@@ -103,7 +105,7 @@ def mix(
     for as long as it has blocks left; the others go on in their own windows, and slots that none of them can take stay empty.
     All rows stay. `weights` maps every source to its target (default: rows to the power 0.7); releases and deadlines are those
     of the exact fractions for every block, so nothing adds up over time. `period` is no longer needed and changes nothing. The
-    schedule is made on the driver, 40 bytes and one heap step a block.
+    schedule is made on the driver, 40 bytes and one heap step a block, from one count a source; any number of sources will do.
 
     A null source is a source of its own; a source without weight is an error. Null and equal keys are ordered by the other columns.
     A source is ranked in hash buckets of about 2000 rows, so one that holds a third of all rows is spread over as many tasks as it
@@ -124,7 +126,9 @@ def mix(
     one = scheduled(spark, shares, {s: -(-n // block_rows) for s, n in sizes.items()})
     about = [(s, number[s], -(-n // BUCKET_ROWS)) for s, n in sizes.items()]
     about = spark.createDataFrame(about, f"_s {kind}, _i long, _buckets long")  # a row a source
-    rows = docs.withColumn("_h", F.xxhash64(F.lit(seed), key)).join(F.broadcast(about), F.col(source).eqNullSafe(F.col("_s"))).drop("_s")
+    if len(sizes) <= SENT_SOURCES:
+        about = F.broadcast(about)
+    rows = docs.withColumn("_h", F.xxhash64(F.lit(seed), key)).join(about, F.col(source).eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 8), F.col("_buckets"))).drop("_buckets")
     counts = rows.groupBy("_i", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_i").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

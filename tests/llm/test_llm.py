@@ -361,6 +361,13 @@ def test_mix_keeps_to_the_given_weights(spark):
     assert done == left and len(slots) > 10000  # more than 150 of the old periods
 
 
+def test_mix_of_many_sources(spark):
+    rows = [(i, None, f"host{i % 5000}") for i in range(6000)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    assert len(got) == len({r["mix_position"] for r in got}) == 6000 and {r["doc_id"] for r in got} == set(range(6000))
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in got)
+
+
 # 10
 
 def test_blocks_come_back():
