@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from borelight.llm import chats, decontaminate, fingerprints, mixing, near, personal, tokens, toxicity, urls, wrappers
+from borelight.llm import chats, decontaminate, fingerprints, manifest, mixing, near, personal, tokens, toxicity, urls, wrappers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -132,3 +133,51 @@ def op3_conversations(spark, folder):
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chats.formatted_conversations(turns.unionByName(more))
+
+
+@query(
+    """
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc FROM documents),
+f AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, xor(crc, 4294967295) % 7 = 0 AS changed,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS n, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS n1,
+    coalesce(strlen(text) || ':' || text, '-') AS t FROM d),
+l AS (
+  SELECT doc_id, grp, sha256(a || n || t) AS leaf, CASE WHEN changed THEN sha256(a || n1 || t) ELSE sha256(a || n || t) END AS other,
+    row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, sha256(a || n || t)) - 1 AS rank, count(*) OVER (PARTITION BY grp) AS n FROM f),
+t AS (
+  SELECT grp, 0 AS lev, rank AS i, n, leaf AS h FROM l
+  UNION ALL
+  SELECT grp, lev + 1, i // 2, (n + 1) // 2, sha256(h || coalesce(sib, '')) FROM (
+    SELECT *, lead(h) OVER (PARTITION BY grp ORDER BY i) AS sib FROM t WHERE n > 1) WHERE i % 2 = 0),
+g AS (SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS rank, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lev, rank AS i, n, h FROM g
+  UNION ALL
+  SELECT lev + 1, i // 2, (n + 1) // 2, sha256(h || coalesce(sib, '')) FROM (
+    SELECT *, lead(h) OVER (ORDER BY i) AS sib FROM u WHERE n > 1) WHERE i % 2 = 0),
+s AS (
+  SELECT l.doc_id, l.leaf, l.other, g.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root,
+    list_concat(
+      coalesce((SELECT list({'sib': x.h, 'r': (l.rank >> p.lev) % 2 = 1} ORDER BY p.lev) FROM (SELECT DISTINCT grp, lev, n FROM t) p
+        LEFT JOIN t x ON x.grp = p.grp AND x.lev = p.lev AND x.i = xor(l.rank >> p.lev, 1) WHERE p.grp = l.grp AND p.n > 1), []),
+      coalesce((SELECT list({'sib': x.h, 'r': (g.rank >> p.lev) % 2 = 1} ORDER BY p.lev) FROM (SELECT DISTINCT lev, n FROM u) p
+        LEFT JOIN u x ON x.lev = p.lev AND x.i = xor(g.rank >> p.lev, 1) WHERE p.n > 1), [])) AS steps
+  FROM l JOIN g USING (grp)),
+o AS (
+  SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda x: x.sib), ''), '')) AS proof_sha256,
+    list_reduce(list_prepend({'sib': other, 'r': false}, steps),
+      lambda h, x: {'sib': sha256(CASE WHEN x.sib IS NULL THEN h.sib WHEN x.r THEN x.sib || h.sib ELSE h.sib || x.sib END), 'r': false}).sib AS folded_root FROM s)
+SELECT *, folded_root = root AS verified FROM o
+"""
+)
+def op12_manifest(spark, folder):
+    """The Merkle leaf, roots and proof of every document; every seventh is checked with a changed length."""
+    changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    out = manifest.manifest(table(spark, folder, "documents"), columns, "lang", "doc_id", changed, {"n_chars": F.col("n_chars") + 1})
+    return out.select(F.col("key").cast("long").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
