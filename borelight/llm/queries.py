@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from borelight.llm import chats, decontaminate, fingerprints, manifest, mixing, near, personal, tokens, toxicity, urls, wrappers
+from borelight.llm import alignment, chats, decontaminate, fingerprints, manifest, mixing, near, personal, tokens, toxicity, urls, wrappers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -181,3 +181,15 @@ def op12_manifest(spark, folder):
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
     out = manifest.manifest(table(spark, folder, "documents"), columns, "lang", "doc_id", changed, {"n_chars": F.col("n_chars") + 1})
     return out.select(F.col("key").cast("long").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def piece_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query()
+def op11_alignment(spark, folder):
+    """The tokens of two tokenizers over every document, grouped where both end, with their links counted over the corpus."""
+    return alignment.aligned(table(spark, folder, "documents"), byte_bpe(), piece_bpe())
