@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from borelight.llm import alignment, chats, decontaminate, fingerprints, manifest, mixing, near, personal, tokens, toxicity, urls, wrappers
+from borelight.llm import alignment, chats, covertree, decontaminate, fingerprints, manifest, mixing, near, personal, tokens, toxicity, urls, wrappers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -193,3 +193,21 @@ def piece_bpe() -> str:
 def op11_alignment(spark, folder):
     """The tokens of two tokenizers over every document, grouped where both end, with their links counted over the corpus."""
     return alignment.aligned(table(spark, folder, "documents"), byte_bpe(), piece_bpe())
+
+
+@query(
+    """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+g AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, (SELECT min(b) FROM r WHERE r.a = vec_id) AS component_id,
+  vec_id = (SELECT min(b) FROM r WHERE r.a = vec_id) AS kept FROM v
+"""
+)
+def op13_similar_vectors(spark, folder):
+    """Links and components of all vectors whose cosine is 0.95 or more."""
+    return covertree.similar_vectors(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
