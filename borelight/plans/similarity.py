@@ -1,18 +1,18 @@
 """Segment vectors, analogue ranking and passage search.
 
-Vectors are compared by matrix product inside Arrow batches: a bounded block of queries is held by
-every task while the large table streams past, and each batch is reduced before anything is shuffled.
+Vectors are compared by matrix product: the large table is read once and packed into rows of some thousand vectors, the queries are
+a second side of blocks of bounded size, and a task that sees both keeps the best of each query before anything is shuffled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from borelight.functions import scalars as S
 from borelight.operators.joins import formations_in_window
@@ -30,21 +30,51 @@ from borelight.operators.windows import segment_rows
 from borelight.params import ANALOGUE_WEIGHTS, BEHAVIOUR_SCALES, DEFAULTS
 
 QUERY_BLOCK = 2048
+QUERY_ROWS = 32 * QUERY_BLOCK  # queries whose blocks are broadcast
+PACK_ROWS = 4096
 
 
 class SearchUnavailable(RuntimeError):
     """The passage index is not there or not built."""
 
 
-def _query_blocks(queries: DataFrame, cols: list[str], n: int | None = None) -> list[pd.DataFrame]:
-    """Queries in blocks of about QUERY_BLOCK rows; more queries mean more passes, not larger blocks."""
-    n = queries.count() if n is None else n
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    q = queries.select(*cols)
-    if blocks == 1:
-        return [q.toPandas()]
-    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return [q.where(part == b).toPandas() for b in range(blocks)]
+def packed(df: DataFrame, rows: int = PACK_ROWS) -> DataFrame:
+    """One row `_items` (array of structs) for up to `rows` consecutive rows of each partition."""
+    inner = df.schema
+
+    def pack(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows)
+                values = pa.StructArray.from_arrays(part.columns, names=part.schema.names)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), values)], names=["_items"])
+
+    return df.mapInArrow(pack, T.StructType([T.StructField("_items", T.ArrayType(inner))]))
+
+
+def against_queries(items: DataFrame, queries: DataFrame, n_queries: int, kernel: Callable, schema) -> tuple[DataFrame, bool]:
+    """`kernel` over every pack of items and every block of queries, and whether a task sees its packs in order.
+
+    Queries are dealt into blocks of about QUERY_BLOCK rows by tasks. Up to QUERY_ROWS of them the blocks are broadcast; more are joined by
+    shuffle on the block number, so neither side passes through the driver as rows and the items are read once.
+    `kernel` gets an iterator of (block, items, queries) as struct arrays and gives record batches.
+    """
+    blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    dealt = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block")).agg(
+        F.collect_list(F.struct(*queries.columns)).alias("_queries"))
+    few = n_queries <= QUERY_ROWS
+    both = items.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(F.broadcast(dealt) if few else dealt, "_block")
+
+    def run(batches):
+        def each():
+            for b in batches:
+                block, rows, asked = b.column("_block"), b.column("_items"), b.column("_queries")
+                for i in range(b.num_rows):
+                    yield block[i].as_py(), rows[i].values, asked[i].values
+
+        yield from kernel(each())
+
+    return both.select("_block", "_items", "_queries").mapInArrow(run, schema), few
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -53,47 +83,51 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
 
 
-def _top_in_batch(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the k best values, smaller id first among equals."""
-    if len(sims) > k:
-        edge = np.partition(-sims, k - 1)[k - 1]
-        rows = np.flatnonzero(-sims <= edge)
-    else:
-        rows = np.arange(len(sims))
-    return rows[np.lexsort((ids[rows], -sims[rows]))][:k]
+def _best_rows(query: np.ndarray, sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Row numbers of the k best values of each query, smaller id first among equals."""
+    place = np.empty(len(ids), dtype=np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    order = np.lexsort((place, -sims, query))
+    q = query[order]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+    return order[rank < k]
 
 
 def nearest_vectors(
-    items: DataFrame, queries: DataFrame, k: int, item_id: str = "chunk_id", vector: str = "embedding",
+    items: DataFrame, queries: DataFrame, k: int, item_id: str = "chunk_id", vector: str = "embedding", n_queries: int | None = None,
 ) -> DataFrame:
     """Exact top-k items per query by dot product: (query_id, item id, similarity, rank).
 
-    Every batch sends on at most k rows per query.
+    A task keeps k items a query over all it sees, so k rows per query and task are shuffled. Queries without a vector find nothing.
     """
-    keep = k
-    kind = items.schema[item_id].dataType.simpleString()
-    q_kind = queries.schema["query_id"].dataType.simpleString()
-    rows = spread(items.where(F.col(vector).isNotNull()).select(item_id, vector))
-    parts = []
-    for block in _query_blocks(queries, ["query_id", vector]):
-        q_ids = block["query_id"].to_numpy()
-        q_mat = np.stack(block[vector].to_numpy()).astype("float64") if len(block) else np.zeros((0, 1))
-
-        def best(batches, q_ids=q_ids, q_mat=q_mat):
-            for b in batches:
-                if b.num_rows == 0 or len(q_ids) == 0:
-                    continue
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                sims = _matrix(b.column(1)) @ q_mat.T
-                for j, q in enumerate(q_ids):
-                    top = _top_in_batch(sims[:, j], ids, keep)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([q] * len(top)), pa.array(ids[top]), pa.array(sims[top, j])],
-                        names=["query_id", item_id, "similarity"],
-                    )
-
-        parts.append(rows.mapInArrow(best, f"query_id {q_kind}, {item_id} {kind}, similarity double"))
-    found = reduce(DataFrame.unionByName, parts)
+    queries = queries.where(F.col(vector).isNotNull()).select("query_id", vector)
+    n_queries = queries.count() if n_queries is None else n_queries
+    kinds = (queries.schema["query_id"].dataType, items.schema[item_id].dataType)
+    schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField(item_id, kinds[1]), T.StructField("similarity", T.DoubleType())])
+
+    def best(pairs):
+        kept: dict = {}
+        for block, rows, asked in pairs:
+            names, x = rows.field(0), _matrix(rows.field(1))
+            if block not in kept:
+                kept[block] = (asked.field(0), _matrix(asked.field(1)), None)
+            ids, q, old = kept[block]
+            sims = q @ x.T
+            edge = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k] if sims.shape[1] > k else np.full((len(q), 1), -np.inf)
+            if old is not None and len(old[0]) == len(q) * k:  # what is below a query's k-th so far cannot come in
+                edge = np.maximum(edge, old[1].reshape(len(q), k)[:, -1:])
+            at_q, at_x = np.nonzero((sims >= edge) | np.isnan(sims))
+            found = at_q, sims[at_q, at_x], names.to_numpy(zero_copy_only=False)[at_x]
+            if old is not None:
+                found = tuple(np.concatenate(c) for c in zip(old, found, strict=True))
+            rows_kept = _best_rows(*found, k)
+            kept[block] = (ids, q, tuple(c[rows_kept] for c in found))
+        for ids, _, (at_q, sims, names) in kept.values():
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at_q)), pa.array(names), pa.array(sims)], names=["query_id", item_id, "similarity"])
+
+    rows = packed(spread(items.where(F.col(vector).isNotNull()).select(item_id, vector)))
+    found, _ = against_queries(rows, queries, n_queries, best, schema)
     return top_k_per_query(found, k, "query_id", "similarity", item_id)
 
 
@@ -125,11 +159,12 @@ def search_passages(
             "No report passages have embeddings yet; run the embedding step." if some
             else "No report passages have been ingested."
         )
-    hits = nearest_vectors(pool, queries, k).where(F.col("similarity") >= floor)
+    n_queries = queries.count()
+    hits = nearest_vectors(pool, queries, k, n_queries=n_queries).where(F.col("similarity") >= floor)
     hits = hits.withColumn("similarity", F.round("similarity", 4))
     text = chunks.select("chunk_id", "document_id", "page_number", F.col("text").alias("passage"))
     return (
-        text.join(broadcast_if_small(hits), "chunk_id")
+        text.join(broadcast_within(hits, n_queries * k), "chunk_id")
         .join(broadcast_if_small(documents.select("document_id", "title", "well_id")), "document_id", "left")
         .join(broadcast_if_small(wells.select("well_id", "well_name")), "well_id", "left")
     )
@@ -267,97 +302,83 @@ def query_vectors(queries: DataFrame, segments: DataFrame, n_queries: int) -> Da
     )
 
 
-def best_segments(
-    queries: DataFrame, wells: DataFrame, segments: DataFrame, n_queries: int | None = None
-) -> DataFrame:
-    """Per (query, other well) the segment most similar to the query vector, or nearest in depth if the
-    query has none; wells without segments give a row of NULLs.
+def best_segments(queries: DataFrame, segments: DataFrame, n_queries: int, carried: list[str]) -> DataFrame:
+    """Per (query, other well) the segment most similar to the query vector, or nearest in depth if the query has none; of equals the lowest top.
 
-    `queries`: query_id, well_id, depth_m, embedding.
+    `queries`: query_id, well_id, depth_m, embedding. `segments`: well_id, segment_top_m, segment_base_m, embedding and the columns
+    `carried` along; a row without a top stands for a well without segments. A well's segments come to one task in order, so a pair is
+    found there and is not shuffled; of a well that goes over several packs only the best segment of some query is held.
     """
-    names = [c for c in ("dominant_group", "dominant_formation") if c in segments.columns]
-    seg = segments.select("well_id", "segment_top_m", "segment_base_m", *names, "embedding")
-    bare = wells.select("well_id").select(
-        "well_id", *[F.lit(None).cast(seg.schema[c].dataType).alias(c) for c in seg.columns if c != "well_id"]
-    )
-    rows = seg.unionByName(bare)
-    q_kind = queries.schema["query_id"].dataType.simpleString()
-    w_kind = segments.schema["well_id"].dataType.simpleString()
-    schema = (
-        f"query_id {q_kind}, well_id {w_kind}, metric double, geology double, segment_top_m double, "
-        "segment_base_m double" + "".join(f", {n} string" for n in names)
-    )
-    parts = []
-    for block in _query_blocks(queries, ["query_id", "well_id", "depth_m", "embedding"], n_queries):
-        parts.append(rows.mapInArrow(_segment_kernel(block, names), schema))
-    found = reduce(DataFrame.unionByName, parts)
-    rest = ["geology", "segment_top_m", "segment_base_m", *names]
+    fields = ["well_id", "segment_top_m", "segment_base_m", *carried]
+    kinds = {f.name: f for f in segments.schema.fields}
+    schema = T.StructType([queries.schema["query_id"], *[kinds[c] for c in fields], T.StructField("geology", T.DoubleType()), T.StructField("metric", T.DoubleType())])
+    rows = segments.select(*fields, "embedding").repartition("well_id").sortWithinPartitions("well_id", "segment_top_m")
+    found, in_order = against_queries(packed(rows), queries.select("query_id", "well_id", "depth_m", "embedding"), n_queries, _segment_kernel(fields), schema)
+    if in_order:
+        return found.drop("metric")
+    rest = [f.name for f in schema.fields if f.name not in ("query_id", "well_id", "metric")]
     order = F.struct(F.col("metric"), -F.col("segment_top_m"))
-    return found.groupBy("query_id", "well_id").agg(
-        F.max_by(F.struct(*rest), order).alias("_s")
-    ).select("query_id", "well_id", "_s.*")
-
-
-def _segment_kernel(block: pd.DataFrame, names: list[str]):
-    q_ids, q_wells = block["query_id"].to_numpy(), block["well_id"].to_numpy()
-    q_depth = block["depth_m"].to_numpy(dtype="float64")
-    has = np.array([v is not None for v in block["embedding"]], dtype=bool)
-    dims = max([len(v) for v in block["embedding"] if v is not None] + [1])
-    q_mat = np.zeros((len(block), dims))
-    for i, v in enumerate(block["embedding"]):
-        if v is not None:
-            q_mat[i] = np.asarray(v, dtype="float64")
-    q_len = np.sqrt((q_mat**2).sum(axis=1))
-
-    def kernel(batches):
-        for b in batches:
-            if b.num_rows == 0 or len(q_ids) == 0:
-                continue
-            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            wells = col["well_id"].to_numpy(zero_copy_only=False)
-            top = col["segment_top_m"].to_numpy(zero_copy_only=False).astype("float64")
-            base = col["segment_base_m"].to_numpy(zero_copy_only=False).astype("float64")
-            known = ~np.isnan(top)
-            full = np.asarray(col["embedding"].is_valid())
-            cosine = np.full((len(wells), len(q_ids)), np.nan)
-            if full.any():
-                s = _matrix(col["embedding"].filter(pa.array(full)))
-                if s.shape[1] != q_mat.shape[1] and has.any():
-                    raise ValueError(f"segment vectors have {s.shape[1]} values, queries {q_mat.shape[1]}")
-                if has.any():
-                    length = np.sqrt((s**2).sum(axis=1))[:, None] * q_len[None, :]
-                    raw = np.divide(s @ q_mat.T, length, out=np.full(length.shape, -1.0), where=length > 0)
-                    cosine[full] = np.clip((raw + 1.0) / 2.0, 0.0, 1.0)
-                    cosine[:, ~has] = np.nan
-            mid_gap = -np.abs(((top + base) / 2.0)[:, None] - q_depth[None, :])
-            metric = np.where(has[None, :], cosine, mid_gap)
-            metric = np.where(known[:, None] & ~np.isnan(metric), metric, -np.inf)
-            order = np.lexsort((top, wells))
-            sorted_wells = wells[order]
-            starts = np.flatnonzero(np.r_[True, sorted_wells[1:] != sorted_wells[:-1]])
-            ends = np.r_[starts[1:], len(order)]
-            best = np.stack(
-                [order[a:z][metric[order[a:z]].argmax(axis=0)] for a, z in zip(starts, ends)]
-            )
-            well_of = sorted_wells[starts]
-            for j in range(len(q_ids)):
-                pick = best[:, j][well_of != q_wells[j]]
-                if not len(pick):
-                    continue
-                m = metric[pick, j]
-                take = pa.array(pick)
-                out = [
-                    pa.array([q_ids[j]] * len(pick)),
-                    pa.array(wells[pick]),
-                    pa.array(m),
-                    pa.array(cosine[pick, j], from_pandas=True),
-                    col["segment_top_m"].take(take),
-                    col["segment_base_m"].take(take),
-                    *[col[n].take(take) for n in names],
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    out, names=["query_id", "well_id", "metric", "geology", "segment_top_m", "segment_base_m", *names]
-                )
+    return found.groupBy("query_id", "well_id").agg(F.max_by(F.struct(*rest), order).alias("_s")).select("query_id", "well_id", "_s.*")
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _segment_kernel(fields: list[str]):
+    def asked_of(queries: pa.StructArray) -> tuple:
+        ids, wells, depth, vectors = (queries.field(i) for i in range(4))
+        has = np.asarray(vectors.is_valid())
+        known = _matrix(vectors.filter(pa.array(has))) if has.any() else np.zeros((0, 1))
+        matrix = np.zeros((len(has), known.shape[1]))
+        matrix[has] = known
+        return ids, wells.to_numpy(zero_copy_only=False), _numbers(depth), has, matrix, np.sqrt((matrix**2).sum(axis=1))
+
+    def measured(rows: pa.StructArray, asked: tuple) -> tuple[np.ndarray, np.ndarray]:
+        _, _, q_depth, has, q_mat, q_len = asked
+        top, base = _numbers(rows.field(1)), _numbers(rows.field(2))
+        vectors = rows.field(len(fields))
+        full = np.asarray(vectors.is_valid())
+        cosine = np.full((len(rows), len(has)), np.nan)
+        if full.any() and has.any():
+            s = _matrix(vectors.filter(pa.array(full)))
+            if s.shape[1] != q_mat.shape[1]:
+                raise ValueError(f"segment vectors have {s.shape[1]} values, queries {q_mat.shape[1]}")
+            length = np.sqrt((s**2).sum(axis=1))[:, None] * q_len[None, :]
+            raw = np.divide(s @ q_mat.T, length, out=np.full(length.shape, -1.0), where=length > 0)
+            cosine[full] = np.clip((raw + 1.0) / 2.0, 0.0, 1.0)
+            cosine[:, ~has] = np.nan
+        metric = np.where(has[None, :], cosine, -np.abs(((top + base) / 2.0)[:, None] - q_depth[None, :]))
+        return cosine, np.where(~np.isnan(top)[:, None] & ~np.isnan(metric), metric, -np.inf)
+
+    def told(rows, cosine, metric, best, wells_at, asked):
+        """One row for each query and well, but its own: `best` has the row of each well and query."""
+        wells = rows.field(0).to_numpy(zero_copy_only=False)
+        at_well, at_query = np.nonzero(wells[wells_at][:, None] != asked[1][None, :])
+        pick = best[at_well, at_query]
+        take = pa.array(pick)
+        columns = [asked[0].take(pa.array(at_query)), *[rows.field(i).take(take) for i in range(len(fields))],
+                   pa.array(cosine[pick, at_query], from_pandas=True), pa.array(metric[pick, at_query])]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", *fields, "geology", "metric"])
+
+    def kernel(pairs):
+        open_: dict = {}
+        for block, rows, queries in pairs:
+            if block in open_:
+                rows = pa.concat_arrays([open_[block][0], rows])
+                asked = open_[block][1]
+            else:
+                asked = asked_of(queries)
+            cosine, metric = measured(rows, asked)
+            wells = rows.field(0).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, wells[1:] != wells[:-1]])
+            best = np.stack([a + metric[a:z].argmax(axis=0) for a, z in zip(starts, np.r_[starts[1:], len(wells)], strict=True)])
+            if len(starts) > 1:
+                yield told(rows, cosine, metric, best[:-1], starts[:-1], asked)
+            open_[block] = rows.take(pa.array(np.unique(best[-1]))), asked  # in order, so the lowest top of equals stays first
+        for rows, asked in open_.values():
+            cosine, metric = measured(rows, asked)
+            yield told(rows, cosine, metric, metric.argmax(axis=0)[None, :], np.zeros(1, dtype=np.int64), asked)
 
     return kernel
 
@@ -393,8 +414,6 @@ def rank_analogues(
     # one row per query: written once, read by the vector scan and by every query-side join
     located = materialised(q.join(query_vectors(q, segments, n_queries), "query_id", "left"))
     q = located.drop("embedding")
-    pairs = best_segments(located, wells, segments, n_queries)
-
     window = q.select(
         "query_id", "well_id",
         F.greatest(F.lit(0.0), F.col("depth_m") - half_window).alias("lo"),
@@ -409,21 +428,33 @@ def rank_analogues(
         .join(window.select("query_id", "lo", "hi"), "query_id")
         .drop("well_id")
     )
-    rows = pairs.join(broadcast_within(q_side, n_queries), "query_id")
-    rows = rows.withColumn("_lo", F.coalesce("segment_top_m", "lo")).withColumn(
-        "_hi", F.coalesce("segment_base_m", "hi")
-    )
-    spans = rows.select(
-        F.col("well_id").alias("_sw"), F.col("_lo").alias("_slo"), F.col("_hi").alias("_shi")
-    ).distinct()
-    c_names = formations_in_window(
-        spans, intervals.withColumnRenamed("well_id", "_sw"), ["_sw", "_slo", "_shi"], "_sw", "_slo", "_shi", bucket
-    ).withColumnsRenamed({"formations": "_cf", "groups": "_cg"})
-    rows = rows.join(
-        c_names,
-        (F.col("well_id") == F.col("_sw")) & (F.col("_lo") == F.col("_slo")) & (F.col("_hi") == F.col("_shi")),
-        "left",
-    ).drop("_sw", "_slo", "_shi")
+
+    def names_of(spans: DataFrame) -> DataFrame:
+        found = formations_in_window(
+            spans.distinct(), intervals.withColumnRenamed("well_id", "_sw"), ["_sw", "_slo", "_shi"], "_sw", "_slo", "_shi", bucket
+        )
+        return found.withColumnsRenamed({"formations": "_cf", "groups": "_cg"})
+
+    def named(rows: DataFrame, lo: str, hi: str) -> DataFrame:
+        spans = names_of(rows.select(F.col("well_id").alias("_sw"), F.col(lo).alias("_slo"), F.col(hi).alias("_shi")))
+        same = (F.col("well_id") == F.col("_sw")) & (F.col(lo) == F.col("_slo")) & (F.col(hi) == F.col("_shi"))
+        return rows.join(spans, same, "left").drop("_sw", "_slo", "_shi")
+
+    # what is known of a segment and its well is attached before the pairs exist; pairs then go straight to the top k
+    extra = [c for c in ("dominant_group", "dominant_formation") if c in segments.columns]
+    seg = segments.select("well_id", "segment_top_m", "segment_base_m", *extra, "embedding")
+    whole = seg.where("segment_top_m is not null and segment_base_m is null").isEmpty()
+    if whole:
+        seg = named(seg, "segment_top_m", "segment_base_m")
+    carried = [*extra, *(["_cf", "_cg"] if whole else [])]
+    parts = best_segments(located, seg, n_queries, carried).join(broadcast_within(q_side, n_queries), "query_id")
+    if not whole:
+        parts = parts.withColumn("_lo", F.coalesce("segment_top_m", "lo")).withColumn("_hi", F.coalesce("segment_base_m", "hi"))
+        parts = named(materialised(parts), "_lo", "_hi").drop("_lo", "_hi")
+    bare = wells.select("well_id").join(segments.select("well_id").distinct(), "well_id", "left_anti")
+    bare = bare.select("well_id", *[F.lit(None).cast(seg.schema[c].dataType).alias(c) for c in seg.columns if c not in ("well_id", "_cf", "_cg")])
+    rest = best_segments(located, bare, n_queries, extra).join(broadcast_within(q_side, n_queries), "query_id")
+    rows = parts.unionByName(named(rest, "lo", "hi"))
     others = wells.select("well_id", "well_name", "latitude", "longitude", "total_depth_m")
     rows = rows.join(broadcast_within(others, n_wells), "well_id").join(
         broadcast_within(profiles.select("well_id", F.col("profile").alias("_cp")), n_wells), "well_id", "left"

@@ -34,19 +34,19 @@ DOT = "list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 
 
 @query(
-    "WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE label = 3), c AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT query_id, vec_id, "
+    "WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT query_id, vec_id, "
     f"{DOT} AS similarity FROM q, c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM s) SELECT query_id, vec_id, round(similarity, 6) AS "
     "similarity, CAST(r AS INT) AS rank FROM r WHERE r <= 10"
 )
 def q_nearest_vectors(s, d):
     e = table(s, d, "embeddings")
-    q = e.where("label = 3").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return rounded(M.nearest_vectors(e.select("vec_id", "embedding"), q, 10, "vec_id"), 6, "similarity")
 
 
 @query(
     "WITH q AS (SELECT b.item_id AS query_id, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id), c AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 5 <> 0), s AS (SELECT query_id, vec_id AS chunk_id, "
-    f"{DOT} AS x FROM q, c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, chunk_id) AS r FROM s) SELECT query_id, chunk_id, round(x, 4) AS similarity, CAST(r AS INT) AS rank, d.source AS title, s.s_name AS "
+    f"{DOT} AS x FROM q, c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, chunk_id) AS r FROM s) SELECT query_id, chunk_id, round(x, 4) AS similarity, CAST(r AS INT) AS rank, d.text AS passage, d.source AS title, s.s_name AS "
     "well_name FROM r LEFT JOIN documents d ON d.doc_id = chunk_id LEFT JOIN supplier s ON s.s_suppkey = d.doc_id % 150 WHERE r <= 10 AND x >= 0.25"
 )
 def q_search_passages(s, d):
@@ -59,7 +59,7 @@ def q_search_passages(s, d):
     q = table(s, d, "benchmark").join(e, F.col("item_id") == v).select(F.col("item_id").alias("query_id"), "text", "embedding")
     docs = table(s, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"), (F.col("doc_id") % 150).alias("well_id"))
     wells = table(s, d, "supplier").select(F.col("s_suppkey").alias("well_id"), F.col("s_name").alias("well_name"))
-    return M.search_passages(q, chunks, docs, wells).select("query_id", "chunk_id", "similarity", "rank", "title", "well_name")
+    return M.search_passages(q, chunks, docs, wells).select("query_id", "chunk_id", "similarity", "rank", "passage", "title", "well_name")
 
 
 @query(

@@ -134,6 +134,62 @@ def test_search_errors(spark):
         M.search_passages(q.withColumn("text", F.lit("   ")), ch, docs, wells)
 
 
+def _segments(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for w in range(9):
+        for k in range(int(rng.integers(0, 12)) if w else 40):
+            v = [round(float(x), 1) for x in rng.normal(size=3)]
+            rows.append((w, float(k * 10), float(k * 10 + 20), f"g{k % 3}", None if k % 7 == 6 else [0.0] * 3 if k % 7 == 5 else v))
+    seg = spark.createDataFrame(rows + [(w, None, None, None, None) for w in (20, 21)], "well_id long, segment_top_m double, segment_base_m double, name string, embedding array<double>")
+    asked = [(i, i % 9, float(7 * i), None if i % 5 == 4 else [round(float(x), 1) for x in rng.normal(size=3)]) for i in range(40)]
+    return seg, rows, spark.createDataFrame(asked, "query_id long, well_id long, depth_m double, embedding array<double>"), asked
+
+
+@pytest.mark.parametrize("pack, block, most", [(4096, 2048, 10_000), (3, 7, 10_000), (3, 7, 0)])
+def test_best_segments_by_any_plan(spark, monkeypatch, pack, block, most):
+    """Packs that cut a well, several blocks of queries, broadcast and shuffled, against a plain search."""
+    seg, rows, q, asked = _segments(spark)
+    monkeypatch.setattr(M, "QUERY_BLOCK", block)
+    monkeypatch.setattr(M, "QUERY_ROWS", most)
+    monkeypatch.setattr(M, "packed", lambda df, n=pack, f=M.packed: f(df, n))
+    got = {(r["query_id"], r["well_id"]): (r["segment_top_m"], r["name"], r["geology"]) for r in M.best_segments(q, seg, len(asked), ["name"]).collect()}
+    wells = {r[0] for r in rows} | {20, 21}
+    assert set(got) == {(i, w) for i, own, _, _ in asked for w in wells - {own}}
+    for i, own, depth, v in asked:
+        for w in wells - {own}:
+            best = None
+            for _, top, base, name, e in (r for r in rows if r[0] == w):
+                if v is None:
+                    metric, geology = -abs((top + base) / 2 - depth), None
+                elif e is None:
+                    continue
+                else:
+                    size = np.linalg.norm(v) * np.linalg.norm(e)
+                    metric = geology = (np.dot(v, e) / size + 1) / 2 if size else 0.0
+                if best is None or metric > best[0] + 1e-12:
+                    best = (metric, top, name, geology)
+            if best is None:  # no segment that can be compared: the first one, or none
+                assert got[i, w][2] is None
+            else:
+                assert got[i, w][:2] == best[1:3]
+                assert got[i, w][2] == (None if best[3] is None else pytest.approx(best[3]))
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_search_keeps_ties_by_id(spark, monkeypatch, most):
+    monkeypatch.setattr(M, "QUERY_ROWS", most)
+    monkeypatch.setattr(M, "packed", lambda df, n=4, f=M.packed: f(df, n))
+    items = spark.createDataFrame([(f"i{k:02d}", [1.0, float(k % 3)] if k % 5 else None) for k in range(40)], "chunk_id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "query_id long, embedding array<double>")
+    got = [(r["query_id"], r["chunk_id"]) for r in M.nearest_vectors(items, q, 4).orderBy("query_id", "rank").collect()]
+    ids = [k for k in range(40) if k % 5]
+    assert [c for i, c in got if i == 1] == [f"i{k:02d}" for k in ids[:4]]
+    assert [c for i, c in got if i == 2] == [f"i{k:02d}" for k in [k for k in ids if k % 3 == 2][:4]]
+    assert {i for i, _ in got} == {1, 2}
+    assert M.nearest_vectors(items, q.limit(0), 4).count() == 0 and M.nearest_vectors(items.limit(0), q, 4).count() == 0
+
+
 def test_search_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(17)
     v = rng.normal(size=(300, 8))
