@@ -2,11 +2,15 @@
 
 Ordinary keys use Spark's `percentile`. For keys above `max_rows` the values are counted in monotone
 cells, the one or two cells holding the wanted ranks are found from the counts, and only those cells'
-values are looked at again.
+values are looked at again. Many columns of a whole table are selected together by the bits of their values.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,10 @@ from borelight.operators.skew import (
 )
 
 
+LEVEL_BITS = 16
+CELLS = 256  # histograms of 2**16 counts that a task holds at once
+
+
 def _clean(c):
     return F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
 
@@ -38,6 +46,11 @@ def group_quantiles(
         return df.groupBy(*keys).agg(
             *[F.percentile_approx(_clean(c), list(probs), 10000).alias(c) for c in cols]
         )
+    if not keys:
+        n = df.count()
+        if n * len(cols) > max_rows:
+            found = column_quantiles(df, cols, probs)
+            return df.sparkSession.createDataFrame([tuple(found[c] for c in cols)], ", ".join(f"`{c}` array<double>" for c in cols))
     plain = [F.percentile(_clean(c), F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in cols]
     hot = hot_keys(df, keys, max_rows)
     n_hot = hot.count()
@@ -51,6 +64,83 @@ def group_quantiles(
     return df.join(hot, cond, "left_anti").groupBy(*keys).agg(*plain).unionByName(big)
 
 
+def _ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned integers in the same order; the two zeros are one."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _from_bits(key: int) -> float:
+    bits = key & ((1 << 63) - 1) if key >> 63 else ~key & ((1 << 64) - 1)
+    return float(np.array([bits], dtype=np.uint64).view(np.float64)[0])
+
+
+def _cell_counts(df: DataFrame, cols: list[str], wanted: list[tuple[int, int]], level: int) -> DataFrame:
+    """(col, cell, sub, n): of the values of column `col` whose leading level x 16 bits are `cell`, how many have the next 16 bits `sub`.
+
+    A task adds up one histogram for each wanted cell and sends only what is not zero."""
+    shift = np.uint64(64 - LEVEL_BITS * (level + 1))
+
+    def count(batches):
+        hist = {w: np.zeros(1 << LEVEL_BITS, dtype=np.int64) for w in wanted}
+        of_col: dict = {}
+        for c, cell in wanted:
+            of_col.setdefault(c, []).append(cell)
+        for b in batches:
+            for c, cells in of_col.items():
+                column = b.column(c).drop_null()
+                key = _ordered_bits(column.to_numpy(zero_copy_only=False)) >> shift
+                for cell in cells:
+                    some = key if level == 0 else key[key >> np.uint64(LEVEL_BITS) == np.uint64(cell)]
+                    sub, n = np.unique((some & np.uint64((1 << LEVEL_BITS) - 1)).astype(np.uint16), return_counts=True)
+                    hist[c, cell][sub] += n
+        for (c, cell), h in hist.items():
+            at = np.flatnonzero(h)
+            k = len(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(k, c, np.int32)), pa.array([str(cell)] * k, pa.string()), pa.array(at.astype(np.int32)), pa.array(h[at])],
+                names=["col", "cell", "sub", "n"])
+
+    rows = df.select(*[_clean(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    return rows.mapInArrow(count, "col int, cell string, sub int, n long").groupBy("col", "cell", "sub").agg(F.sum("n").alias("n"))
+
+
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float] | None]:
+    """Exact interpolated quantiles of many columns of a whole table, None for a column without values; NaN counts as unknown.
+
+    Selection by radix: the first scan counts every column's values by their leading 16 bits, each of the three that follow only the
+    cells that hold a wanted rank by the next 16. A task holds at most CELLS histograms (more cells: more scans), whatever the rows; per
+    column and cell at most 65,536 counts are shuffled, and the driver gets one row for each wanted rank.
+    """
+    spark = df.sparkSession
+    sizes = df.agg(*[F.count(_clean(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    ranks = {(i, r): (0, r) for i in range(len(cols)) if sizes[i] for p in probs for x in [p * (sizes[i] - 1)] for r in (math.floor(x), math.ceil(x))}
+    for level in range(64 // LEVEL_BITS):
+        cells = sorted({(i, cell) for (i, _), (cell, _) in ranks.items()})
+        found = {}
+        for lo in range(0, len(cells), CELLS):
+            some = cells[lo : lo + CELLS]
+            here = set(some)
+            asked = [(i, str(cell), r, left) for (i, r), (cell, left) in ranks.items() if (i, cell) in here]
+            counts = _cell_counts(df, cols, some, level)
+            upto = Window.partitionBy("col", "cell").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0)
+            counts = counts.withColumn("end", F.sum("n").over(upto))
+            ask = F.broadcast(spark.createDataFrame(asked, "col int, cell string, rank long, left long"))  # two rows a column and probability
+            hit = counts.join(ask, ["col", "cell"]).where((F.col("left") < F.col("end")) & (F.col("left") >= F.col("end") - F.col("n")))
+            for x in hit.select("col", "rank", "cell", "sub", (F.col("left") - F.col("end") + F.col("n")).alias("left")).collect():
+                found[x["col"], x["rank"]] = ((int(x["cell"]) << LEVEL_BITS) | x["sub"], x["left"])
+        ranks = found
+    out: dict = {}
+    for i, c in enumerate(cols):
+        values = []
+        for p in probs if sizes[i] else ():
+            x = p * (sizes[i] - 1)
+            a, b = (_from_bits(ranks[i, r][0]) for r in (math.floor(x), math.ceil(x)))
+            values.append(a if a == b else a * (1 - (x - math.floor(x))) + b * (x - math.floor(x)))
+        out[c] = values or None
+    return out
+
+
 def _hot_quantiles(df, keys, cols, probs, max_rows, n_hot):
     long = df.select(
         *keys,

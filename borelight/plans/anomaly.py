@@ -135,7 +135,7 @@ def fit_isolation_forest(
         for _, g in grown.groupby("tree", sort=True)
     ]
     forest = Forest(list(features), centre, mean, scale, nodes, take)
-    raw = _score(df, forest, "_s").select("_s")
+    raw = materialised(_score(df, forest, "_s").select("_s"))  # every row meets every tree once; the quantiles read the scores
     q = group_quantiles(raw, [], ["_s"], [0.0, contamination, 1.0], max_rows).first()["_s"]
     forest.offset = q[1]
     forest.low, forest.high = q[0] - q[1], q[2] - q[1]
@@ -181,17 +181,17 @@ def score_isolation_forest(df: DataFrame, forest: Forest, stored_range: bool = F
     out = _score(df, forest, "_s").withColumn("raw_score", F.col("_s") - F.lit(forest.offset)).drop("_s")
     out = out.withColumn("is_anomaly", F.col("raw_score") < 0)
     if not stored_range:
-        return score_range_normalise(out)
+        return score_range_normalise(materialised(out))
     span = forest.high - forest.low
     value = F.lit(0.0) if span <= 0 else (F.lit(forest.high) - F.col("raw_score")) / F.lit(span)
     return out.withColumn("anomaly_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def deviation_attribution(
-    df: DataFrame, features: list[str], n: int = DEFAULTS.attribution_top, max_rows: int = HOT_ROWS
+    df: DataFrame, features: list[str], n: int = DEFAULTS.attribution_top, max_rows: int = HOT_ROWS, medians: dict | None = None
 ) -> DataFrame:
-    """Per row, the features furthest from their median in standard deviations of all rows."""
-    med = group_quantiles(df, [], features, [0.5], max_rows).first()
+    """Per row, the features furthest from their median (`medians`: feature -> [median], where they are known) in standard deviations of all rows."""
+    med = medians or group_quantiles(df, [], features, [0.5], max_rows).first()
     std = df.agg(*[F.stddev_samp(F.col(f).cast("double")).alias(f) for f in features]).first()
     usable = [f for f in features if std[f] and med[f] is not None and med[f][0] is not None]
     pairs = [(f, F.abs(F.col(f) - F.lit(med[f][0])) / F.lit(std[f])) for f in usable]
@@ -213,6 +213,7 @@ def score_anomalies(
     features = time_feature_names(usable, windows)
     active = materialised(rows.where(F.col("operations_active")))
     forest = fit_isolation_forest(active, features, [well, at, *(ties or [])], max_rows=max_rows, **fit_options)
-    scored = deviation_attribution(score_isolation_forest(active, forest), features, max_rows=max_rows)
+    known = {f: [c] for f, c in zip(forest.features, forest.centre.tolist(), strict=True)}  # of the same rows; without values there is no deviation either
+    scored = deviation_attribution(score_isolation_forest(active, forest), features, max_rows=max_rows, medians=known)
     keep = [c for c in telemetry.columns]
     return scored.select(*keep, "raw_score", "anomaly_score", "is_anomaly", "contributing_features"), forest

@@ -17,7 +17,7 @@ from borelight.operators.clean import decimate_by_depth
 from borelight.operators.metrics import classification_metrics, confusion
 from borelight.operators.quantiles import group_quantiles
 from borelight.operators.profile import assert_disjoint
-from borelight.operators.skew import HOT_ROWS, broadcast_if_small, global_rank, with_one_row
+from borelight.operators.skew import HOT_ROWS, broadcast_if_small, broadcast_within, global_rank, ordered_rank, with_one_row
 from borelight.params import DEFAULTS
 
 SPLITS = ("train", "validation", "test")
@@ -85,19 +85,45 @@ def well_splits(
     return fixed.unionByName(rest)
 
 
+def _dealt(classes: list[tuple[int, int]], k: int) -> list[tuple]:
+    """Which folds the wells of each size go to: (size, first rank, after the last rank, folds in turn), ranks counted over falling sizes.
+
+    `classes`: (size, wells) by falling size. Every well goes to the lightest fold, the first of equals. Wells of one size s are dealt in bulk:
+    fold i takes its next ones at loads load[i], load[i] + s, ..; in the order of (whole multiples of s, rest, fold) these are the picks.
+    """
+    load, at, out = [0] * k, 0, []
+    for size, wells in classes:
+        levels = sorted({x // size for x in load})
+        left = wells
+        for n, level in enumerate(levels):
+            turn = sorted((i for i in range(k) if load[i] // size <= level), key=lambda i: (load[i] % size, i))
+            picks = left if n + 1 == len(levels) else min(left, len(turn) * (levels[n + 1] - level))
+            if not picks:
+                break
+            out.append((size, at, at + picks, turn))
+            for j, i in enumerate(turn):
+                load[i] += size * (picks // len(turn) + (j < picks % len(turn)))
+            at += picks
+            left -= picks
+    return out
+
+
 def group_folds(df: DataFrame, k: int = 5, well: str = "well", use_splits: tuple = ()) -> DataFrame:
-    """(well, fold): whole wells, dealt by falling size (then name) to folds 0 .. k - 1 and back again, at every number of wells.
+    """(well, fold): whole wells; by falling size, then name, each goes to the fold with the fewest rows so far, the first of equals.
 
-    The wells are ranked in one ordered pass over one row per well.
+    Wells are counted per size, so what is decided in turn grows with the distinct sizes (at most the root of twice the rows) and not
+    with the wells; their ranks come from a range sort. Fewer wells than `k`: as many folds as wells.
     """
     if "test" in use_splits:
         raise ValueError("use_splits contains 'test': selecting on the test wells would invalidate their numbers")
     sizes = df.groupBy(well).agg(F.count(F.lit(1)).alias("_n"))
-    every = Window.partitionBy(F.lit(0))
-    ranked = sizes.withColumn("_r", F.row_number().over(every.orderBy(F.desc("_n"), well)) - 1).withColumn("_k", F.count(F.lit(1)).over(every))
-    folds = F.least(F.lit(max(1, k)).cast("long"), F.col("_k"))
-    step = F.col("_r") % (2 * folds)
-    return ranked.select(well, F.least(step, 2 * folds - 1 - step).cast("int").alias("fold"))
+    ranked = ordered_rank(sizes, [F.desc("_n"), F.col(well).asc_nulls_first()], "_r")
+    classes = sorted(((r["_n"], r["_w"]) for r in ranked.groupBy("_n").agg(F.count(F.lit(1)).alias("_w")).collect()), reverse=True)
+    runs = _dealt(classes, max(1, min(k, sum(w for _, w in classes))))
+    turns = df.sparkSession.createDataFrame(runs, "_size long, _from long, _to long, _turn array<int>")
+    on = (F.col("_n") == F.col("_size")) & (F.col("_r") >= F.col("_from")) & (F.col("_r") < F.col("_to"))
+    fold = F.element_at("_turn", ((F.col("_r") - F.col("_from")) % F.size("_turn") + 1).cast("int"))
+    return ranked.join(broadcast_within(turns, len(runs)), on).select(well, fold.alias("fold"))
 
 
 def early_stop_wells(wells: DataFrame, fraction: float = 0.15, seed: int = 42, well: str = "well") -> DataFrame:

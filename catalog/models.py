@@ -27,9 +27,10 @@ def q_well_splits(s, d):
 
 
 @query(
-    "WITH n AS (SELECT l_suppkey AS well, count(*) AS n FROM lineitem GROUP BY 1), "
-    "r AS (SELECT well, row_number() OVER (ORDER BY n DESC, well) - 1 AS r FROM n) "
-    "SELECT well, CAST(least(r % 10, 9 - r % 10) AS INT) AS fold FROM r"
+    "WITH RECURSIVE n AS (SELECT l_suppkey AS well, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, well) - 1 AS r FROM n), "
+    "g AS (SELECT 0 AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, CAST(NULL AS BIGINT) AS well, CAST(NULL AS BIGINT) AS p UNION ALL "
+    "SELECT i + 1, list_transform(load, lambda x, j: x + CASE WHEN j = h.q THEN r.n ELSE 0 END), r.well, h.q FROM (SELECT *, list_position(load, list_min(load)) AS q FROM g) h JOIN r ON r.r = h.i) "
+    "SELECT well, CAST(p - 1 AS INT) AS fold FROM g WHERE i > 0"
 )
 def q_group_folds(s, d):
     return L.group_folds(_labelled(s, d), 5)

@@ -48,6 +48,31 @@ def test_folds(spark):
     assert [r["fold"] for r in L.group_folds(uneven, 3).orderBy("well").collect()] == [0, 1, 2, 2, 1, 0, 0, 1, 2]
 
 
+def _greedy(sizes, k):
+    load, out = [0] * k, []
+    for n in sizes:
+        i = load.index(min(load))
+        load[i] += n
+        out.append(i)
+    return out
+
+
+def test_folds_dealt_in_bulk_are_the_greedy_ones(spark):
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        k = int(rng.integers(1, 7))
+        sizes = sorted(rng.integers(1, rng.integers(2, 30), rng.integers(1, 60)).tolist(), reverse=True)
+        classes = [(n, sizes.count(n)) for n in sorted(set(sizes), reverse=True)]
+        got = [turn[(r - a) % len(turn)] for _, a, b, turn in L._dealt(classes, k) for r in range(a, b)]
+        assert got == _greedy(sizes, k)
+    wells = [(f"w{i:03d}" if i else None, n) for i, n in enumerate(rng.integers(1, 9, 50).tolist())]
+    df = spark.createDataFrame([(w, i) for w, n in wells for i in range(n)], "well string, x int").repartition(3)
+    order = sorted(wells, key=lambda w: (-w[1], w[0] is not None, w[0] or ""))
+    want = dict(zip([w for w, _ in order], _greedy([n for _, n in order], 5), strict=True))
+    assert {r["well"]: r["fold"] for r in L.group_folds(df, 5).collect()} == want
+    assert L.group_folds(df.limit(0), 5).count() == 0
+
+
 def test_early_stop_wells(spark):
     df = spark.range(20).select(F.col("id").alias("well"))
     assert L.early_stop_wells(df, 0.15).count() == 3 and L.early_stop_wells(df.limit(1), 0.15).count() == 1

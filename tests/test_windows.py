@@ -108,6 +108,25 @@ def test_quantiles_equal_numpy(spark, max_rows, keys):
     assert len(got) == (2 if keys else 1)
 
 
+@pytest.mark.parametrize("cells", [256, 3])
+def test_quantiles_of_many_columns(spark, monkeypatch, cells):
+    """Signs, zeros, infinities, equal and tiny values; more wanted cells than a scan holds."""
+    monkeypatch.setattr(Q, "CELLS", cells)
+    rng = np.random.default_rng(9)
+    n = 1500
+    pdf = pd.DataFrame({
+        "a": rng.normal(size=n), "b": np.repeat(7.25, n), "c": rng.choice([-0.0, 0.0, -1.0, np.nan], n), "d": 1 + rng.random(n) * 1e-13, "e": rng.normal(size=n) * 1e-310,
+        "f": np.where(rng.random(n) < 0.01, np.inf, rng.normal(size=n)), "g": np.nan, "h": rng.integers(-5, 5, n).astype(float),
+    })
+    probs = [0.0, 0.3, 0.5, 0.98]
+    got = Q.column_quantiles(to_spark(spark, pdf).repartition(5), list(pdf.columns), probs)
+    assert got["g"] is None
+    for c in pdf.columns.drop("g"):
+        np.testing.assert_allclose(got[c], np.quantile(pdf[c].dropna(), probs), rtol=1e-14, atol=1e-320)
+    one = Q.group_quantiles(to_spark(spark, pdf), [], ["a", "g"], [0.5], max_rows=100).first()
+    assert one["a"] == [np.median(pdf["a"])] and one["g"] is None
+
+
 def test_resample_equals_pandas(spark):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({"well_name": "w", "timestamp": pd.Timestamp("2024-01-01 00:00:03") + pd.to_timedelta(np.sort(rng.uniform(0, 600, 200)), unit="s"), "v": rng.normal(size=200)})
