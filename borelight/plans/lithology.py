@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import time
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -14,13 +15,16 @@ from pyspark.sql import functions as F
 
 from borelight.functions.scalars import lithology_name
 from borelight.operators.clean import decimate_by_depth
+from borelight.operators.materialise import materialised
 from borelight.operators.metrics import classification_metrics, confusion
 from borelight.operators.quantiles import group_quantiles
-from borelight.operators.profile import assert_disjoint
 from borelight.operators.skew import HOT_ROWS, broadcast_if_small, broadcast_within, global_rank, ordered_rank, with_one_row
 from borelight.params import DEFAULTS
+from borelight.plans.boosting import FIT, UNUSED, WATCH, fit_boosted
 
 SPLITS = ("train", "validation", "test")
+FOREST_MEMORY_MB = 1024  # of a task for the counts of open nodes: fewer passes over the rows
+SIDE_BY_SIDE = 3  # forests that are fitted at once
 
 
 def well_splits(
@@ -168,7 +172,7 @@ def balanced_weights(df: DataFrame, target: str = "lithology", name: str = "weig
 
 
 class LithologyModel:
-    """A fitted classifier with its imputation and class codes."""
+    """A fitted classifier with its imputation (forest) and class codes."""
 
     def __init__(self, kind, model, features, inputs, fitted, codes, seconds, excluded):
         self.kind, self.model, self.features, self.inputs = kind, model, features, inputs
@@ -178,61 +182,58 @@ class LithologyModel:
         for f in self.features:
             if f not in df.columns:
                 df = df.withColumn(f, F.lit(None).cast("double"))
-        ready, _, _ = impute_with_indicators(df, self.features, self.fitted)
-        raw = self.model.transform(ready)
         codes = F.array(*[F.lit(int(c)) for c in self.codes])
-        out = raw.withColumn("lithology_code", F.element_at(codes, F.col("prediction").cast("int") + 1))
-        if "probability" in raw.columns:
-            best = F.array_max(vector_to_array("probability"))
+        if self.kind == "boosted":  # knows unknown values itself
+            raw = self.model.transform(df)
+            best = F.array_max("probability")
         else:
-            margins = vector_to_array("rawPrediction")
-            odds = F.transform(margins, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-            best = F.array_max(odds) / F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-        out = out.withColumn("probability", F.round(best, 4))
-        return out.drop("_features", "rawPrediction", "prediction")
+            raw = self.model.transform(impute_with_indicators(df, self.features, self.fitted)[0])
+            best = F.array_max(vector_to_array("probability"))
+        out = raw.withColumn("lithology_code", F.element_at(codes, F.col("prediction").cast("int") + 1))
+        return out.withColumn("probability", F.round(best, 4)).drop("_features", "rawPrediction", "prediction")
+
+
+def _label(codes: list[int], target: str):
+    """The class index of a row, -1 for a code that is not known."""
+    return F.coalesce(F.array_position(F.array(*[F.lit(c) for c in codes]), F.col(target).cast("int")) - 1, F.lit(-1)).cast("int")
+
+
+def _codes(rows: DataFrame, target: str) -> list[int]:
+    return sorted(r[0] for r in rows.select(F.col(target).cast("int")).distinct().collect())
 
 
 def train_lithology(
     train: DataFrame, features: list[str], kind: str = "random_forest", target: str = "lithology",
     validation: DataFrame | None = None, trees: int = 150, depth: int = 18, min_leaf: int = 25, rounds: int = 100,
-    seed: int = 42, max_rows: int = HOT_ROWS,
+    seed: int = 42, max_rows: int = HOT_ROWS, patience: int = 50, boosted_depth: int = 6,
 ) -> LithologyModel:
-    """Balanced random forest, or boosted trees one class against the rest.
+    """Balanced random forest, or one softmax ensemble of boosted trees.
 
-    Boosting stops on the loss of the validation rows. Validation rows of a class the training rows do
-    not have are left out and counted.
+    Boosting scores the whole validation wells after every round and keeps the rounds up to the best macro F1, which `patience` rounds
+    do not beat. Validation rows of a class the training rows do not have are left out and counted.
     """
     start = time.perf_counter()
     rows = train.where(F.col(target).isNotNull())
-    codes = [r[0] for r in rows.select(F.col(target).cast("int")).distinct().orderBy(F.col(target).cast("int")).collect()]
-    ready, inputs, fitted = impute_with_indicators(rows, features, max_rows=max_rows)
-    ready = balanced_weights(ready, target)
-    label = F.array_position(F.array(*[F.lit(c) for c in codes]), F.col(target).cast("int")) - 1
-    ready = ready.withColumn("_label", label.cast("double"))
-    excluded = 0
-    assemble = VectorAssembler(inputCols=inputs, outputCol="_features")
-    if kind == "random_forest":
-        learner = RandomForestClassifier(
-            featuresCol="_features", labelCol="_label", weightCol="weight", numTrees=trees, maxDepth=depth,
-            minInstancesPerNode=min_leaf, seed=seed, featureSubsetStrategy="sqrt",
-        )
-    elif kind == "boosted":
-        gbt = GBTClassifier(
-            featuresCol="_features", labelCol="_label", maxIter=rounds, maxDepth=min(depth, 6), stepSize=0.05,
-            subsamplingRate=0.8, seed=seed,
-        )
+    codes = _codes(rows, target)
+    if kind == "boosted":
+        both = rows.select(*features, _label(codes, target).alias("_label"), F.array(F.lit(FIT)).alias("_roles"))
         if validation is not None:
-            v, _, _ = impute_with_indicators(validation.where(F.col(target).isNotNull()), features, fitted)
-            v = v.withColumn("_label", label.cast("double"))
-            excluded = v.where(F.col("_label") < 0).count()
-            v = v.where(F.col("_label") >= 0).withColumn("weight", F.lit(1.0)).withColumn("_val", F.lit(True))
-            ready = ready.withColumn("_val", F.lit(False)).unionByName(v)
-            gbt = gbt.setValidationIndicatorCol("_val")
-        learner = OneVsRest(classifier=gbt, featuresCol="_features", labelCol="_label", weightCol="weight", parallelism=min(8, len(codes) or 1))
-    else:
+            watch = validation.where(F.col(target).isNotNull()).select(*features, _label(codes, target).alias("_label"), F.array(F.lit(WATCH)).alias("_roles"))
+            both = both.unionByName(watch)
+        model = fit_boosted(both, features, len(codes), 1, rounds, min(depth, boosted_depth), patience=patience, seed=seed)[0]
+        return LithologyModel(kind, model, features, features, None, codes, time.perf_counter() - start, model.excluded)
+    if kind != "random_forest":
         raise ValueError(f"unknown model kind {kind!r}")
-    model = Pipeline(stages=[assemble, learner]).fit(ready)
-    return LithologyModel(kind, model, features, inputs, fitted, codes, time.perf_counter() - start, excluded)
+    ready, inputs, fitted = impute_with_indicators(rows, features, max_rows=max_rows)
+    ready = balanced_weights(ready, target).withColumn("_label", _label(codes, target).cast("double"))
+    # every level of the trees reads the rows again: they are imputed and weighted once
+    ready = materialised(ready.select(*inputs, "weight", "_label"))
+    forest = RandomForestClassifier(
+        featuresCol="_features", labelCol="_label", weightCol="weight", numTrees=trees, maxDepth=depth,
+        minInstancesPerNode=min_leaf, seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=FOREST_MEMORY_MB, cacheNodeIds=False,
+    )
+    model = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_features"), forest]).fit(ready)
+    return LithologyModel(kind, model, features, inputs, fitted, codes, time.perf_counter() - start, 0)
 
 
 def predict_lithology(
@@ -254,29 +255,48 @@ def evaluate(model: LithologyModel, df: DataFrame, target: str = "lithology", sp
     return classification_metrics(confusion(out.withColumn("_a", F.col(target).cast("int")), "_a", "lithology_code"), split)
 
 
+def fold_roles(folds: DataFrame, k: int, early_stop_fraction: float, well: str = "well") -> DataFrame:
+    """(well, fold, _roles): what the well's rows are to the model of each fold; wells set aside for early stopping come from its training wells."""
+    aside = None
+    for m in range(k):
+        some = early_stop_wells(folds.where(F.col("fold") != m), early_stop_fraction, 42 + m, well).select(well, F.lit(m).alias("_m"))
+        aside = some if aside is None else aside.unionByName(some)
+    aside = aside.groupBy(F.col(well).alias("_well")).agg(F.collect_set("_m").alias("_aside"))
+    watches = lambda m: F.coalesce(F.array_contains("_aside", m), F.lit(False))
+    role = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda m: F.when(m == F.col("fold"), UNUSED).when(watches(m), WATCH).otherwise(FIT))
+    return folds.join(aside, F.col(well).eqNullSafe(F.col("_well")), "left").select(well, "fold", role.alias("_roles"))
+
+
 def cross_validate(
     df: DataFrame, features: list[str], kinds: list[str], k: int = 5, well: str = "well", target: str = "lithology",
-    early_stop_fraction: float = 0.15, use_splits: tuple = (), **model_options,
+    early_stop_fraction: float = 0.15, use_splits: tuple = (), rounds: int = 100, patience: int = 50, boosted_depth: int = 6, **model_options,
 ) -> DataFrame:
-    """Scores per (model, fold); every model sees the same folds of whole wells."""
-    folds = group_folds(df, k, well, use_splits)
-    rows = df.join(broadcast_if_small(folds), well)
-    n = folds.agg(F.max("fold")).first()[0] + 1
+    """Scores per (model, fold); every model sees the same folds of whole wells.
+
+    Folds are dealt once and written with the rows. Boosted models of all folds grow together over one set of binned rows, in which a row has a role in each
+    fold; forests are fitted side by side. `fit_seconds` is a fold's share of the time of its kind.
+    """
+    folds = materialised(group_folds(df, k, well, use_splits))
+    size = folds.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.struct(well)).alias("wells"), F.max("fold").alias("last")).first()
+    if size["rows"] != size["wells"]:
+        raise ValueError("a well is in more than one fold")
+    n = size["last"] + 1
+    roles = materialised(fold_roles(folds, n, early_stop_fraction, well))
+    labelled = df.where(F.col(target).isNotNull()).select(*dict.fromkeys([well, target, *features]))
+    rows = materialised(labelled.join(broadcast_if_small(roles.withColumnRenamed(well, "_w")), F.col(well).eqNullSafe(F.col("_w"))).drop("_w"))
+    codes = _codes(rows, target)
     parts = []
-    for fold in range(n):
-        train, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        assert_disjoint(train, held, [well])
-        for kind in kinds:
-            fit, stop = train, None
-            if kind == "boosted":
-                aside = broadcast_if_small(early_stop_wells(train, early_stop_fraction, 42 + fold, well))
-                fit, stop = train.join(aside, well, "left_anti"), train.join(aside, well, "left_semi")
-            m = train_lithology(fit.drop("fold"), features, kind, target, None if stop is None else stop.drop("fold"), **model_options)
-            scores = evaluate(m, held, target)
-            parts.append(
-                scores.select(
-                    F.lit(kind).alias("model"), F.lit(fold).alias("fold"), "macro_f1", "accuracy", "balanced_accuracy",
-                    F.lit(m.seconds).alias("fit_seconds"),
-                )
-            )
+    for kind in kinds:
+        start = time.perf_counter()
+        if kind == "boosted":
+            fitted = fit_boosted(rows.withColumn("_label", _label(codes, target)), features, len(codes), n, rounds, boosted_depth, patience=patience)
+            models = [LithologyModel(kind, m, features, features, None, codes, 0.0, m.excluded) for m in fitted]
+        else:
+            with ThreadPool(SIDE_BY_SIDE) as pool:
+                models = pool.map(lambda m: train_lithology(rows.where(F.col("fold") != m).drop("fold", "_roles"), features, kind, target, **model_options), range(n))
+        seconds = (time.perf_counter() - start) / n
+        for fold, m in enumerate(models):
+            scores = evaluate(m, rows.where(F.col("fold") == fold), target)
+            names = (F.lit(kind).alias("model"), F.lit(fold).alias("fold"), "macro_f1", "accuracy", "balanced_accuracy", F.lit(seconds).alias("fit_seconds"))
+            parts.append(materialised(scores.select(*names)))
     return reduce(DataFrame.unionByName, parts)
