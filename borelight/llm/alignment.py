@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from borelight.llm.held import held
-from borelight.llm.units import Units, gathered, slices
+from borelight.llm.units import Units, Vocabulary, by_lines, gathered, plain, slices
 from borelight.operators.materialise import materialised
 
 PIECE = 8192  # merged ends of a piece
 BLOCK = 1 << 20
+MERGED = 1 << 18
 COMMON = 50_000  # at most so many pairs are in more than a COMMON-th of all block rows
 
-PIECES = "block long, uid long, doc_id long, piece int, last boolean, start_a long, start_b long, prev_a long, a binary, b binary"
+PIECES = "block long, uid long, doc_id long, piece int, last boolean, start_a long, start_b long, prev_a long, n_a int, n_b int, a binary, b binary"
 COUNTED = "block long, key long, n long"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups array<string>"
 
@@ -55,27 +56,38 @@ class Pair:
         self.bytes_a = [t.encode() if t in added else bytes(chars[c] for c in t) for t in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.known_a, self.known_b = Vocabulary(self.bytes_a), Vocabulary(self.bytes_b)
+        self.length_a, self.length_b = self.known_a.lengths, self.known_b.lengths
+        self.kind = "<u2" if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else "<u4"
+        feed = self.a.encode("\n", add_special_tokens=False).ids
+        self.feed_a = feed[0] if len(feed) == 1 else -1
         ordinary = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         split = not any("▁" in p.lstrip("▁") or "\n" in p for p in ordinary)
         probe = self.b.encode("\nx")
         self.feed = probe[:2] if split and [self.bytes_b[i] for i in probe[:2]] == [b" ", b"\n"] else None
         self.units = Units(self.encoded, split and self.feed is not None)
 
+    def ids_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+
+    def ids_b(self, texts: list[str]) -> list[list[int]]:
+        return self.b.encode(texts, num_threads=1)
+
     def encoded(self, units: list[bytes]) -> list:
         """(A ids, B ids) of every unit as bytes; None where a side does not give the unit's bytes back."""
         texts = [u.decode("utf-8", "replace") for u in units]
-        a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        a, b = [None] * len(units), [None] * len(units)
+        many = [i for i, u in enumerate(units) if plain(u)] if self.units.split else []
+        lines = [texts[i] for i in many]
+        for i, x, y in zip(many, by_lines(self.ids_a, lines, self.feed_a), by_lines(self.ids_b, lines, self.feed[1], "\n", 2) if many else [], strict=True):
+            a[i], b[i] = x, y
+        rest = [i for i in range(len(units)) if a[i] is None or b[i] is None]
         # B puts a space before every text: a unit without one is encoded behind a line feed, and both are dropped
-        b = self.b.encode([t[1:] if t[:1] == " " else "\n" + t for t in texts], num_threads=1)
-        out = []
-        for u, t, x, y in zip(units, texts, a, b, strict=True):
-            good = True
-            if t[:1] != " ":
-                good, y = y[:2] == self.feed, y[2:]
-            good = good and b"".join([self.bytes_a[i] for i in x]) == u == b"".join([self.bytes_b[i] for i in y])
-            out.append((np.array(x, "<u4").tobytes(), np.array(y, "<u4").tobytes()) if good else None)
-        return out
+        later = [texts[i][:1] != " " for i in rest]
+        for i, x, y, drop in zip(rest, self.ids_a([texts[i] for i in rest]), self.ids_b(["\n" + texts[i] if d else texts[i][1:] for i, d in zip(rest, later, strict=True)]), later, strict=True):
+            a[i], b[i] = np.array(x, "<u4").tobytes(), np.array(y[2:] if drop else y, "<u4").tobytes()
+        good = self.known_a.spells(a, units) & self.known_b.spells(b, units)
+        return [(x, y) if g else None for x, y, g in zip(a, b, good.tolist(), strict=True)]
 
     def encode(self, texts: pa.Array) -> tuple:
         """Ids of A and bounds per text, ids of B and bounds per text, and which texts have tokens."""
@@ -130,7 +142,7 @@ def pieces(docs: DataFrame, path_a: str, path_b: str, piece: int = PIECE) -> Dat
                     filled += len(x) + len(y)
                     uid += 1
                     if len(x) + len(y) <= piece:
-                        rows.append((block, uid, doc_id, 0, True, 0, 0, None, x.tobytes(), y.tobytes()))
+                        rows.append((block, uid, doc_id, 0, True, 0, 0, None, *kept(x, y, pair.kind)))
                         continue
                     ends_a, ends_b = np.cumsum(pair.length_a[x]), np.cumsum(pair.length_b[y])
                     i = np.concatenate([[0], crossings(ends_a, ends_b, piece), [len(x)]])
@@ -139,7 +151,7 @@ def pieces(docs: DataFrame, path_a: str, path_b: str, piece: int = PIECE) -> Dat
                         before = int(i[p]) - 1
                         rows.append((
                             block, uid, doc_id, p, p == len(i) - 2, int(ends_a[before]) if before >= 0 else 0, int(ends_b[j[p] - 1]) if j[p] else 0,
-                            int(x[before]) if before >= 0 else None, x[i[p] : i[p + 1]].tobytes(), y[j[p] : j[p + 1]].tobytes(),
+                            int(x[before]) if before >= 0 else None, *kept(x[i[p] : i[p + 1]], y[j[p] : j[p + 1]], pair.kind),
                         ))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=names)
@@ -147,7 +159,7 @@ def pieces(docs: DataFrame, path_a: str, path_b: str, piece: int = PIECE) -> Dat
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECES)
 
 
-TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
 class Merged:
@@ -155,12 +167,12 @@ class Merged:
 
     def __init__(self, batch, pair: Pair):
         get = lambda c: batch.column(c)
-        self.a, self.at_a = flat(get("a"))
-        self.b, self.at_b = flat(get("b"))
+        self.a, self.at_a = flat(get("a"), get("n_a"), pair.kind)
+        self.b, self.at_b = flat(get("b"), get("n_b"), pair.kind)
         n = batch.num_rows
         start_a, start_b = get("start_a").to_numpy(), get("start_b").to_numpy()
         self.prev = pc.fill_null(get("prev_a"), -1).to_numpy()
-        base = np.arange(n, dtype=np.int64) << 34  # keeps the ends of one piece apart from the next one's
+        base = np.arange(n, dtype=np.int64) << 32  # keeps the ends of one piece apart from the next one's
         ends_a = rising(pair.length_a[self.a], self.at_a, start_a + base)
         ends_b = rising(pair.length_b[self.b], self.at_b, start_b + base)
         # the token before a piece takes part with its end
@@ -177,11 +189,16 @@ class Merged:
         self.at_link = np.searchsorted(self.link_b, self.at_b)
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of binary rows, one after the other, and where each row's begin, with the end."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return np.frombuffer(data.tobytes(), "<u4"), (offsets - offsets[0]) // 4
+def kept(a: np.ndarray, b: np.ndarray, kind: str) -> tuple[int, int, bytes, bytes]:
+    """Numbers of ids, and the ids of both sides packed."""
+    return len(a), len(b), *(pa.compress(x.astype(kind).tobytes(), "zstd", asbytes=True) for x in (a, b))
+
+
+def flat(column: pa.Array, sizes: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of packed rows, one after the other, and where each row's begin, with the end."""
+    sizes, width = sizes.to_numpy().astype(np.int64), np.dtype(kind).itemsize
+    parts = [pa.decompress(x, n, "zstd", asbytes=True) if n else b"" for x, n in zip(column.to_pylist(), (sizes * width).tolist(), strict=True)]
+    return np.frombuffer(b"".join(parts), kind).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def rising(lengths: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -191,11 +208,15 @@ def rising(lengths: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarra
 
 
 def merged(batches, pair: Pair):
-    """(rows, Merged) of some pieces at a time."""
+    """(rows, Merged) of some pieces at a time, about MERGED ids."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 250):
-            part = batch.slice(lo, 250)
+        sizes = np.cumsum(pc.add(batch.column("n_a"), batch.column("n_b")).to_numpy().astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + MERGED, "right")))
+            part = batch.slice(lo, hi - lo)
             yield part, Merged(part, pair)
+            lo = hi
 
 
 def pair_counts(cut: DataFrame, path_a: str, path_b: str) -> DataFrame:

@@ -14,10 +14,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
-CACHE_BYTES = 24 << 20
+REMEMBERED = 40000  # units, some 300 bytes each
+AT_ONCE = 10_000  # units encoded at once
 LONGEST = 64  # bytes of a unit that is remembered
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[*range(9, 14), *range(28, 33)]] = True
+PLAIN = re.compile(rb" ?[^\t-\r\x1c- ]+")
 WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")  # white space beyond ASCII, in UTF-8
 
 
@@ -44,29 +46,80 @@ def cut(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     alone[:-1] &= ~space[1:]
     inner = starts[starts > 0]
     alone[inner] = alone[inner - 1] = False  # the ends of a text have no neighbour; texts are cut there anyway
-    at = np.flatnonzero(alone)
-    return np.unique(np.concatenate([starts, at, at[data[at] == 10] + 1]))
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[starts] = True
+    begins[:-1] |= alone
+    begins[1:] |= alone & (data == 10)
+    return np.flatnonzero(begins[:-1])
+
+
+def plain(unit: bytes) -> bool:
+    """No white space but, perhaps, one space in front."""
+    return PLAIN.fullmatch(unit) is not None and (unit.isascii() or not WIDE.search(unit))
+
+
+def by_lines(encode: Callable[[list[str]], list[list[int]]], units: list[str], feed: int, lead: str = "", skip: int = 0, run: int = 1000) -> list:
+    """Ids of plain units as bytes of 32-bit integers, encoded many at a time with line feeds between them; None for a run whose line feeds
+    do not all come back by themselves. `lead` goes before each run, and `skip` ids with it."""
+    runs = [units[i : i + run] for i in range(0, len(units), run)]
+    out: list = []
+    for some, ids in zip(runs, encode([lead + "\n".join(r) for r in runs]), strict=True):
+        ids = np.array(ids[skip:], "<u4")
+        ends = np.flatnonzero(ids == feed)
+        if len(ends) != len(some) - 1:
+            out += [None] * len(some)
+            continue
+        raw, at = ids.tobytes(), [-4, *(ends * 4).tolist(), len(ids) * 4]
+        out += [raw[i + 4 : j] for i, j in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
+class Vocabulary:
+    """The bytes of every token."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def spells(self, parts: list[bytes], units: list[bytes]) -> np.ndarray:
+        """Whether the tokens of each part give the bytes of its unit."""
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        n = self.lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)])
+        good = np.diff(ends[bounds]) == np.fromiter(map(len, units), np.int64, len(units))
+        if not good.all():
+            some = np.flatnonzero(good)
+            if len(some):
+                good[some] = self.spells([parts[i] for i in some], [units[i] for i in some])
+            return good
+        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], n)
+        wrong = np.flatnonzero(self.flat[at] != np.frombuffer(b"".join(units), np.uint8))
+        good[np.searchsorted(ends[bounds], wrong, "right") - 1] = False
+        return good
 
 
 class Units:
-    """Remembers the ids of short units, up to CACHE_BYTES; `encode` gives what is kept of each unit."""
+    """Remembers what `encode` gave for short units, the latest REMEMBERED of them and as many before; what is not used again goes."""
 
     def __init__(self, encode: Callable[[list[bytes]], list], split: bool = True):
-        self.encode, self.split, self.known, self.size = encode, split, {}, 0
+        self.encode, self.split, self.known, self.older = encode, split, {}, {}
 
     def lookup(self, units: list[bytes]) -> list:
         got = list(map(self.known.get, units))
+        for i in [i for i, x in enumerate(got) if x is None]:
+            if (x := self.older.get(units[i])) is not None:
+                got[i] = self.known[units[i]] = x
         holes = [i for i, x in enumerate(got) if x is None]
-        if holes:
-            for i, x in zip(holes, self.encode([units[i] for i in holes]), strict=True):
+        for lo in range(0, len(holes), AT_ONCE):
+            some = holes[lo : lo + AT_ONCE]
+            for i, x in zip(some, self.encode([units[i] for i in some]), strict=True):
                 got[i] = x
-            if self.size > CACHE_BYTES:
-                self.known.clear()
-                self.size = 0
-            for i in holes:
                 if len(units[i]) <= LONGEST:
-                    self.known[units[i]] = got[i]
-                    self.size += 300 + 2 * len(units[i])  # what the key, the value and their place take, roughly
+                    self.known[units[i]] = x
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
         return got
 
     def cut(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
