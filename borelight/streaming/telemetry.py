@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import pickle
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from borelight.functions import scalars as S
 from borelight.params import DEFAULTS, RISK_RULES
-from borelight.plans.alerts import match_alert, qualifying
+from borelight.plans.alerts import qualifying
 from borelight.plans.anomaly import Forest, score_isolation_forest
+from borelight.streaming.ordered import InOrder, in_order, moment, use_rocksdb
 
 
 def stream_telemetry(
@@ -46,71 +46,51 @@ def late_rows(progress: list[dict]) -> int:
     )
 
 
-def _events(pdfs: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    parts = list(pdfs)
-    return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame(columns=order)
-
-
 def stream_rig_state(
     df: DataFrame, well: str = "well_name", at: str = "timestamp", bit: str = "bit_depth_m", flow: str = "flow_in_lpm",
     rpm: str = "bit_rpm", min_flow: float = DEFAULTS.min_flow_lpm, min_rpm: float = DEFAULTS.min_rpm,
-    min_speed: float = DEFAULTS.min_trip_speed,
+    min_speed: float = DEFAULTS.min_trip_speed, delay: str = "10 minutes",
 ) -> DataFrame:
-    """Rig state of arriving bins; the state of a well is its last time and bit depth."""
-    kind = df.schema[well].dataType.simpleString()
+    """Rig state of arriving bins in event-time order, whatever order and batch they come in; a bin is told once the watermark has passed it.
 
-    def step(key, pdfs, state: GroupState):
-        prev_at, prev_bit = state.get if state.exists else (None, None)
-        rows = []
-        pdf = _events(pdfs, [at])
-        for t, b, f, r in zip(pdf[at], pdf[bit], pdf[flow], pdf[rpm]):
-            speed = None
-            if prev_at is not None:
-                minutes = (t.value // 1000 - prev_at) / 60e6
-                if minutes != 0 and prev_bit is not None and not pd.isna(b):
-                    speed = abs((b - prev_bit) / minutes)
-            circ, rot, trip = bool(f > min_flow), bool(r > min_rpm), speed is not None and speed > min_speed
-            rows.append((key[0], t, b, f, r, speed, circ, rot, trip, circ or rot or trip))
-            prev_at, prev_bit = t.value // 1000, None if pd.isna(b) else float(b)
-        if rows:
-            state.update((prev_at, prev_bit))
-        names = [well, at, bit, flow, rpm, "trip_speed_m_per_min", "circulating", "rotating", "tripping", "operations_active"]
-        yield pd.DataFrame(rows, columns=names)
+    Carried on per well: its last time and bit depth. Rows behind the watermark are dropped and counted by Spark.
+    """
+    names = [well, at, bit, flow, rpm, "trip_speed_m_per_min", "circulating", "rotating", "tripping", "operations_active"]
+
+    def step(key, carried, row):
+        us, b, f, r = row
+        speed = None
+        if carried is not None:
+            minutes = (us - carried[0]) / 60e6
+            if minutes != 0 and carried[1] is not None and b is not None:
+                speed = abs((b - carried[1]) / minutes)
+        circ, rot, trip = f is not None and f > min_flow, r is not None and r > min_rpm, speed is not None and speed > min_speed
+        out = Row(**dict(zip(names, (key[0], moment(us), b, f, r, speed, circ, rot, trip, circ or rot or trip), strict=True)))
+        return (us, b), [out]
 
+    kind = df.schema[well].dataType.simpleString()
     schema = (
         f"`{well}` {kind}, `{at}` timestamp, `{bit}` double, `{flow}` double, `{rpm}` double, trip_speed_m_per_min double, "
         "circulating boolean, rotating boolean, tripping boolean, operations_active boolean"
     )
-    return df.select(well, at, bit, flow, rpm).groupBy(well).applyInPandasWithState(
-        step, schema, "at long, bit double", "append", GroupStateTimeout.NoTimeout
-    )
+    return in_order(df, [well], at, delay, {bit: "double", flow: "double", rpm: "double"}, "us long, bit double", step, schema)
 
 
 def stream_context_depth(
-    df: DataFrame, step: float = DEFAULTS.context_step_m, well: str = "well_name", at: str = "timestamp", bit: str = "bit_depth_m"
+    df: DataFrame, step: float = DEFAULTS.context_step_m, well: str = "well_name", at: str = "timestamp", bit: str = "bit_depth_m",
+    delay: str = "10 minutes",
 ) -> DataFrame:
-    """A (well, context depth) query each time the bit has moved a full step from the last one."""
-    kind = df.schema[well].dataType.simpleString()
+    """A (well, context depth) query each time the bit has moved a full step from the last one, in event-time order behind the watermark."""
 
-    def move(key, pdfs, state: GroupState):
-        import math
-
-        last = state.get[0] if state.exists else None
-        rows = []
-        pdf = _events(pdfs, [at])
-        for t, b in zip(pdf[at], pdf[bit]):
-            if pd.isna(b) or (last is not None and abs(b - last) < step):
-                continue
-            last = math.floor(b / step + 0.5) * step
-            rows.append((key[0], t, float(b), float(last)))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(rows, columns=[well, at, bit, "depth_m"])
-
-    schema = f"`{well}` {kind}, `{at}` timestamp, `{bit}` double, depth_m double"
-    return df.select(well, at, bit).groupBy(well).applyInPandasWithState(
-        move, schema, "last double", "append", GroupStateTimeout.NoTimeout
-    )
+    def move(key, carried, row):
+        us, b = row
+        if b is None or (carried is not None and abs(b - carried[0]) < step):
+            return carried, []
+        last = math.floor(b / step + 0.5) * step
+        return (last,), [Row(**{well: key[0], at: moment(us), bit: b, "depth_m": last})]
+
+    kind = df.schema[well].dataType.simpleString()
+    return in_order(df, [well], at, delay, {bit: "double"}, "last double", move, f"`{well}` {kind}, `{at}` timestamp, `{bit}` double, depth_m double")
 
 
 def stream_rules(df: DataFrame, channels: Column, rules=RISK_RULES) -> DataFrame:
@@ -126,59 +106,67 @@ def stream_alerts(
 ) -> DataFrame:
     """Decision for every arriving assessment: the alert it opens or adds to.
 
-    Rows of a well and level wait until the watermark has passed them and are folded in time order, so
-    the result does not depend on the batch a row came in. Input: assessment_id (long), well_id,
-    assessed_at, depth_m, risk_level.
+    Rows of a well and level wait in the state store until the watermark has passed them and are folded in time order, so the result does
+    not depend on the batch a row came in. Open alerts are a map by depth cell of the window's width: a row looks at the cells in its reach and at
+    alerts without a depth, and what the cooldown has passed is removed. Input: assessment_id (long), well_id, assessed_at, depth_m, risk_level.
     """
+    use_rocksdb(df.sparkSession)
     kind = df.schema["well_id"].dataType.simpleString()
-    cooldown_us = cooldown_s * 1_000_000
-    rows = qualifying(df, raise_at).withWatermark("assessed_at", delay).select(
-        "assessment_id", "well_id", "risk_level", F.col("depth_m").cast("double").alias("depth_m"), "assessed_at"
+    rows = qualifying(df, raise_at).where(F.col("assessed_at").isNotNull()).withWatermark("assessed_at", delay).select(
+        "well_id", "risk_level", "assessed_at", F.unix_micros("assessed_at").alias("_us"), F.col("assessment_id").alias("_id"),
+        F.col("depth_m").cast("double").alias("_depth"),
     )
-    names = ["assessment_id", "well_id", "risk_level", "depth_m", "assessed_at", "alert_id", "is_new"]
-
-    def fold(key, pdfs, state: GroupState):
-        opened, waiting = ([], [])
-        if state.exists:
-            o_at, o_d, o_id, w_at, w_d, w_id = state.get
-            opened = list(zip(o_at, o_d, o_id))
-            waiting = list(zip(w_at, w_d, w_id))
-        for pdf in pdfs if not state.hasTimedOut else ():
-            us = pdf["assessed_at"].astype("int64") // (1000 if str(pdf["assessed_at"].dtype).startswith("datetime64[ns") else 1)
-            depths = [None if pd.isna(d) else float(d) for d in pdf["depth_m"]]
-            waiting += list(zip(us.tolist(), depths, pdf["assessment_id"].tolist()))
-        mark = state.getCurrentWatermarkMs() * 1000
-        waiting.sort(key=lambda w: (w[0], w[2]))
-        out = []
-        while waiting and waiting[0][0] <= mark:
-            at, d, i = waiting.pop(0)
-            hit = match_alert(opened, at, d, cooldown_us, window)
-            if hit is None:
-                hit = (at, d, i)
-                opened.append(hit)
-            out.append((i, key[0], key[1], d, pd.Timestamp(at, unit="us"), hit[2], hit[2] == i))
-        while opened and opened[0][0] < mark - cooldown_us:
-            opened.pop(0)
-        if waiting or opened:
-            state.update(
-                tuple([x[n] for x in opened] for n in range(3)) + tuple([x[n] for x in waiting] for n in range(3))
-            )
-            wake = (waiting[0][0] if waiting else opened[0][0] + cooldown_us) // 1000 + 1
-            state.setTimeoutTimestamp(int(max(wake, mark // 1000 + 1)))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=names)
-
     schema = (
         f"assessment_id long, well_id {kind}, risk_level string, depth_m double, assessed_at timestamp, alert_id long, "
         "is_new boolean"
     )
-    memory = (
-        "o_at array<long>, o_d array<double>, o_id array<long>, w_at array<long>, w_d array<double>, w_id array<long>"
-    )
-    return rows.groupBy("well_id", "risk_level").applyInPandasWithState(
-        fold, schema, memory, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return rows.groupBy("well_id", "risk_level").transformWithState(OpenAlerts(cooldown_s * 1_000_000, window), schema, "append", "EventTime")
+
+
+class OpenAlerts(InOrder):
+    """The alert fold of one well and level: rows wait as in InOrder; open alerts lie in a map by depth cell, as (time, id, depth)."""
+
+    def __init__(self, cooldown_us: int, window: float):
+        super().__init__("us long", self.decide)
+        self.cooldown, self.window = cooldown_us, window
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.open = handle.getMapState("open", "cell long", "alerts binary")
+
+    def cell(self, depth) -> int:
+        return ANYWHERE if depth is None else math.floor(depth / (self.window if self.window > 0 else 1.0))
+
+    def alerts(self, cell: int, us: int) -> list:
+        """The alerts of a cell that the cooldown before `us` has not passed; read once a release, empty cells are dropped from the state."""
+        if cell not in self.read:
+            self.read[cell] = pickle.loads(self.open.getValue((cell,))[0]) if self.open.containsKey((cell,)) else []
+        self.read[cell] = [a for a in self.read[cell] if a[0] >= us - self.cooldown]
+        return self.read[cell]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.read: dict = {}
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        for cell, alerts in self.read.items():
+            if alerts:
+                self.open.updateValue((cell,), (pickle.dumps(alerts),))
+            elif self.open.containsKey((cell,)):
+                self.open.removeKey((cell,))
+
+    def decide(self, key, carried, row):
+        us, number, depth = row
+        here = self.cell(depth)
+        reach = {k[0] for k in self.open.keys()} | set(self.read) if depth is None else (here - 1, here, here + 1, ANYWHERE)  # noqa: SIM118
+        near = [a for c in reach for a in self.alerts(c, us) if depth is None or a[2] is None or abs(a[2] - depth) <= self.window]
+        owner = max(near, default=None, key=lambda a: a[:2])
+        if owner is None:
+            owner = (us, number, depth)
+            self.alerts(here, us).append(owner)
+        out = Row(assessment_id=number, well_id=key[0], risk_level=key[1], depth_m=depth, assessed_at=moment(us), alert_id=owner[1], is_new=owner[1] == number)
+        return carried, [out]
+
+
+ANYWHERE = -(1 << 62)  # the cell of alerts without a depth
 
 
 def stream_score(df: DataFrame, forest: Forest) -> DataFrame:

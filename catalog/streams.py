@@ -47,7 +47,7 @@ def q_stream_resample(s, d):
 @query(
     f"WITH {TELE}, s AS (SELECT *, abs((bit_depth_m - lag(bit_depth_m) OVER w) / nullif((epoch_us(\"timestamp\") - lag(epoch_us(\"timestamp\")) OVER w) / 60e6, 0)) AS speed FROM tele WINDOW w AS (PARTITION BY well_name ORDER BY "
     "\"timestamp\")) SELECT well_name, epoch_us(\"timestamp\") AS at, round(speed, 7) AS speed, flow_in_lpm > 100 AS circulating, bit_rpm > 50 AS rotating, coalesce(speed > 0.5, FALSE) AS tripping, flow_in_lpm > 100 OR bit_rpm > 50 OR "
-    "coalesce(speed > 0.5, FALSE) AS operations_active FROM s"
+    "coalesce(speed > 0.5, FALSE) AS operations_active FROM s WHERE epoch_us(\"timestamp\") // 1000 <= (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events)"
 )
 def q_stream_rig_state(s, d):
     out = _run(s, S.stream_rig_state(_stream(s, d), min_rpm=50.0))
@@ -60,7 +60,7 @@ def q_stream_rig_state(s, d):
 @query(
     f"WITH RECURSIVE {TELE}, o AS (SELECT well_name, \"timestamp\" AS tm, bit_depth_m AS b, row_number() OVER (PARTITION BY well_name ORDER BY \"timestamp\") AS i FROM tele), r AS (SELECT well_name, tm, b, i, floor(b / 250 + 0.5) * "
     "250 AS cur, TRUE AS moved FROM o WHERE i = 1 UNION ALL SELECT o.well_name, o.tm, o.b, o.i, CASE WHEN abs(o.b - r.cur) < 250 THEN r.cur ELSE floor(o.b / 250 + 0.5) * 250 END, abs(o.b - r.cur) >= 250 FROM r JOIN o ON o.well_name = "
-    "r.well_name AND o.i = r.i + 1) SELECT well_name, epoch_us(tm) AS at, b AS bit_depth_m, cur AS depth_m FROM r WHERE moved"
+    "r.well_name AND o.i = r.i + 1) SELECT well_name, epoch_us(tm) AS at, b AS bit_depth_m, cur AS depth_m FROM r WHERE moved AND epoch_us(tm) // 1000 <= (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events)"
 )
 def q_stream_context_depth(s, d):
     out = _run(s, S.stream_context_depth(_stream(s, d), 250.0))

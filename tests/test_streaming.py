@@ -46,8 +46,54 @@ def rows(df, *cols):
 
 def test_rig_state_equals_batch(spark, source, tmp_path):
     cols = ("well_name", F.unix_micros("timestamp"), F.coalesce("trip_speed_m_per_min", F.lit(-1.0)), "circulating", "rotating", "tripping", "operations_active")
-    got = finished(spark, T.stream_rig_state(stream(spark, source)), tmp_path)
-    assert rows(got, *cols) == rows(W.rig_state(spark.read.schema(SCHEMA).parquet(source)), *cols)
+    got = finished(spark, T.stream_rig_state(stream(spark, source), delay="2 minutes"), tmp_path)
+    want = W.rig_state(spark.read.schema(SCHEMA).parquet(source)).where(F.unix_seconds("timestamp") <= START + 499 * 15 - 120)
+    assert rows(got, *cols) == rows(want, *cols) and got.count() > 480
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark, source, tmp_path_factory):
+    """The same rows in five files out of order: up to half an hour early or late."""
+    path = str(tmp_path_factory.mktemp("shuffled"))
+    rng = random.Random(5)
+    kept = sorted(spark.read.schema(SCHEMA).parquet(source).collect(), key=lambda r: r["timestamp"].timestamp() + rng.uniform(-1800, 1800))
+    for k in range(5):
+        spark.createDataFrame(kept[k * 100 : k * 100 + 100], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_disorder_gives_the_batch_result(spark, source, shuffled, tmp_path):
+    batch = spark.read.schema(SCHEMA).parquet(source).where(F.unix_seconds("timestamp") <= START + 499 * 15 - 3720)
+    cols = ("well_name", F.unix_micros("timestamp"), F.coalesce("trip_speed_m_per_min", F.lit(-1.0)), "circulating", "tripping")
+    got = finished(spark, T.stream_rig_state(stream(spark, shuffled), delay="62 minutes"), tmp_path / "r")
+    assert rows(got, *cols) == rows(W.rig_state(batch), *cols)
+    deep = finished(spark, T.stream_context_depth(stream(spark, shuffled), 25.0, delay="62 minutes"), tmp_path / "d")
+    even = finished(spark, T.stream_context_depth(stream(spark, source), 25.0, delay="62 minutes"), tmp_path / "e")
+    assert rows(deep, "well_name", "bit_depth_m", "depth_m") == rows(even, "well_name", "bit_depth_m", "depth_m") and deep.count() > 5
+
+
+def test_alerts_by_cell_equal_batch_under_disorder(spark, source, shuffled, tmp_path):
+    """Short cooldowns, depths on the edge of cells and unknown ones."""
+    def shaped(df):
+        depth = F.when(F.unix_seconds("timestamp") % 4 != 0, F.floor("bit_depth_m") % 300)
+        return df.select(
+            F.unix_seconds("timestamp").alias("assessment_id"), F.lit(1).cast("long").alias("well_id"), F.col("timestamp").alias("assessed_at"),
+            depth.cast("double").alias("depth_m"), F.lit("HIGH").alias("risk_level"))
+
+    got = finished(spark, T.stream_alerts(shaped(stream(spark, shuffled)), 300, 25.0, delay="62 minutes"), tmp_path)
+    want = A.alert_decisions(shaped(spark.read.schema(SCHEMA).parquet(source)), 300, 25.0).where(F.unix_seconds("assessed_at") <= START + 499 * 15 - 3720)
+    cols = ("assessment_id", "alert_id", "is_new")
+    assert rows(got, *cols) == rows(want, *cols) and got.where("not is_new").count() > 20
+
+
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    src = str(tmp_path / "src")
+    for ts in ([100, 50, 3000], [3001, 20_000], [110, 30_000]):
+        spark.createDataFrame([("a", START + t, 1.0) for t in ts], "well_name string, s long, bit_depth_m double").select(
+            "well_name", F.timestamp_seconds("s").alias("timestamp"), "bit_depth_m").coalesce(1).write.mode("append").parquet(src)
+    df = T.stream_context_depth(T.stream_telemetry(spark, src, "well_name string, timestamp timestamp, bit_depth_m double", 1), 25.0, delay="1 minute")
+    q = T.run_to_table(df, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert T.late_rows([json.loads(p.json) for p in q.recentProgress]) == 1
 
 
 def test_resample_equals_batch_up_to_the_watermark(spark, source, tmp_path):
@@ -59,9 +105,9 @@ def test_resample_equals_batch_up_to_the_watermark(spark, source, tmp_path):
 
 
 def test_context_depth_equals_loop(spark, source, tmp_path):
-    got = finished(spark, T.stream_context_depth(stream(spark, source), 25.0), tmp_path)
+    got = finished(spark, T.stream_context_depth(stream(spark, source), 25.0, delay="2 minutes"), tmp_path)
     want, last = [], {}
-    for r in spark.read.schema(SCHEMA).parquet(source).orderBy("timestamp").collect():
+    for r in spark.read.schema(SCHEMA).parquet(source).where(F.unix_seconds("timestamp") <= START + 499 * 15 - 120).orderBy("timestamp").collect():
         p = last.get(r["well_name"])
         if p is None or abs(r["bit_depth_m"] - p) >= 25:
             last[r["well_name"]] = math.floor(r["bit_depth_m"] / 25 + 0.5) * 25.0
