@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from borelight.functions import scalars as S
-from borelight.operators.skew import broadcast_if_small
+from borelight.operators.skew import HOT_ROWS, broadcast_if_small, broadcast_within
 from borelight.params import DEFAULTS, EARTH_RADIUS_KM
 
 
@@ -30,6 +30,7 @@ def nearest_join(
     tolerance: float | None = None,
     prefer: Column | None = None,
     merge_repeats: bool = True,
+    max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Attach to every query row the reference row of the same key nearest in `r_at`.
 
@@ -37,7 +38,8 @@ def nearest_join(
     two sorted passes find the neighbour on each side, so no pairs are formed. With a `tolerance`
     reference rows reach over piece borders by copies; without one the last and first reference of
     every piece are carried along. `prefer` decides ties (larger wins; default: the smaller position).
-    The result keeps all query columns and adds `payload` plus `gap` (NULL without a match).
+    The queries of a piece that more than `max_rows` of them ask for are dealt to copies of its references, so a place where most
+    queries stand spreads over tasks. The result keeps all query columns and adds `payload` plus `gap` (NULL without a match).
     """
     q_cols = queries.columns
     if tolerance is not None:
@@ -63,13 +65,21 @@ def nearest_join(
         F.struct(*q_cols).alias("_q"),
         F.coalesce(F.floor(q_pos / width).cast("long"), nowhere).alias("_b"),
     )
+    piece = [*on, "_b"]
+    hot = q.groupBy(*piece).agg(F.ceil(F.count(F.lit(1)) / max_rows).cast("int").alias("_shares")).where("_shares > 1")
+    n_hot = hot.count()
+    if n_hot:  # at most one for every max_rows queries
+        hot = broadcast_within(hot, n_hot)
+        q = q.join(hot, piece, "left").withColumn("_share", F.pmod(F.xxhash64(*[F.col(f"_q.`{c}`") for c in flat]), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
+        r = r.join(hot, piece, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+    else:
+        q, r = q.withColumn("_share", F.lit(0)), r.withColumn("_share", F.lit(0))
     both = q.withColumn("_is_q", F.lit(1)).unionByName(
         r.withColumn("_is_q", F.lit(0)), allowMissingColumns=True
     )
-    piece = [*on, "_b"]
     ref_prefer = F.col("_r.prefer")
-    fwd = Window.partitionBy(*piece).orderBy("_p", "_is_q", ref_prefer)
-    bwd = Window.partitionBy(*piece).orderBy(F.desc("_p"), F.desc("_is_q"), ref_prefer)
+    fwd = Window.partitionBy(*piece, "_share").orderBy("_p", "_is_q", ref_prefer)
+    bwd = Window.partitionBy(*piece, "_share").orderBy(F.desc("_p"), F.desc("_is_q"), ref_prefer)
     upto = (Window.unboundedPreceding, 0)
     found = both.select(
         *piece,

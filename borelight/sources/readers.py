@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from borelight.functions.scalars import decode_dir
 from borelight.operators.clean import nan_as_null
 from borelight.operators.joins import known_wells_only
+from borelight.operators.materialise import materialised
 from borelight.operators.positions import utm_to_wgs84
+from borelight.operators.skew import broadcast_if_small
 from borelight.params import LOG_FILE_ORDER, LOG_TEXT_COLUMNS
 
 
@@ -86,18 +88,82 @@ def _known(c):
     return F.when(F.length(F.trim(c)) > 0, F.trim(c))
 
 
+LOG = (
+    "nameWell string, nameWellbore string, name string, indexType string, indexCurve string, nullValue string, "
+    "logCurveInfo array<struct<mnemonic:string, unit:string>>, logData struct<mnemonicList:string, unitList:string>"
+)
+PREFIX = r"(?:[\w.-]+:)?"  # a namespace
+
+
+def _data_lines(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """Log headers (source_file, _object, header text) and their data lines (source_file, _object, line, _text) from splits of the files.
+
+    Files are read as text that ends at each `</data>`, so a file of any size is cut at byte ranges and read by many tasks. The object and
+    the line that a piece belongs to follow from counts per byte range and a running count inside the range.
+    """
+    text = (
+        spark.read.option("lineSep", "</data>").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").text(path)
+        .select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_range"), F.monotonically_increasing_id().alias("_at"))
+    )
+    head = F.regexp_extract("value", rf"(?s).*(<{PREFIX}log(?:\s[^>]*)?>.*)$", 1)  # the last object that begins in the piece
+    starts = F.length(head) > 0
+    body = F.when(starts, head).otherwise(F.col("value"))
+    full = rf"(?s)^.*<{PREFIX}data(?:\s[^>]*[^/])?>(.*)$"
+    lines = F.concat(
+        F.array_repeat(F.lit(None).cast("string"), F.regexp_count(body, F.lit(rf"<{PREFIX}data(?:\s[^>]*)?/>"))),  # empty elements
+        F.when(body.rlike(full), F.array(F.regexp_extract(body, full, 1))).otherwise(F.array().cast("array<string>")),
+    )
+    # written once: the order of pieces is that of this reading
+    pieces = materialised(text.select("source_file", "_range", "_at", F.when(starts, head).alias("_head"), lines.alias("_lines")))
+    within = Window.partitionBy("source_file", "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    counts = pieces.groupBy("source_file", "_range").agg(
+        F.count("_head").alias("_heads"), F.sum(F.size("_lines")).alias("_n"),
+        # lines from the last header of the range on
+        F.max(F.when(F.col("_head").isNotNull(), F.col("_at"))).alias("_last"),
+    )
+    tail = pieces.join(counts, ["source_file", "_range"]).where(F.col("_last").isNull() | (F.col("_at") >= F.col("_last")))
+    tail = tail.groupBy("source_file", "_range").agg(F.sum(F.size("_lines")).alias("_tail"))
+    counts = counts.join(tail, ["source_file", "_range"])
+    before = Window.partitionBy("source_file").orderBy("_range")  # a row for each byte range of a file
+    group = F.sum("_heads").over(before.rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("_group", group)
+    open_ = Window.partitionBy("source_file", "_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialised(counts.select(
+        "source_file", "_range", (F.col("_group") - F.col("_heads")).alias("_objects"),
+        "_group", "_heads", "_tail"))
+    # lines of the object that is open when a range begins, from the range of its header on
+    counts = counts.withColumn("_of_last", F.sum("_tail").over(open_))
+    carried = F.lag(F.coalesce(F.col("_of_last"), F.lit(0)) + F.col("_tail")).over(before)
+    counts = counts.select("source_file", "_range", "_objects", F.coalesce(carried, F.lit(0)).alias("_carried"))
+    rows = pieces.join(broadcast_if_small(counts), ["source_file", "_range"])
+    rows = rows.withColumn("_seen", F.count("_head").over(within))
+    same = Window.partitionBy("source_file", "_range", "_seen").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_first", F.coalesce(F.sum(F.size("_lines")).over(same), F.lit(0)) + F.when(F.col("_seen") == 0, F.col("_carried")).otherwise(0))
+    rows = rows.withColumn("_object", F.col("_objects") + F.col("_seen")).where("_object > 0")
+    headers = rows.where(F.col("_head").isNotNull()).select("source_file", "_object", "_head")
+    data = rows.select("source_file", "_object", "_first", F.posexplode("_lines").alias("_p", "_text"))
+    return headers, data.select("source_file", "_object", (F.col("_first") + F.col("_p")).cast("int").alias("line"), _plain("_text").alias("_text"))
+
+
+def _plain(c: str):
+    """Character data of an element, trimmed: sections unwrapped, the named references of XML decoded."""
+    text = F.regexp_replace(F.trim(c), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.when(F.contains(text, F.lit("&")), F.replace(text, F.lit(f"&{name};"), F.lit(char))).otherwise(text)
+    return text
+
+
 def read_witsml_logs(spark: SparkSession, path) -> DataFrame:
     """One row per data line: log attributes, `values` (mnemonic -> text) and `units` (mnemonic -> unit).
 
     A unit listed with the data is used only where the curve header has none. A line with fewer cells than mnemonics has NULL for
-    the rest; cells beyond the mnemonics have no name and are counted in `extra_cells`.
+    the rest; cells beyond the mnemonics have no name and are counted in `extra_cells`. One large log object is read by many tasks.
     """
-    raw = _xml(
-        spark, path, "log",
-        "nameWell string, nameWellbore string, name string, indexType string, indexCurve string, "
-        "nullValue string, logCurveInfo array<struct<mnemonic:string, unit:string>>, "
-        "logData struct<mnemonicList:string, unitList:string, data:array<string>>",
-    ).select("*", F.col("_metadata.file_path").alias("source_file"))
+    headers, data = _data_lines(spark, path)
+    closed = F.concat(
+        F.regexp_replace(F.regexp_replace("_head", rf"(?s)<{PREFIX}data[\s>/].*$", ""), rf"(</?){PREFIX}([A-Za-z])", "$1$2"), F.lit("</logData></log>")
+    )
+    raw = headers.select("source_file", "_object", F.from_xml(closed, LOG).alias("_x")).select("source_file", "_object", "_x.*")
     names = F.transform(F.split("logData.mnemonicList", ","), lambda x: F.trim(x))
     units = F.transform(F.split("logData.unitList", ","), lambda x: F.trim(x))
     inline = F.when(F.size(names) == F.size(units), F.map_from_arrays(names, units))
@@ -112,23 +178,23 @@ def read_witsml_logs(spark: SparkSession, path) -> DataFrame:
     merged = F.map_from_arrays(
         every, F.transform(every, lambda m: F.coalesce(header[m], _known(inline[m])))
     )
-    rows = raw.select(
+    heads = raw.select(
         F.trim("nameWell").alias("well_name"),
         F.trim("name").alias("log_name"),
         F.trim("indexType").alias("index_type"),
         F.trim("indexCurve").alias("index_curve"),
         F.trim("nullValue").alias("null_value"),
-        "source_file",
+        F.col("source_file").alias("_file"),
+        F.col("_object").alias("_number"),
         merged.alias("units"),
         names.alias("_names"),
-        F.posexplode("logData.data").alias("line", "_text"),
     )
+    rows = data.join(broadcast_if_small(heads), (F.col("source_file") == F.col("_file")) & (F.col("_object") == F.col("_number")))
     cells = F.split("_text", ",")
     filled = F.transform("_names", lambda _, i: F.get(cells, i))
-    return (
-        rows.withColumn("values", F.map_from_arrays("_names", filled))
-        .withColumn("extra_cells", F.greatest(F.size(cells) - F.size("_names"), F.lit(0)))
-        .drop("_names", "_text")
+    return rows.select(
+        "well_name", "log_name", "index_type", "index_curve", "null_value", "source_file", "units", "line", F.map_from_arrays("_names", filled).alias("values"),
+        F.greatest(F.size(cells) - F.size("_names"), F.lit(0)).alias("extra_cells"),
     )
 
 

@@ -99,3 +99,14 @@ def test_names_and_new_rows(spark):
     old = spark.createDataFrame([(1, None)], "a int, b string")
     new = spark.createDataFrame([(1, None, 5), (1, "x", 9), (1, "x", 4)], "a int, b string, c int")
     assert [tuple(r) for r in J.new_rows_only(new, old, ["a", "b"]).collect()] == [(1, "x", 4)]
+
+
+@pytest.mark.parametrize("tolerance", [None, 4.0])
+def test_a_place_with_most_queries_spreads(spark, tolerance):
+    """A third of all queries at one depth: dealt to copies of that piece, same rows found; null keys and depths stay."""
+    queries = spark.createDataFrame([(i, "a" if i % 7 else None, 55.0 if i % 3 == 0 else float(i % 200) if i % 11 else None) for i in range(300)], "qid int, k string, d double")
+    refs = spark.createDataFrame([("a", float(i * 7 % 230) + (i % 4) / 4, i) for i in range(120)], "k string, d double, v int")
+    plain = J.nearest_join(queries, refs, ["k"], "d", "d", ["v"], 20.0, tolerance)
+    dealt = J.nearest_join(queries, refs, ["k"], "d", "d", ["v"], 20.0, tolerance, max_rows=9)
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, plain.collect())) and dealt.count() == 300
+    assert dealt.where("v is not null").count() > 150

@@ -192,6 +192,34 @@ def test_build_wells(spark, tree):
     assert "standpipe_pressure_bar" not in ch and "trip_speed_m_per_min" in ch and got.unmapped.count() == 0
 
 
+@pytest.mark.parametrize("size", ["128m", "700b", "90b"])
+def test_large_log_objects_are_read_in_splits(spark, tmp_path, size):
+    """Objects over several byte ranges, several in one range, one without lines, empty and escaped lines, a namespace prefix."""
+    want, files = [], {"a": [("A", 60), ("none", 0), ("B", 3), ("C", 41)], "b": [("D", 1)], "c": [("E", 25)]}
+    for f, objects in files.items():
+        x = "w:" if f == "c" else ""
+        parts = []
+        for name, n in objects:
+            lines = [f"{i},{name} &amp; {i * i}" for i in range(n)]
+            data = "".join(f"<{x}data>{v}</data>" if not x else f"<{x}data>{v}</{x}data>" for v in lines) if not x else "".join(f"<data>{v}</data>" for v in lines)
+            if name == "C":
+                data = data.replace("<data>7,C &amp; 49</data>", "<data/>")
+            want += [(name, i, None if name == "C" and i == 7 else f"{name} & {i * i}") for i in range(n)]
+            parts.append(f"<{x}log uid='{name}'>\n<{x}nameWell>W &lt;1&gt;</{x}nameWell><{x}name>{name}</{x}name><{x}indexCurve>T</{x}indexCurve>"
+                         f"<{x}logCurveInfo><{x}mnemonic>T</{x}mnemonic><{x}unit>s</{x}unit></{x}logCurveInfo><{x}logData><{x}mnemonicList>T,V</{x}mnemonicList>{data}</{x}logData></{x}log>")
+        (tmp_path / f"{f}.xml").write_text(f"<{x}logs xmlns{':w' if x else ''}='http://www.witsml.org/schemas/1series'>{''.join(parts)}</{x}logs>")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = R.read_witsml_logs(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted((r["log_name"], r["line"], (r["values"] or {}).get("V")) for r in got) == sorted(want, key=lambda w: w[:2])
+    assert {(r["well_name"], r["units"]["T"]) for r in got} == {("W <1>", "s")}
+
+
 def test_short_and_long_log_lines(spark, tmp_path):
     lines = "".join(f"<data>{x}</data>" for x in ("1,2,3", "4,5", "6,7,8,9"))
     (tmp_path / "a.xml").write_text(
