@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borelight.functions import text as X
 from borelight.functions.vectors import check_dimension
 from borelight.operators.joins import new_rows_only
+from borelight.operators.materialise import materialised
 from borelight.operators.skew import broadcast_if_small, spread
 from borelight.operators.windows import chunk_numbering
 from borelight.params import (
@@ -21,6 +23,7 @@ from borelight.params import (
     PROBLEM_TERMS,
     ROUTINE_TERMS,
 )
+from borelight.sources.writers import write_table
 
 METHOD = "nlp_document_extraction"
 
@@ -221,7 +224,8 @@ def ingest_documents(
     found = extract_knowledge(fresh, lexicon)
     titles = documents.select("document_id", "title", "well_id")
     sure = found.events.where(F.col("confidence") >= min_confidence)
-    rows = new_rows_only(_event_rows(sure, titles), events, ["document_id", "raw_text", "event_type"])
+    # the pages are gone through once; events and mitigations are two views of the rows written
+    rows = materialised(new_rows_only(_event_rows(sure, titles), events, ["document_id", "raw_text", "event_type"]))
     new_events, new_acts = _split_mitigations(rows)
     f = found.records.where((F.col("record_type") == "formation_interval") & (F.col("confidence") >= min_confidence))
     f = f.join(broadcast_if_small(titles), "document_id").select(
@@ -238,6 +242,43 @@ def ingest_documents(
     return Ingested(new_chunks, new_events, new_acts, new_intervals, totals)
 
 
+TABLES = {
+    "chunks": "document_id long, chunk_index int, page_number int",
+    "events": "document_id long, raw_text string, event_type string",
+    "mitigations": "event_id long",
+    "intervals": "well_id long, formation_name string, depth_top_m double",
+}
+
+
+def ingest_batch(
+    folder: str, batch_id: int, pages: DataFrame, documents: DataFrame, lexicon: Lexicon = LEXICON,
+    min_confidence: float = DEFAULTS.min_confidence,
+) -> None:
+    """One batch of pages into the tables under `folder` (chunks, events, mitigations, intervals), each partitioned by `batch_id`.
+
+    What earlier batches stored is not stored again, and a batch that is run once more replaces what it wrote, so it may be the body of
+    `foreachBatch` with the batch's own number. Numbers must not fall from one new batch to the next.
+    """
+    spark = pages.sparkSession
+    # later batches know what this one wrote, but it must not know itself
+    stored = {name: read_batches(spark, folder, name).where(F.col("batch_id") < batch_id).drop("batch_id") for name in TABLES}
+    pages = materialised(pages)
+    got = ingest_documents(pages, documents, stored["chunks"], stored["events"], stored["intervals"], lexicon, min_confidence)
+    for name in TABLES:
+        rows = materialised(getattr(got, name).withColumn("batch_id", F.lit(batch_id).cast("long")))
+        write_table(rows, f"{folder}/{name}", "replace_partitions", "batch_id")
+
+
+def read_batches(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of `ingest_batch` with its `batch_id`; without rows if no batch has written it."""
+    empty = spark.createDataFrame([], TABLES[name] + ", batch_id long")
+    try:
+        found = spark.read.parquet(f"{folder}/{name}")
+    except AnalysisException:  # not written yet
+        return empty
+    return found.withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
 def reextract(
     pages: DataFrame, documents: DataFrame, events: DataFrame, mitigations: DataFrame, lexicon: Lexicon = LEXICON,
     min_confidence: float = DEFAULTS.min_confidence,
@@ -253,7 +294,7 @@ def reextract(
     kept_acts = mitigations.join(old_ids, "event_id", "left_anti")
     sure = extract_knowledge(pages, lexicon).events.where(F.col("confidence") >= min_confidence)
     rows = _event_rows(sure, documents.select("document_id", "title", "well_id"))
-    rows = new_rows_only(rows, kept, ["document_id", "raw_text", "event_type"])
+    rows = materialised(new_rows_only(rows, kept, ["document_id", "raw_text", "event_type"]))
     new_events, new_acts = _split_mitigations(rows)
     return (
         kept.unionByName(new_events, allowMissingColumns=True),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from borelight.functions import scalars as S
 from borelight.functions import vectors as V
 from borelight.operators import clean as C
 from borelight.operators import topk as K
+from borelight.operators.materialise import checkpoint_folder
+from borelight.sources import readers as R
+from borelight.sources import writers as O
 from catalog.base import (
     ASKED,
     HISTORY,
@@ -474,3 +479,36 @@ def q_sort_evidence(s, d):
 @query(f"WITH {INTERVALS} SELECT * FROM intervals")
 def q_ordered_reads(s, d):
     return K.ordered(intervals(s, d), "well_id", "depth_top_m", "depth_base_m")
+
+
+@query(
+    "SELECT c_name AS name, c_acctbal AS balance, NULL::BIGINT AS nation, 'customer' AS kind FROM customer UNION ALL SELECT s_name, s_acctbal, CAST(s_nationkey AS BIGINT), 'supplier' FROM supplier "
+    "UNION ALL SELECT n_name, NULL, CAST(n_nationkey AS BIGINT), NULL FROM nation"
+)
+def q_union_frames(s, d):
+    c = table(s, d, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.lit("customer").alias("kind"))
+    p = table(s, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_nationkey").cast("long").alias("nation"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    n = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), F.col("n_name").alias("name"))
+    return C.union_frames(c, p, n).select("name", "balance", "nation", "kind")
+
+
+@query("SELECT vec_id, len(embedding)::INT AS width, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")
+def q_check_dimension(s, d):
+    e = table(s, d, "embeddings").select("vec_id", V.check_dimension("embedding", 64).alias("v"))
+    total = F.aggregate(F.transform("v", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", F.size("v").alias("width"), F.round(total, 5).alias("total"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_quantity + CASE WHEN l_returnflag = 'R' THEN 100 ELSE 0 END AS l_quantity, l_returnflag FROM lineitem "
+    "UNION ALL SELECT l_orderkey, l_linenumber, -l_quantity, l_returnflag FROM lineitem WHERE l_returnflag = 'A'"
+)
+def q_write_and_read_features(s, d):
+    """A table replaced, one of its partitions replaced, rows appended, and the needed columns read."""
+    path = f"{checkpoint_folder(s)}/table-{uuid.uuid4().hex}"
+    df = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
+    O.write_table(df.limit(0), path, partition="l_returnflag")
+    O.write_table(df, path, partition="l_returnflag")
+    O.write_table(df.where("l_returnflag = 'R'").withColumn("l_quantity", F.col("l_quantity") + 100), path, "replace_partitions", "l_returnflag")
+    O.write_table(df.where("l_returnflag = 'A'").withColumn("l_quantity", -F.col("l_quantity")), path, "append", "l_returnflag")
+    return R.read_features(s, path, ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_quantity"])

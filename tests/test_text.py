@@ -165,6 +165,38 @@ def test_ingest(spark):
     assert again.chunks.where("page_number <= 2").count() == 0 and again.events.count() == 0 and again.intervals.count() == 0
 
 
+def test_batches_may_be_run_again(spark, tmp_path):
+    """A batch that is repeated changes nothing, a later one goes on behind it, and a stream may call it batch by batch."""
+    docs, p, _, _, _ = tables(spark)
+    folder = str(tmp_path / "t")
+
+    def state():
+        return {n: sorted(map(repr, K.read_batches(spark, folder, n).collect())) for n in K.TABLES}
+
+    one, two = p.where("page_number = 1"), p
+    K.ingest_batch(folder, 0, one, docs)
+    K.ingest_batch(folder, 1, two, docs)
+    first = state()
+    got = K.read_batches(spark, folder, "chunks")
+    assert sorted((r["batch_id"], r["page_number"], r["chunk_index"]) for r in got.collect()) == [(0, 1, 0), (0, 1, 1), (1, 2, 2)]
+    assert len(first["events"]) == 1 and len(first["mitigations"]) == 1
+    K.ingest_batch(folder, 1, two, docs)
+    assert state() == first
+    K.ingest_batch(folder, 2, two.where("page_number <= 2"), docs)
+    assert state() == first
+    src = str(tmp_path / "src")
+    for part in (one, p.where("page_number > 1")):
+        part.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    other = str(tmp_path / "u")
+
+    def body(df, n):
+        K.ingest_batch(other, n, df, docs)
+
+    stream.writeStream.foreachBatch(body).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert {r["chunk_index"] for r in K.read_batches(spark, other, "chunks").collect()} == {0, 1, 2}
+
+
 def test_index_continues_from_zero(spark):
     docs, p, _, ev, iv = tables(spark)
     stored = spark.createDataFrame([(1, 1, 0, "old")], "document_id long, page_number int, chunk_index int, text string")
