@@ -216,46 +216,18 @@ def investigation_query(formation, event_type, description, length: int | None =
 
 
 def narrative(level, well, depth, components, evidence_count, evidence_wells, mode) -> Column:
-    """Plain summary: level and place, the three strongest drivers, the evidence, the caveat."""
-    head = F.concat(
-        col(level),
-        F.lit(" indicator for "),
-        col(well),
-        F.when(col(depth).isNotNull(), F.format_string(" at %.0f m MD", col(depth))).otherwise(""),
-    )
-    have = F.filter(col(components), lambda c: c["value"].isNotNull())
-    ranked = F.array_sort(
-        F.transform(
-            have,
-            lambda c: F.struct(
-                (-(c["value"] * c["weight"])).alias("k"), c["name"].alias("n"), c["value"].alias("v")
-            ),
-        )
-    )
-    told = F.transform(
-        F.slice(ranked, 1, 3), lambda c: F.format_string("%s (%.2f)", c["n"], c["v"])
-    )
-    drivers = F.when(
-        F.size(have) > 0, F.concat(F.lit("Driven by "), F.array_join(told, "; "))
-    )
-    names = F.array_join(F.slice(F.array_sort(col(evidence_wells)), 1, 3), ", ")
-    backed = F.when(
-        col(evidence_count) > 0,
-        F.concat(
-            F.lit("Supported by "),
-            col(evidence_count).cast("string"),
-            F.lit(" historical record(s) from "),
-            names,
-        ),
-    ).otherwise("No historical analogue evidence was found for this interval")
-    caveat = F.when(
-        col(mode) == "hybrid_indicator",
-        F.lit(
-            "This is a historical risk indicator combining unsupervised anomaly detection with "
-            "analogue evidence, not a calibrated probability"
-        ),
-    )
-    return F.concat(F.concat_ws(". ", head, drivers, backed, caveat), F.lit("."))
+    """What a reader should know first: level and place, up to three signs by weighted size, what earlier records say, and how to read it."""
+    place = F.concat(col(well), F.when(col(depth).isNotNull(), F.format_string(", %.0f m MD", col(depth))).otherwise(""))
+    signs = F.filter(col(components), lambda c: c["value"].isNotNull())
+    by_size = F.array_sort(F.transform(signs, lambda c: F.struct((-(c["value"] * c["weight"])).alias("k"), c["name"].alias("n"), c["value"].alias("v"))))
+    named = F.array_join(F.transform(F.slice(by_size, 1, 3), lambda c: F.format_string("%s %.2f", c["n"], c["v"])), ", ")
+    wells = F.array_join(F.slice(F.array_sort(col(evidence_wells)), 1, 3), ", ")
+    records = F.when(
+        col(evidence_count) > 0, F.concat(F.lit("earlier records near this depth: "), col(evidence_count).cast("string"), F.lit(" ("), wells, F.lit(")"))
+    ).otherwise("no earlier record near this depth in similar wells")
+    reading = F.when(col(mode) == "hybrid_indicator", "to be read as an order of concern: unusual telemetry and earlier cases, without a fitted chance of an event")
+    strongest = F.when(F.size(signs) > 0, F.concat(F.lit("strongest signs: "), named))
+    return F.concat(col(level), F.lit(" at "), F.concat_ws("; ", place, strongest, records, reading), F.lit("."))
 
 
 def nan_to_null(c) -> Column:

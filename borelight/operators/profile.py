@@ -247,11 +247,11 @@ def status_warnings(counts: DataFrame, models: DataFrame) -> DataFrame:
     a = wide.where(lost > 0).select(
         F.concat(
             lost.cast("string"),
-            F.lit(" well(s) have no established surface position and are excluded from map and proximity results."),
+            F.lit(" of the wells cannot be placed: no coordinates, so neither distances nor a map can use them."),
         ).alias("warning")
     )
     b = models.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
-        F.lit("No models are registered; prediction endpoints will report that a model is unavailable.").alias("warning")
+        F.lit("The registry holds no model, so nothing can be predicted yet.").alias("warning")
     )
     return a.unionByName(b)
 

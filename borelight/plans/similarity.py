@@ -148,7 +148,7 @@ def search_passages(
     k = DEFAULTS.search_results if k is None else k
     floor = DEFAULTS.search_min_similarity if min_similarity is None else min_similarity
     if queries.where(F.length(F.trim(F.coalesce("text", F.lit("")))) == 0).limit(1).count():
-        raise ValueError("A search query is required.")
+        raise ValueError("a blank text cannot be searched for")
     pool = chunks.where(F.col("embedding").isNotNull())
     if well_id is not None:
         docs = documents.where(F.col("well_id") == well_id)
@@ -156,8 +156,8 @@ def search_passages(
     if not pool.limit(1).count():
         some = chunks.limit(1).count()
         raise SearchUnavailable(
-            "No report passages have embeddings yet; run the embedding step." if some
-            else "No report passages have been ingested."
+            "The passages there are have no vector; embed them first." if some
+            else "There is no passage to search."
         )
     n_queries = queries.count()
     hits = nearest_vectors(pool, queries, k, n_queries=n_queries).where(F.col("similarity") >= floor)

@@ -223,7 +223,7 @@ def q_status_counts(s, d):
 
 
 @query(
-    f"WITH {PLACES} SELECT (count(*) - count(longitude)) || ' well(s) have no established surface position and are excluded from map and proximity results.' AS warning FROM places HAVING "
+    f"WITH {PLACES} SELECT (count(*) - count(longitude)) || ' of the wells cannot be placed: no coordinates, so neither distances nor a map can use them.' AS warning FROM places HAVING "
     "count(*) > count(longitude)"
 )
 def q_status_warnings(s, d):

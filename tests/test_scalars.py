@@ -119,8 +119,8 @@ def test_narrative(spark):
         spark,
         S.narrative(F.lit("HIGH"), F.lit("W1"), F.lit(1234.4), parts, F.lit(2), F.array(F.lit("B"), F.lit("A")), F.lit("hybrid_indicator")),
     )
-    assert text.startswith("HIGH indicator for W1 at 1234 m MD. Driven by anomaly (0.50); rules (0.20). Supported by 2 historical record(s) from A, B. ")
-    assert text.endswith("not a calibrated probability.")
+    assert text.startswith("HIGH at W1, 1234 m MD; strongest signs: anomaly 0.50, rules 0.20; earlier records near this depth: 2 (A, B); to be read")
+    assert text.endswith("without a fitted chance of an event.")
 
 
 def test_position_shift(spark):
