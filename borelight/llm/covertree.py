@@ -25,7 +25,7 @@ BUNDLE = 8192  # rows of a bundle; beyond BUNDLES of them bundles grow up to MOS
 BUNDLES = 256
 MOST = 1 << 16
 CELL = 1 << 22  # products made at once
-CHUNK = 1 << 18  # pairs of nodes looked at at once
+CHUNK = 1 << 14  # pairs of nodes looked at at once
 SLACK = 1e-9  # bounds of nodes are taken so much wider; the comparison of vectors is not
 
 
