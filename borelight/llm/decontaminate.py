@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from borelight.llm.held import held
+from borelight.llm.held import held, latest
 from borelight.llm.shingles import GOLD, mix
 
 Q = 12
@@ -239,6 +239,11 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
         yield rows
 
 
+def index_of(name: str, sent) -> Index:
+    """The index of one block of the benchmark, made once a process; the one before it goes."""
+    return latest(("benchmark",), name, lambda: Index(sent.value))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per passage of `benchmark` (item_id, text) found in `docs` (doc_id, text): ids, places and edits.
 
@@ -253,7 +258,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def search(batches, sent=sent, name=name):
-            index = held(("benchmark", name), lambda: Index(sent.value))
+            index = index_of(name, sent)
             for batch in batches:
                 got = [
                     (d.as_py(), index.ids[r[0]], *r[1:])
@@ -273,7 +278,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def clean(batches, sent=sent, name=name):
-            index = held(("benchmark", name), lambda: Index(sent.value))
+            index = index_of(name, sent)
             for batch in batches:
                 yield batch.filter(pa.array([t.as_py() is None or not regions(t.as_py(), index) for t in batch.column("text")], pa.bool_()))
 

@@ -13,3 +13,12 @@ def held(key: tuple, make: Callable):
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+def latest(key: tuple, name: str, make: Callable):
+    """As `held`, but of one `key` only the object of the `name` asked for last is kept."""
+    store = sys.__dict__.setdefault("_borelight_held", {})
+    if store.get(key, (None,))[0] != name:
+        store.pop(key, None)
+        store[key] = (name, make())
+    return store[key][1]

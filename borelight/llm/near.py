@@ -71,8 +71,8 @@ def prints(docs: DataFrame, size: int) -> DataFrame:
 
     def compute(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, 250):
+                part = batch.slice(i, 250)
                 n, d1, d2, sk, bk = [], [], [], [], []
                 for text in part.column("text"):
                     s = shingle_set(text.as_py(), size)
@@ -245,12 +245,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     paired across components by an exact prefix join. Every link between members of a bucket is thus either confirmed on full
     sets or implied by links that are.
 
-    Null, empty and blank texts have no shingles, link with nothing and are kept. Ids should be unique: rows with one id are all kept or dropped by
-    their own sets, but links are confirmed on the smallest of their texts. A null id
+    Null, empty and blank texts have no shingles, link with nothing and are kept. Rows of one id with different sets are told apart by
+    numbers of their own, on a written copy of the texts. A null id
     takes the component of an equal set, else null; it is kept only if no other document stands for it. No rows: no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     all_prints = materialised(prints(docs, size))
+    several = all_prints.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi")
+    if not several.isEmpty():
+        return _by_row(docs, size, percent)
     first = all_prints.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
     ids = materialised(first)
     slim = all_prints.where("n_shingles > 0 and doc_id is not null").join(ids, ["d1", "d2", "doc_id"]).dropDuplicates(["d1", "d2", "doc_id"])
@@ -290,12 +293,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
+def _by_row(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Near duplicates of rows whose ids are not unique: found by row numbers, named by the smallest id of each component."""
+    rows = materialised(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), size, percent).withColumnsRenamed({"doc_id": "row", "component_id": "group"})
+    found = materialised(rows.select("row", "doc_id").join(found, "row"))
+    names = found.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(names, "group")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, all columns, of one document (the smallest id) of each near-duplicate group; of rows with one id one
     stays. Rows with a null id stay, equal ones once."""
     found = near_duplicates(docs, size, percent)
     gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    whole = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if not t.startswith("map")])
-    rows = docs.join(gone, "doc_id", "left_anti").withColumn("_whole", whole)
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", whole.alias("_whole"))
+    rows = rows.join(gone, "doc_id", "left_anti")
     one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("_whole"))).orderBy("_whole")
-    return rows.withColumn("_k", F.row_number().over(one)).where("_k = 1").select(*docs.columns)
+    return rows.withColumn("_number", F.row_number().over(one)).where("_number = 1").select("_row.*")
