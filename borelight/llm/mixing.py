@@ -128,14 +128,16 @@ def mix(
     about = spark.createDataFrame(about, f"_s {kind}, _i long, _buckets long")  # a row a source
     if len(sizes) <= SENT_SOURCES:
         about = F.broadcast(about)
-    rows = docs.withColumn("_h", F.xxhash64(F.lit(seed), key)).join(about, F.col(source).eqNullSafe(F.col("_s"))).drop("_s")
+    # the caller's row goes along as one struct, so no name of its columns can clash
+    ties = F.struct(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), ties.alias("_ties"), F.col(source).alias("_source"), F.xxhash64(F.lit(seed), key).alias("_h"))
+    rows = rows.join(about, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "_source")
     rows = rows.withColumn("_b", F.pmod(F.shiftrightunsigned("_h", 8), F.col("_buckets"))).drop("_buckets")
     counts = rows.groupBy("_i", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_i").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_i", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ties = [F.col(c) for c, t in docs.dtypes if not t.startswith("map")]
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_i", "_b").orderBy("_h", *ties))).join(counts, ["_i", "_b"])
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_i", "_b").orderBy("_h", "_ties"))).drop("_ties").join(counts, ["_i", "_b"])
     rows = rows.withColumn("_rank", F.col("_before") + F.col("_k") - 1).withColumn("mix_block", F.floor(F.col("_rank") / block_rows))
     rows = rows.join(one, ["_i", "mix_block"])
     position = (F.col("mix_slot") * block_rows + F.col("_rank") % block_rows).alias("mix_position")
-    return rows.select(*docs.columns, "mix_block", "mix_release", "mix_deadline", "mix_slot", position)
+    return rows.select("_row.*", "mix_block", "mix_release", "mix_deadline", "mix_slot", position)

@@ -57,7 +57,7 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(url)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c, t in df.dtypes if c in kept and not t.startswith("map")]), F.lit(SALTS))
-    rows = df.select(*kept, host.alias("host"), path.alias("path"), salt.alias("_salt"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), host.alias("host"), path.alias("path"), salt.alias("_salt"))
     rules = rules.select("verdict", "host", F.coalesce("path", F.lit("")).alias("path")).where("host is not null and verdict is not null").distinct()
     deepest = rules.agg(
         F.max(F.size(F.split("host", "\\."))).alias("labels"), F.max(F.size(F.split("path", "/")) - 1).alias("depth")
@@ -78,5 +78,5 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     hits = spread.join(salted, ["_salt", "_short"]).where((F.col("_digest") == F.col("_full")) & F.col("path").startswith(F.col("_rule_path")))
     best = hits.groupBy("host", "path", "_salt").agg(F.max("_rule").alias("_best"))
     return rows.join(best, ["host", "path", "_salt"], "left").select(
-        *kept, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict")
+        "_row.*", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict")
     )

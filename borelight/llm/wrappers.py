@@ -42,16 +42,16 @@ TAG = re.compile(
 ATTR = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 CONSTANT_PAGES = 4
 HOSTS_HELD = 2000
-DEEPEST = 200
+DEEPEST = 200  # levels of the tree; what is nested deeper keeps its place and its text on the last one
 
 
 class Node:
     """An element: tag, label (tag and class, digits as 0) and children, which are nodes or decoded text."""
 
-    __slots__ = ("tag", "label", "words", "role", "children")
+    __slots__ = ("tag", "label", "words", "role", "children", "deep")
 
     def __init__(self, tag: str, attrs: str):
-        self.tag, self.children, self.words, self.role = tag, [], frozenset(), ""
+        self.tag, self.children, self.words, self.role, self.deep = tag, [], frozenset(), "", False
         cls = ""
         if attrs and "=" in attrs:
             names: set[str] = set()
@@ -76,6 +76,9 @@ def parse(text: str) -> Node:
     pos = 0
 
     def close(upto: int) -> None:
+        for node in stack[upto:]:
+            if node.deep:
+                node.children.append(Node(node.tag, ""))
         del stack[upto:]
 
     def say(s: str) -> None:
@@ -115,11 +118,18 @@ def parse(text: str) -> Node:
                         if name != "tr":
                             break
             node = Node(name, m[3] or "")
-            stack[-1].children.append(node)
+            if len(stack) < DEEPEST:
+                stack[-1].children.append(node)
+            elif name in RAW or name in VOID:
+                stack[-1].children.append(Node(name, ""))
+            else:  # nested deeper: opened and closed like any other, but its content goes to the last level, between empty elements; menus and the like go nowhere
+                node.deep = True
+                stack[-1].children.append(Node(name, ""))
+                node.children = [] if furniture(node, True) else stack[-1].children
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(text, pos)
                 pos = end.end() if end else len(text)
-            elif name not in VOID and len(stack) < DEEPEST:  # what is nested deeper stays on that level, text and all
+            elif name not in VOID:
                 stack.append(node)
     say(text[pos:])
     return root
