@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from borelight.llm.held import held
-from borelight.llm.units import Units, Vocabulary, by_lines, gathered, plain, slices
+from borelight.llm.units import Units, Vocabulary, by_lines, plain, slices
 from borelight.operators.materialise import materialised
 
 PIECE = 8192  # merged ends of a piece
@@ -65,7 +65,7 @@ class Pair:
         split = not any("▁" in p.lstrip("▁") or "\n" in p for p in ordinary)
         probe = self.b.encode("\nx")
         self.feed = probe[:2] if split and [self.bytes_b[i] for i in probe[:2]] == [b" ", b"\n"] else None
-        self.units = Units(self.encoded, split and self.feed is not None)
+        self.units = Units(self.encoded, 2, split and self.feed is not None)
 
     def ids_a(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
@@ -73,8 +73,8 @@ class Pair:
     def ids_b(self, texts: list[str]) -> list[list[int]]:
         return self.b.encode(texts, num_threads=1)
 
-    def encoded(self, units: list[bytes]) -> list:
-        """(A ids, B ids) of every unit as bytes; None where a side does not give the unit's bytes back."""
+    def encoded(self, units: list[bytes]) -> tuple[list[list[bytes]], np.ndarray]:
+        """A ids and B ids of every unit as bytes, and whether both sides give the unit's bytes back."""
         texts = [u.decode("utf-8", "replace") for u in units]
         a, b = [None] * len(units), [None] * len(units)
         many = [i for i, u in enumerate(units) if plain(u)] if self.units.split else []
@@ -86,23 +86,15 @@ class Pair:
         later = [texts[i][:1] != " " for i in rest]
         for i, x, y, drop in zip(rest, self.ids_a([texts[i] for i in rest]), self.ids_b(["\n" + texts[i] if d else texts[i][1:] for i, d in zip(rest, later, strict=True)]), later, strict=True):
             a[i], b[i] = np.array(x, "<u4").tobytes(), np.array(y[2:] if drop else y, "<u4").tobytes()
-        good = self.known_a.spells(a, units) & self.known_b.spells(b, units)
-        return [(x, y) if g else None for x, y, g in zip(a, b, good.tolist(), strict=True)]
+        return [a, b], self.known_a.spells(a, units) & self.known_b.spells(b, units)
 
     def encode(self, texts: pa.Array) -> tuple:
         """Ids of A and bounds per text, ids of B and bounds per text, and which texts have tokens."""
         texts, none = texts.cast(pa.large_string()), pa.scalar("", pa.large_string())
         given = pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0)
         whole = pc.if_else(given, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.fill_null(texts, none), none), none)
-        units, which, bounds = self.units.cut(whole)
-        found = self.units.lookup(units)
-        bad = np.array([x is None for x in found], dtype=bool)
-        ok = given.to_numpy(zero_copy_only=False).copy()
-        if bad.any():
-            many = np.concatenate([[0], np.cumsum(bad[which])])
-            ok &= many[bounds[1:]] == many[bounds[:-1]]
-        parts = [x or (b"", b"") for x in found]
-        return *gathered([x[0] for x in parts], "<u4", which, bounds), *gathered([x[1] for x in parts], "<u4", which, bounds), ok
+        ((a, at_a), (b, at_b)), good = self.units.texts(whole)
+        return a, at_a, b, at_b, good & given.to_numpy(zero_copy_only=False)
 
 
 def pair_of(path_a: str, path_b: str) -> Pair:

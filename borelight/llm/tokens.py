@@ -8,7 +8,9 @@ be decoded in parallel, and checksums cover both the payload and the ids. Blocks
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borelight.llm.held import held
-from borelight.llm.order import piece_of
+from borelight.llm.units import Units, by_lines, plain, slices
 from borelight.operators.materialise import checkpoint_folder
 
 SCALE = 16  # bits of the frequency table
@@ -29,8 +31,6 @@ BLOCK_TOKENS = 1 << 20
 CHECK_ROWS = 128
 MAGIC = b"RNS1"
 HEAD = "<4sIQIIII"  # magic, crc of the rest, ids, lanes, checkpoints, words, crc of the ids
-CACHED_WORDS = 600_000
-CACHED_LENGTH = 48
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -121,99 +121,88 @@ def decode_block(payload: bytes, table: Table) -> np.ndarray:
     return ids
 
 
-class Words:
-    """A tokenizer with remembered words. A text whose white space is single spaces and line feeds between other characters is
-    cut before each space and around each line feed, where byte-level pre-tokens never cross, so its ids are those of the whole text."""
+class Ids:
+    """A tokenizer called as it is, control strings included, on distinct units of texts. Only byte-level word patterns are cut into units."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+        said = json.loads(self.tokenizer.to_str())
+        words = said["pre_tokenizer"] or {}
+        split = said["normalizer"] is None and words.get("type") == "ByteLevel" and words.get("use_regex") and not words.get("add_prefix_space")
+        whole = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not re.search(r"\s", t["content"]) for t in said["added_tokens"])
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        self.units = Units(self.encoded, 1, bool(split and whole))
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if len(feed) == 1 else -1  # words are encoded many at a time, with a line feed between them
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        words = text.split()
-        gaps = len(text) - sum(map(len, words))
-        if words and gaps == len(words) - 1 and text.count(" ") + text.count("\n") == gaps and "\0" not in text:
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return [text]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
-        found = [list(map(known.get, pieces)) for pieces in cut]
-        holes = [[i for i, x in enumerate(parts) if x is None] if None in parts else () for parts in found]
-        new = {pieces[i] for pieces, at in zip(cut, holes, strict=True) for i in at}
-        got = {p: self.whole(p) for p in new if "\n" in p or p[:1].isspace() and p[:1] != " " or p.strip() == "" or len(p) > CACHED_LENGTH}
-        known.update((p, got.pop(p)) for p in [p for p in got if len(p) <= CACHED_LENGTH])
-        new = [p for p in new if p not in known and p not in got]
-        parts = [new[i : i + 1000] for i in range(0, len(new), 1000)]
-        for part, e in zip(parts, self.tokenizer.encode_batch(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype=self.kind)
-            raw, w = ids.tobytes(), ids.itemsize
-            ends = [*np.flatnonzero(ids == self.feed), len(ids)]
-            if len(ends) != len(part):
-                known.update((p, self.whole(p)) for p in part)
-                continue
-            start = 0
-            for p, end in zip(part, ends, strict=True):
-                known[p] = raw[start * w : end * w]
-                start = end + 1
-        for pieces, parts, at in zip(cut, found, holes, strict=True):
-            for i in at:
-                p = pieces[i]
-                parts[i] = known[p] if p in known else got[p]
-        return [b"".join(parts) for parts in found]
-
-
-def words_of(path: str) -> Words:
-    return held(("words", path), lambda: Words(path))
-
-
-def token_rows(docs: DataFrame, order: Column, tokenizer: str, end_id: int) -> DataFrame:
-    """place (long), doc_id, crc and the ids of every text as bytes, the end id included."""
-    rows = docs.select(order.cast("long").alias("place"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+        self.feed = feed[0] if len(feed) == 1 else -1
 
-    def encode(batches):
-        words = words_of(tokenizer)
-        end = np.array([end_id], dtype=words.kind).tobytes()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                ids = [x + end for x in words.encode(part.column("text").to_pylist())]
-                crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("place"), part.column("doc_id"), crc, pa.array(ids, pa.binary())], names=["place", "doc_id", "crc", "ids"]
-                )
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def encoded(self, units: list[bytes]) -> tuple[list[list[bytes]], np.ndarray]:
+        texts = [u.decode("utf-8", "replace") for u in units]
+        out: list = [None] * len(units)
+        many = [i for i, u in enumerate(units) if plain(u)] if self.units.split else []
+        for i, x in zip(many, by_lines(self.ids, [texts[i] for i in many], self.feed), strict=True):
+            out[i] = x
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.ids([texts[i] for i in rest]), strict=True):
+            out[i] = np.array(x, "<u4").tobytes()
+        return [out], np.ones(len(units), dtype=bool)
 
-    return rows.mapInArrow(encode, "place long, doc_id long, crc long, ids binary")
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls), one after the other, and where each text's begin, with the end."""
+        (ids, bounds), = self.units.texts(texts)[0]
+        return ids.astype(self.kind), bounds
 
 
-def id_counts(rows: DataFrame, kind: str, size: int) -> np.ndarray:
-    """How often each id occurs, over all rows; at most one row per task and id is shuffled, one per id collected."""
+def ids_of(path: str) -> Ids:
+    return held(("ids", path), lambda: Ids(path))
 
-    def count(batches):
-        total = np.zeros(size, dtype=np.int64)
+
+ROWS = "place long, doc_id long, crc long, row long, ids binary, seen array<int>, times array<long>"
+
+
+def token_rows(docs: DataFrame, order: Column, tokenizer: str, end_id: int, size: int) -> DataFrame:
+    """place, doc_id, crc, a number of its own and the ids of every text as bytes, the end id included; and one more row a task, which
+    has the ids that the task has seen and how often."""
+    rows = docs.select(order.cast("long").alias("place"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    names = [c.split()[0] for c in ROWS.split(", ")]
+
+    def encode(batches):
+        from pyspark import TaskContext
+
+        tokens, total = ids_of(tokenizer), np.zeros(size, dtype=np.int64)
+        row = TaskContext.get().partitionId() << 40
+        width = np.dtype(tokens.kind).itemsize
         for batch in batches:
-            for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=size)
+            for lo, hi in slices(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                ids, bounds = tokens.encode(part.column("text"))
+                n = hi - lo
+                ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(n + 1)
+                total += np.bincount(ids, minlength=size)
+                raw = memoryview(ids.tobytes())
+                crc = pa.array([zlib.crc32(raw[x * width : y * width]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.int64())
+                column = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(raw)])
+                none = [pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("place"), part.column("doc_id"), crc, pa.array(np.arange(row, row + n)), column, *none], names=names)
+                row += n
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+        none = [pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([total[at].tolist()], pa.list_(pa.int64()))], names=names)
+
+    return rows.mapInArrow(encode, ROWS)
 
+
+def id_counts(rows: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs, from the tasks' own counts; one row for each id is collected."""
     out = np.zeros(size, dtype=np.int64)
-    for r in rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r["id"]] = r["n"]
+    each = rows.where("seen is not null").select(F.explode(F.arrays_zip("seen", "times")).alias("x"))
+    for r in each.groupBy("x.seen").agg(F.sum("x.times").alias("n")).collect():
+        out[r["seen"]] = r["n"]
     return out
 
 
@@ -222,31 +211,34 @@ def write_tokens(
 ) -> None:
     """Encode `docs` (doc_id, text) into `folder` by ascending `order` (nulls first; equal places by id, then by ids' checksum).
 
-    Texts are encoded once into the shared folder, counted there for the common table, dealt into pieces of the order and coded
-    block by block; a lost task is simply run again. Null text: empty, one end id. No rows: no blocks. Other columns are ignored.
+    Texts are encoded once into the shared folder and counted on the way for the common table, dealt into ranges of the order (rows of
+    one place may be in several) and coded block by block; a lost task is simply run again. Null text: empty, one end id. No rows: no blocks.
+    Control strings in texts become their ids, as the tokenizer has it. Other columns are ignored.
     """
     spark = docs.sparkSession
-    words = words_of(tokenizer)
-    kind, size = words.kind, max(words.tokenizer.get_vocab_size(), end_id + 1)
+    tokens = ids_of(tokenizer)
+    kind, size = tokens.kind, max(tokens.tokenizer.get_vocab_size(), end_id + 1)
     plain = f"{checkpoint_folder(spark)}/ids-{uuid.uuid4().hex}"
     place = F.col(order) if isinstance(order, str) else order
-    token_rows(docs, place, tokenizer, end_id).write.option("compression", "zstd").parquet(plain)
-    rows = spark.read.schema("place long, doc_id long, crc long, ids binary").parquet(plain)
-    freq = frequencies(id_counts(rows, kind, size))
+    token_rows(docs, place, tokenizer, end_id, size).write.option("compression", "zstd").parquet(plain)
+    rows = spark.read.schema(ROWS).parquet(plain)
+    freq = frequencies(id_counts(rows, size))
     spark.createDataFrame([(bytearray(freq.astype("<u4").tobytes()),)], "freq binary").coalesce(1).write.parquet(f"{folder}/table")
-    piece, _ = piece_of(rows, "place", max(piece_rows, -(-rows.count() // most_pieces)))
-    placed = rows.withColumn("piece", piece).repartition("piece").sortWithinPartitions("piece", F.col("place").asc_nulls_first(), "doc_id", "crc")
+    rows = rows.where("row is not null").select("place", "doc_id", "crc", "row", "ids")
+    keys = [F.col("place").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "crc", "row"]
+    placed = rows.repartitionByRange(min(most_pieces, max(1, -(-rows.count() // piece_rows))), *keys).sortWithinPartitions(*keys)
 
     def blocks(batches):
-        table = Table(freq)
+        from pyspark import TaskContext
+
+        table, width = Table(freq), np.dtype(kind).itemsize
         held: list = []
-        state = {"piece": None, "block": 0, "start": 0, "n": 0}
+        state = {"block": 0, "start": 0, "n": 0}
 
         def close():
-            ids = np.concatenate([np.frombuffer(x, kind) for _, x in held])
-            width = np.dtype(kind).itemsize
+            ids = np.frombuffer(b"".join(x for _, x in held), kind)
             row = {
-                "piece": [state["piece"]], "block": [state["block"]], "start_in_piece": [state["start"]], "n_tokens": [len(ids)],
+                "piece": [TaskContext.get().partitionId()], "block": [state["block"]], "start_in_piece": [state["start"]], "n_tokens": [len(ids)],
                 "doc_ids": [[d for d, _ in held]], "lengths": [[len(x) // width for _, x in held]], "payload": [encode_block(ids, table)],
             }
             state.update(block=state["block"] + 1, start=state["start"] + len(ids), n=0)
@@ -254,17 +246,15 @@ def write_tokens(
             return pa.RecordBatch.from_pydict(row, schema=BLOCK_SCHEMA)
 
         for batch in batches:
-            for p, d, x in zip(batch.column("piece").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                if held and (p != state["piece"] or state["n"] >= BLOCK_TOKENS):
+            for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if state["n"] >= BLOCK_TOKENS:
                     yield close()
-                if p != state["piece"]:
-                    state.update(piece=p, block=0, start=0)
-                held.append((d, x.as_py()))
-                state["n"] += len(held[-1][1]) // np.dtype(kind).itemsize
+                held.append((d, x))
+                state["n"] += len(x) // width
         if held:
             yield close()
 
-    placed.select("piece", "doc_id", "ids").mapInArrow(blocks, BLOCK_DDL).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    placed.select("doc_id", "ids").mapInArrow(blocks, BLOCK_DDL).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
 BLOCK_DDL = "piece int, block long, start_in_piece long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"

@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
-REMEMBERED = 40000  # units, some 300 bytes each
-AT_ONCE = 10_000  # units encoded at once
+SLICE_BYTES = 4 << 20
+REMEMBERED = 800_000  # units
+AT_ONCE = 20_000  # units encoded at once
 LONGEST = 64  # bytes of a unit that is remembered
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[*range(9, 14), *range(28, 33)]] = True
@@ -101,28 +101,18 @@ class Vocabulary:
 
 
 class Units:
-    """Remembers what `encode` gave for short units, the latest REMEMBERED of them and as many before; what is not used again goes."""
-
-    def __init__(self, encode: Callable[[list[bytes]], list], split: bool = True):
-        self.encode, self.split, self.known, self.older = encode, split, {}, {}
-
-    def lookup(self, units: list[bytes]) -> list:
-        got = list(map(self.known.get, units))
-        for i in [i for i, x in enumerate(got) if x is None]:
-            if (x := self.older.get(units[i])) is not None:
-                got[i] = self.known[units[i]] = x
-        holes = [i for i, x in enumerate(got) if x is None]
-        for lo in range(0, len(holes), AT_ONCE):
-            some = holes[lo : lo + AT_ONCE]
-            for i, x in zip(some, self.encode([units[i] for i in some]), strict=True):
-                got[i] = x
-                if len(units[i]) <= LONGEST:
-                    self.known[units[i]] = x
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        return got
-
-    def cut(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Encodes texts by their distinct units, on one or more sides, and remembers short units in Arrow and numpy arrays: some 40 bytes each.
+
+    `encode` gives, for a list of units, a list of (bytes of 32-bit ids of every side) and which units are good."""
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[list[list[bytes]], np.ndarray]], sides: int = 1, split: bool = True):
+        self.encode, self.split = encode, split
+        self.units = pa.array([], pa.large_binary())
+        self.good = np.zeros(0, dtype=bool)
+        self.ids = [np.zeros(0, np.uint16) for _ in range(sides)]
+        self.ends = [np.zeros(1, np.int64) for _ in range(sides)]
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct units of `texts` (no nulls); the unit at each place; and where each text's units begin, with the end."""
         texts = texts.cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -132,15 +122,56 @@ class Units:
         at = cut(data, starts) if self.split and len(data) else starts
         places = np.append(at, len(data)).astype(np.int64)
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
-        return units.dictionary.to_pylist(), units.indices.to_numpy(), np.searchsorted(at, offsets)
-
-
-def gathered(parts: list[bytes], kind: str, which: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the units `which` one after the other, and where each text's ids begin, with the end."""
-    width = np.dtype(kind).itemsize
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // width
-    flat = np.frombuffer(b"".join(parts), kind)
-    n = sizes[which]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n)
-    return flat[at], ends[bounds]
+        return units.dictionary, units.indices.to_numpy(), np.searchsorted(at, offsets)
+
+    def learn(self, units: pa.Array) -> None:
+        """Put units that are not known behind the known ones."""
+        good, parts = [self.good], [([], []) for _ in self.ids]
+        for lo in range(0, len(units), AT_ONCE):
+            sides, fine = self.encode(units.slice(lo, AT_ONCE).to_pylist())
+            good.append(fine)
+            for (ids, sizes), side in zip(parts, sides, strict=True):
+                ids.append(np.frombuffer(b"".join(side), "<u4"))
+                sizes.append(np.fromiter(map(len, side), np.int64, len(side)) // 4)
+        for k, (ids, sizes) in enumerate(parts):
+            wide = self.ids[k].dtype == np.uint32 or any(len(x) and x.max() >= 1 << 16 for x in ids)
+            self.ids[k] = np.concatenate([self.ids[k], *ids]).astype(np.uint32 if wide else np.uint16)
+            self.ends[k] = np.concatenate([self.ends[k], self.ends[k][-1] + np.cumsum(np.concatenate(sizes))])
+        self.good = np.concatenate(good)
+        self.units = pa.concat_arrays([self.units, units])
+
+    def forget(self, first: int) -> None:
+        """Drop long units from `first` on, and the older ones when there are too many."""
+        keep = np.ones(len(self.units), dtype=bool)
+        keep[first:] = pc.binary_length(self.units.slice(first)).to_numpy() <= LONGEST
+        if keep.sum() > REMEMBERED:
+            keep[: len(keep) - REMEMBERED // 2] = False
+        if keep.all():
+            return
+        for k, ends in enumerate(self.ends):
+            sizes = np.diff(ends)
+            self.ids[k] = self.ids[k][np.repeat(keep, sizes)]
+            self.ends[k] = np.concatenate([[0], np.cumsum(sizes[keep])])
+        self.good, self.units = self.good[keep], self.units.filter(pa.array(keep))
+
+    def texts(self, texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """For each side the ids of all texts (no nulls), one after the other, and where each text's begin, with the end; and whether all of a text's units are good."""
+        units, which, bounds = self.cut(texts)
+        at = pc.index_in(units, value_set=self.units)
+        new = at.is_null()
+        first = len(self.units)
+        place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = place < 0
+        place[missing] = first + np.arange(int(missing.sum()))
+        if missing.any():
+            self.learn(units.filter(new))
+        unit = place[which]
+        out = []
+        for ids, ends in zip(self.ids, self.ends, strict=True):
+            n = (ends[1:] - ends[:-1])[unit]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            out.append((ids[np.arange(upto[-1]) + np.repeat(ends[unit] - upto[:-1], n)], upto[bounds]))
+        bad = np.concatenate([[0], np.cumsum(~self.good[unit])])[bounds]
+        good = bad[1:] == bad[:-1]
+        self.forget(first)
+        return out, good

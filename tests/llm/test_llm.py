@@ -392,7 +392,7 @@ def test_token_files(spark):
 
     public = pytest.importorskip("public_tokenizers")
     path = public.path("byte_bpe_50k.json")
-    rows = [(3, "Hello there\nyou  two", "a"), (None, None, "a"), (1, "", "a"), (2, "é 漢字 don't" * 50, "b"), (2, "again", "b"), (9, "x" * 20_000, "c"), (4, " ".join(word_soup(1, 3000)), "c")]
+    rows = [(3, "Hello there\nyou  two", "a"), (None, None, "a"), (1, "", "a"), (2, "é 漢字 don't" * 50, "b"), (2, "again", "b"), (9, "x" * 20_000, "c"), (5, "a <|endoftext|> b<|endoftext|>\n", "c"), (4, " ".join(word_soup(1, 3000)), "c")]
     got = tokens.encoded(docs(spark, rows), path).orderBy("start").collect()
     t = Tokenizer.from_file(path)
     want = []
@@ -400,11 +400,42 @@ def test_token_files(spark):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
         want.append((-1 if i is None else i, len(ids), zlib.crc32(ids.tobytes())))
     assert sorted((-1 if x["doc_id"] is None else x["doc_id"], x["n_tokens"], x["ids_crc32"]) for x in got) == sorted(want)
-    assert [x["doc_id"] for x in got] == [None, 1, 2, 2, 3, 4, 9]
+    assert [x["doc_id"] for x in got] == [None, 1, 2, 2, 3, 4, 5, 9]
     assert [x["start"] for x in got] == np.cumsum([0, *(x["n_tokens"] for x in got)])[:-1].tolist()
     assert tokens.encoded(docs(spark, []), path).count() == 0
 
 
+# columns of the caller, repeated ids, deep pages
+
+CLASH = "doc_id long, text string, source string, url string, _k int, _h int, _i string, _b int, _rank int, _salt int, _best string, _row int, _whole int, _number int, _ties int, _s int, n int"
+
+
+def test_callers_columns_come_back_as_they_were(spark):
+    texts = [" ".join(word_soup(k, 40)) for k in range(6)]
+    rows = [(k, texts[k % 4], "ab"[k % 2], f"http://h{k}.net/p/", k, -k, f"i{k}", 3, 4, 5, "b", 6, 7, 8, 9, 10, 11) for k in range(8)]
+    df = spark.createDataFrame(rows, CLASH)
+    mixed = mixing.mix(df)
+    assert sorted(tuple(r)[: len(df.columns)] for r in mixed.collect()) == rows and mixed.columns[: len(df.columns)] == df.columns
+    kept = near.deduplicated(df)
+    assert sorted(map(tuple, kept.collect())) == rows[:4] and kept.columns == df.columns
+    judged = urls.judge_urls(df, urls.rule_table(spark, [("block", "net", "/")]))
+    assert sorted(tuple(r)[: len(df.columns)] for r in judged.collect()) == rows and judged.where("verdict = 'block'").count() == 8
+
+
+def test_repeated_ids_with_different_texts_lose_no_link(spark):
+    long = [f"w{k}" for k in range(11)]
+    rows = [(1, "aaa bbb ccc ddd"), (1, " ".join(long)), (2, " ".join([*long, "w11"])), (3, "quite another text here"), (3, ""), (None, "aaa bbb ccc ddd")]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 3), (None, 1)} and len(got) == 6
+
+
+def test_deep_pages_keep_what_follows(spark):
+    menu = "<nav><ul>" + "".join(f"<li><a href='/{k}'>menu {k}</a></li>" for k in range(9)) + "</ul></nav>"
+    deep = f"<html><body><article><h1>T</h1>{'<div>' * 250}{menu}<p>inner one</p><p>inner two</p>{'</div>' * 250}<p>AFTER</p></article><footer>foot</footer></body></html>"
+    pages = spark.createDataFrame([(1, "http://a.org/x", deep)], "page_id long, url string, html string")
+    assert wrappers.extract(pages).first()["text"] == "T\ninner one\ninner two\nAFTER"
+
+
 # registered queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -415,7 +446,7 @@ def test_queries(spark):
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     for n in names:
         assert entry.queries()[n](spark, FOLDER).count() > 0
 
