@@ -73,7 +73,7 @@ def stream_rig_state(
         f"`{well}` {kind}, `{at}` timestamp, `{bit}` double, `{flow}` double, `{rpm}` double, trip_speed_m_per_min double, "
         "circulating boolean, rotating boolean, tripping boolean, operations_active boolean"
     )
-    return in_order(df, [well], at, delay, {bit: "double", flow: "double", rpm: "double"}, "us long, bit double", step, schema)
+    return in_order(df, [well], at, delay, {bit: "double", flow: "double", rpm: "double"}, step, schema)
 
 
 def stream_context_depth(
@@ -90,7 +90,7 @@ def stream_context_depth(
         return (last,), [Row(**{well: key[0], at: moment(us), bit: b, "depth_m": last})]
 
     kind = df.schema[well].dataType.simpleString()
-    return in_order(df, [well], at, delay, {bit: "double"}, "last double", move, f"`{well}` {kind}, `{at}` timestamp, `{bit}` double, depth_m double")
+    return in_order(df, [well], at, delay, {bit: "double"}, move, f"`{well}` {kind}, `{at}` timestamp, `{bit}` double, depth_m double")
 
 
 def stream_rules(df: DataFrame, channels: Column, rules=RISK_RULES) -> DataFrame:
@@ -127,7 +127,7 @@ class OpenAlerts(InOrder):
     """The alert fold of one well and level: rows wait as in InOrder; open alerts lie in a map by depth cell, as (time, id, depth)."""
 
     def __init__(self, cooldown_us: int, window: float):
-        super().__init__("us long", self.decide)
+        super().__init__(self.decide)
         self.cooldown, self.window = cooldown_us, window
 
     def init(self, handle) -> None:
@@ -140,23 +140,29 @@ class OpenAlerts(InOrder):
     def alerts(self, cell: int, us: int) -> list:
         """The alerts of a cell that the cooldown before `us` has not passed; read once a release, empty cells are dropped from the state."""
         if cell not in self.read:
-            self.read[cell] = pickle.loads(self.open.getValue((cell,))[0]) if self.open.containsKey((cell,)) else []
+            stored = self.open.getValue((cell,)) if self.stored else None
+            self.read[cell] = [] if stored is None else pickle.loads(stored[0])
         self.read[cell] = [a for a in self.read[cell] if a[0] >= us - self.cooldown]
         return self.read[cell]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         self.read: dict = {}
+        self.last = None  # time of the last row decided
+        self.stored = self.open.exists()  # without stored alerts no cell has to be asked for
         yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        for cell, alerts in self.read.items():
-            if alerts:
+        for cell in list(self.read):
+            if alerts := self.alerts(cell, self.last):  # none that the cooldown has passed by now
                 self.open.updateValue((cell,), (pickle.dumps(alerts),))
-            elif self.open.containsKey((cell,)):
+            elif self.stored and self.open.containsKey((cell,)):
                 self.open.removeKey((cell,))
 
     def decide(self, key, carried, row):
         us, number, depth = row
+        self.last = us
         here = self.cell(depth)
-        reach = {k[0] for k in self.open.keys()} | set(self.read) if depth is None else (here - 1, here, here + 1, ANYWHERE)  # noqa: SIM118
+        reach = (here - 1, here, here + 1, ANYWHERE)
+        if depth is None:
+            reach = ({k[0] for k in self.open.keys()} if self.stored else set()) | set(self.read)  # noqa: SIM118
         near = [a for c in reach for a in self.alerts(c, us) if depth is None or a[2] is None or abs(a[2] - depth) <= self.window]
         owner = max(near, default=None, key=lambda a: a[:2])
         if owner is None:

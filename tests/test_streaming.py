@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from borelight.functions import scalars as S
@@ -149,3 +150,53 @@ def test_late_rows_are_counted(spark, tmp_path):
     df = T.stream_resample(T.stream_telemetry(spark, src, "well_name string, timestamp timestamp, v double", 1), ["v"], "10 seconds", "1 minute")
     q = T.run_to_table(df, str(tmp_path / "out"), str(tmp_path / "state"))
     assert T.late_rows([json.loads(p.json) for p in q.recentProgress]) == 1
+
+
+class Store:
+    """A map or value of the state store that counts the calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.held: dict = {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            Store.calls += 1
+            key = args[0] if name.endswith(("Value", "Key")) else ()
+            if name.startswith("update"):
+                self.held[key] = args[-1]
+            elif name.startswith("remove"):
+                del self.held[key]
+            return {"get": self.held.get(key), "key": list(self.held)}.get(name[:3])
+
+        return call
+
+
+def test_calls_to_the_state_grow_with_keys_not_rows():
+    """Rows of one key, a minute apart and out of order, wait in few chunks and come back in order."""
+    from borelight.streaming.ordered import InOrder
+
+    class Handle:
+        def __init__(self):
+            self.getMapState = self.getValueState = lambda *_: Store()
+            self.timers = set()
+            self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    told = InOrder(lambda key, carried, row: (((carried or (0,))[0] + 1,), [(row, (carried or (0,))[0])]))
+    handle = Handle()
+    told.init(handle)
+    times = [m * 60_000_000 for m in range(1, 5001)]
+    random.Random(3).shuffle(times)
+    Store.calls, out, row = 0, [], Row("key", "_us", "_v")
+    for part, ms in ((times[:2500], 0), (times[2500:], 2_000 * 60_000), ([], 5_000 * 60_000)):
+        if ms:
+            out += list(told.handleExpiredTimer(("a",), At(ms), None))
+        list(told.handleInputRows(("a",), iter([row("a", t, None if t % 7 else t) for t in part if t > ms * 1000]), At(ms)))
+    seen = sorted(times[:2500] + [t for t in times[2500:] if t > 2_000 * 60_000_000])
+    assert out == [((t, None if t % 7 else t), i) for i, t in enumerate(seen)]
+    assert Store.calls < 60 and told.waiting.held == {}
