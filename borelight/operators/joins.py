@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from borelight.functions import scalars as S
+from borelight.operators.materialise import materialised
 from borelight.operators.skew import HOT_ROWS, broadcast_if_small, broadcast_within
 from borelight.params import DEFAULTS, EARTH_RADIUS_KM
 
@@ -335,9 +336,10 @@ def event_mitigations(events: DataFrame, mitigations: DataFrame, key: str = "eve
     return events.join(mitigations, key, "left")
 
 
-def _band_width(band: Column, d: float) -> Column:
+def _band_width(band: Column, d: float | Column) -> Column:
+    d = F.lit(d) if isinstance(d, float) else d
     far = F.least(F.greatest(F.abs(band * d), F.abs((band + 1) * d)), F.lit(90.0))
-    raw = F.lit(d) / F.greatest(F.cos(F.radians(far)), F.lit(1e-6))
+    raw = d / F.greatest(F.cos(F.radians(far)), F.lit(1e-6))
     return F.lit(360.0) / F.greatest(F.lit(1.0), F.floor(F.lit(360.0) / raw))
 
 
@@ -353,23 +355,30 @@ def wells_within(
     """Wells within a radius of each query position, nearest first.
 
     Positions go into latitude bands cut into longitude cells at least one radius wide; a query looks
-    into the cells its circle touches, so the join is an equi join with a distance filter.
+    into the cells its circle touches, so the join is an equi join with a distance filter. With a `limit` a query looks no further
+    than it takes to hold so many wells, on a grid that fits that reach, so pairs grow with the queries also where wells lie close.
     """
     d = math.degrees(radius_km / EARTH_RADIUS_KM) * 1.000001
     w = wells.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    band = F.floor(F.col("latitude") / d)
-    w = w.withColumn("_band", band.cast("long")).withColumn(
-        "_cell", F.floor(F.pmod(F.col("longitude") + 180.0, F.lit(360.0)) / _band_width(band, d)).cast("long")
-    )
     q = queries.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
         query_id, *([exclude] if exclude else []), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon")
     )
-    q = q.withColumn("_qband", F.explode(F.array(*[(F.floor(F.col("_lat") / d) + k).cast("long") for k in (-1, 0, 1)])))
-    ratio = F.sin(F.radians(F.lit(d))) / F.greatest(F.cos(F.radians("_lat")), F.lit(1e-9))
+    if limit is None:
+        w, q = w.withColumn("_level", F.lit(0)), q.withColumn("_level", F.lit(0)).withColumn("_deg", F.lit(d))
+    else:
+        w = materialised(_first_per_position(w, well, limit))
+        q = materialised(_reach(q, w, d, limit, well))
+        w = w.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    size = F.lit(d) / F.pow(F.lit(2.0), F.col("_level"))
+    w = _cells(w, "latitude", "longitude", size)
+    q = q.withColumn("_size", size).withColumn(
+        "_qband", F.explode(F.sequence(F.floor((F.col("_lat") - F.col("_deg")) / F.col("_size")).cast("long"), F.floor((F.col("_lat") + F.col("_deg")) / F.col("_size")).cast("long")))
+    )
+    ratio = F.sin(F.radians("_deg")) / F.greatest(F.cos(F.radians("_lat")), F.lit(1e-9))
     reach = F.when(
-        (F.abs(F.col("_lat")) + d < 90.0) & (ratio < 1.0), F.degrees(F.asin(F.least(ratio, F.lit(1.0))))
+        (F.abs(F.col("_lat")) + F.col("_deg") < 90.0) & (ratio < 1.0), F.degrees(F.asin(F.least(ratio, F.lit(1.0))))
     ).otherwise(F.lit(180.0))
-    q = q.withColumn("_w", _band_width(F.col("_qband"), d)).withColumn("_reach", reach)
+    q = q.withColumn("_w", _band_width(F.col("_qband"), F.col("_size"))).withColumn("_reach", reach)
     x = F.col("_lon") + 180.0
     cells = F.sequence(
         F.floor((x - F.col("_reach")) / F.col("_w")).cast("long"),
@@ -379,9 +388,9 @@ def wells_within(
     q = q.withColumn("_n", n).withColumn("_cells", cells)
     q = q.withColumn(
         "_qcell", F.explode(F.array_distinct(F.transform("_cells", lambda c: F.pmod(c, F.col("_n")))))
-    ).drop("_cells", "_n", "_w", "_reach")
+    ).drop("_cells", "_n", "_w", "_reach", "_size", "_deg").withColumnRenamed("_level", "_qlevel")
     q = broadcast_if_small(q)
-    cond = (F.col("_band") == F.col("_qband")) & (F.col("_cell") == F.col("_qcell"))
+    cond = (F.col("_level") == F.col("_qlevel")) & (F.col("_band") == F.col("_qband")) & (F.col("_cell") == F.col("_qcell"))
     if exclude:
         cond = cond & ~F.col(well).eqNullSafe(F.col(exclude))
     dist = S.great_circle_km(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude"))
@@ -389,7 +398,7 @@ def wells_within(
         w.join(q, cond)
         .withColumn("distance_km", dist)
         .where(F.col("distance_km") <= radius_km)
-        .drop("_band", "_cell", "_qband", "_qcell", "_lat", "_lon")
+        .drop("_level", "_qlevel", "_band", "_cell", "_qband", "_qcell", "_lat", "_lon")
     )
     if limit is None:
         return out
@@ -397,6 +406,45 @@ def wells_within(
     return out.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= limit)
 
 
+LEVELS = 14  # times the cells of a search for the nearest wells are halved
+
+
+def _cells(df: DataFrame, lat: str, lon: str, size: Column) -> DataFrame:
+    """Latitude band and longitude cell of a position for cells of `size` degrees."""
+    band = F.floor(F.col(lat) / size)
+    return df.withColumn("_band", band.cast("long")).withColumn(
+        "_cell", F.floor(F.pmod(F.col(lon) + 180.0, F.lit(360.0)) / _band_width(band, size)).cast("long")
+    )
+
+
+def _first_per_position(wells: DataFrame, well: str, limit: int) -> DataFrame:
+    """The wells that can be among the `limit` nearest of any query, as far as wells at the very same position tell: these are equally
+    far, so the first ids go ahead. One more id is kept, for the query's own well is left out."""
+    at = ["latitude", "longitude"]
+    ids = Window.partitionBy(*at).orderBy(well)
+    same = Window.partitionBy(*at, well).orderBy(well)
+    first = wells.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= limit)
+    return first.withColumn("_id", F.dense_rank().over(ids)).where(F.col("_id") <= limit + 1).drop("_copy", "_id")
+
+
+def _reach(queries: DataFrame, wells: DataFrame, d: float, limit: int, well: str) -> DataFrame:
+    """Queries with the grid level to search (`_level`) and how far (`_deg`): the finest cell around the query with more than `limit` wells holds
+    the nearest ones' distance below its own extent. Queries without such a cell search the whole radius."""
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    size = F.lit(d) / F.pow(F.lit(2.0), F.col("_level"))
+    key = ["_level", "_band", "_cell"]
+    full = _cells(wells.select(well, "latitude", "longitude", level.alias("_level")), "latitude", "longitude", size)
+    full = full.groupBy(*key, well).agg(F.lit(1).alias("_one")).groupBy(*key).agg(F.count(well).alias("_wells")).where(F.col("_wells") > limit).select(*key)
+    at = queries.select("_lat", "_lon").distinct()
+    found = _cells(at.withColumn("_level", level), "_lat", "_lon", size).join(full, key)
+    inner = F.least(F.abs(F.col("_band") * size), F.abs((F.col("_band") + 1) * size))
+    extent = size + _band_width(F.col("_band"), size) * F.cos(F.radians(inner))
+    found = found.groupBy("_lat", "_lon").agg(F.max(F.struct("_level", F.least(extent * 1.000001 + 1e-6, F.lit(d)).alias("_deg"))).alias("_f"))
+    found = found.select(F.col("_lat").alias("_lat_f"), F.col("_lon").alias("_lon_f"), "_f")
+    out = queries.join(found, (F.col("_lat") == F.col("_lat_f")) & (F.col("_lon") == F.col("_lon_f")), "left").drop("_lat_f", "_lon_f")
+    return out.select(*queries.columns, F.coalesce("_f._level", F.lit(0)).alias("_level"), F.coalesce("_f._deg", F.lit(d)).alias("_deg"))
+
+
 def passages(chunks: DataFrame, documents: DataFrame, wells: DataFrame, well_id=None) -> DataFrame:
     """Chunks that have a vector, with their document and (if known) well."""
     d = broadcast_if_small(documents)

@@ -84,6 +84,37 @@ def test_radius_near_poles_and_date_line(spark, radius):
     assert got == {(i, j) for i, j in zip(*np.where(km <= radius)) if i != j}
 
 
+@pytest.mark.parametrize("radius", [0.5, 30.0, 700.0])
+def test_nearest_within_a_radius_where_wells_lie_close(spark, radius):
+    """The first five by distance and id: crowded spots, repeated positions and ids, poles, date line."""
+    rng = np.random.default_rng(15)
+    lat = np.concatenate([rng.uniform(-90, 90, 60), rng.uniform(88.5, 90, 30), 50 + rng.normal(0, 0.003, 150), np.repeat(50.0, 60), rng.choice([50.2, 50.3], 50)])
+    lon = np.concatenate([rng.uniform(-180, 180, 90), rng.choice([-1, 1], 150) * 179.999, np.repeat(-179.999, 60), rng.choice([10.0, 10.01], 50)])
+    ids = [int(i) for i in range(350)]
+    ids[300:306], ids[345] = [7] * 6, None
+    w = spark.createDataFrame(list(zip(ids, lat.tolist(), lon.tolist())), "well_id int, latitude double, longitude double")
+    rows = [(n, ids[n], float(lat[n]), float(lon[n])) for n in range(350)]
+    q = spark.createDataFrame(rows, "query_id int, query_well_id int, latitude double, longitude double")
+    p, l = np.radians(lat), np.radians(lon)
+    km = 6371.0088 * np.arccos(np.clip(np.cos(p)[:, None] * np.cos(p) * np.cos(l[:, None] - l) + np.sin(p)[:, None] * np.sin(p), -1, 1))
+    got = {}
+    for r in J.wells_within(q, w, radius, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["distance_km"]))
+    for n in range(350):
+        want = sorted(km[n, j] for j in range(350) if ids[j] != ids[n] and km[n, j] <= radius)[:5]
+        have = sorted(got.get(n, []))
+        assert [k for k, _ in have] == list(range(1, len(want) + 1)) and np.allclose([x for _, x in have], want, atol=1e-3)
+
+
+def test_the_reach_of_a_search_shrinks_where_wells_lie_close(spark):
+    w = spark.range(4000).select("id", (F.lit(56.0) + F.pmod("id", F.lit(60)) / 5000).alias("latitude"), (F.lit(2.0) + F.floor(F.col("id") / 60) % 30 / 5000).alias("longitude"))
+    kept = J._first_per_position(w, "id", 1)
+    assert kept.count() == 3600
+    q = w.select("id", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+    far = J._reach(q, kept, 0.45, 1, "id")
+    assert far.count() == 4000 and far.agg(F.max("_deg")).first()[0] < 0.01
+
+
 def test_evidence_needs_a_category(spark):
     m = spark.createDataFrame([(1, 1000.0, 7, "W7", 0.8), (1, 1000.0, 8, "W8", 0.4), (2, None, 7, "W7", 0.9)], "query_id int, depth_m double, well_id int, well_name string, score double")
     e = spark.createDataFrame([(1, 7, "kick", 1150.0), (2, 7, None, 1000.0), (3, 7, "loss", 850.0), (4, 7, "loss", 1150.1), (5, 8, "kick", 1000.0), (6, 7, "kick", None)], "event_id int, well_id int, category string, depth_start_m double")
