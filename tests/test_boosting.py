@@ -67,6 +67,22 @@ def test_margins_written_on_the_way_change_nothing(spark, monkeypatch):
             assert (s.feature == t.feature).all() and np.allclose(s.value, t.value, atol=1e-5)
 
 
+def test_no_pass_repeats_the_trees_of_earlier_rounds(spark, monkeypatch):
+    """Margins are up to date in every pass, and rows come to the leaves that their bins say."""
+    seen, passed = [], B.passed
+    monkeypatch.setattr(B, "passed", lambda blocks, job, *rest: (seen.append(len(job.recent)), passed(blocks, job, *rest))[1])
+    m = L.train_lithology(table(spark, 400), ["a", "b", "c"], "boosted", rounds=4, boosted_depth=3).model
+    assert len(seen) >= 12 and set(seen) == {0}
+    bins = np.random.default_rng(1).integers(0, 65, (500, 3)).astype(np.uint8)
+    for t in m.rounds[-1]:
+        for row, leaf in zip(bins, t.leaf_of(bins), strict=True):
+            at = 0
+            while t.feature[at] >= 0:
+                b = row[t.feature[at]]
+                at = 2 * at + 1 + int(not t.unknown_left[at] if b == 0 else b > t.cut[at])
+            assert at == leaf
+
+
 def test_folds_grow_together_as_they_would_alone(spark):
     df = table(spark, 600)
     roles = L.fold_roles(L.group_folds(df, 3), 3, 0.2)
