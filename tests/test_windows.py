@@ -188,3 +188,14 @@ def test_prepare_logs(spark, depth_pdf):
     assert got.curves == ["c"] and got.rejected == ["bad"]
     assert got.features.count() == len(depth_pdf)
     assert {"c_roll5m_mean", "c_roll5m_std", "c_grad", "split"} <= set(got.features.columns)
+
+
+def test_rows_of_a_window_task_are_bounded(spark, monkeypatch):
+    """A larger table gets more tasks, not larger ones; a small table is left as it is."""
+    from borelight.operators import skew
+
+    df = spark.range(4000).select((F.col("id") % 97).alias("well"), F.col("id").cast("double").alias("depth"), F.lit("g").alias("group_name"), (F.col("id") % 5).cast("string").alias("formation_name"))
+    plain = W.formation_runs(df)
+    monkeypatch.setattr(skew, "TASK_ROWS", 200)
+    assert skew.framed(df, ["well"], "depth", 1).df.rdd.getNumPartitions() == 20
+    assert sorted(map(repr, W.formation_runs(df).collect())) == sorted(map(repr, plain.collect()))
