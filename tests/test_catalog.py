@@ -60,7 +60,7 @@ def test_search_passages_reads_document_texts(spark, monkeypatch):
     from borelight.plans import similarity
 
     def seen(queries, chunks, documents, wells):
-        return chunks.selectExpr("document_id AS query_id", "chunk_id", "0 AS similarity", "1 AS rank", "text AS title", "'' AS well_name")
+        return chunks.selectExpr("document_id AS query_id", "chunk_id", "0 AS similarity", "1 AS rank", "text AS passage", "text AS title", "'' AS well_name")
 
     monkeypatch.setattr(similarity, "search_passages", seen)
     got = {r["chunk_id"]: r["title"] for r in entry.queries()["search_passages"](spark, FOLDER).collect()}
