@@ -141,3 +141,25 @@ def test_a_place_with_most_queries_spreads(spark, tolerance):
     dealt = J.nearest_join(queries, refs, ["k"], "d", "d", ["v"], 20.0, tolerance, max_rows=9)
     assert sorted(map(repr, dealt.collect())) == sorted(map(repr, plain.collect())) and dealt.count() == 300
     assert dealt.where("v is not null").count() > 150
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_pairs_of_points_and_intervals_lie_together(spark, how):
+    """Many points are dealt and joined by bucket, a crowded bucket to copies of its intervals; null keys and repeated rows stay as they are."""
+    rows = [(i, None if i % 29 == 0 else i % 3, 55.0 if i % 2 == 0 else float(i * 37 % 400) / 2 if i % 11 else None) for i in range(600)]
+    rows += rows[:40]
+    other = [(j, j % 4 if j % 7 else None, float(j * 13 % 180), float(j * 13 % 180 + j % 50 - 2)) for j in range(150)]
+    points, intervals = spark.createDataFrame(rows, "i int, k int, d double"), spark.createDataFrame(other, "j int, k int, lo double, hi double")
+    got = J.range_join(points, intervals, ["k"], "d", "lo", "hi", 20.0, how, max_rows=60).withColumn("task", F.spark_partition_id()).collect()
+    inside = [[j for j, q, lo, hi in other if k is not None and q == k and d is not None and lo <= d <= hi] for _, k, d in rows]
+    want = [(i, j) for (i, _, _), js in zip(rows, inside) for j in js or ([None] if how == "left" else [])]
+    assert sorted(((r["i"], r["j"]) for r in got), key=repr) == sorted(want, key=repr) and len(got) > 2000
+    runs, last = [], None
+    for r in got:
+        if r["j"] is not None:
+            now = (r["task"], r["k"], r["d"] // 20)
+            runs += [now] if now != last else []
+            last = now
+    assert len(runs) == len(set(runs)) and len({t for t, _, _ in runs}) > 4
+    of = [r[1:] for r in runs]
+    assert {b for b in of if of.count(b) > 1} and {b[1] for b in of if of.count(b) > 1} == {2}
