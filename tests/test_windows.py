@@ -199,3 +199,46 @@ def test_rows_of_a_window_task_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(skew, "TASK_ROWS", 200)
     assert skew.framed(df, ["well"], "depth", 1).df.rdd.getNumPartitions() == 20
     assert sorted(map(repr, W.formation_runs(df).collect())) == sorted(map(repr, plain.collect()))
+
+
+@pytest.mark.parametrize("max_rows", [5_000_000, 90])
+def test_sliding_frames_equal_sparks(spark, max_rows):
+    """Frames longer than a batch and than a well, unknown values, NaN, null wells and depths, repeated rows, whole numbers and decimals: as Spark's own frames, bit for bit."""
+    from pyspark.sql import Window
+
+    rows = [(None if i % 41 == 0 else f"w{i % 5 % 3}", None if i % 37 == 0 else float(i * 7919 % 2003), i, None if i % 6 == 0 else float("nan") if i % 97 == 0 else (i * 31 % 101) / 7, i % 9) for i in range(700)]
+    df = spark.createDataFrame(rows + rows[:30], "well string, depth double, id int, x double, k int").withColumn("e", F.col("k").cast("decimal(9,2)"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = W.rolling_depth_stats(df, ["x", "k", "e"], 1.0, (4.0, 300.0), ties=["id"], gradient=True, max_rows=max_rows)
+        base, cols = Window.partitionBy("well").orderBy("depth", "id"), []
+        for w, lo, hi in (("4", -2, 1), ("300", -150, 149)):
+            for c in ("x", "k", "e"):
+                over = base.rowsBetween(lo, hi)
+                enough = F.count(c).over(over) >= 2
+                cols += [F.when(enough, F.avg(c).over(over)).alias(f"{c}_roll{w}m_mean"), F.when(enough, F.stddev_samp(c).over(over)).alias(f"{c}_roll{w}m_std")]
+        want = df.select("*", *cols)
+        assert got.columns == [*want.columns, "x_grad", "k_grad", "e_grad"]
+        assert [t for _, t in got.dtypes[: len(want.columns)]] == [t for _, t in want.dtypes]
+        assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+        assert "MapInArrow" in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sliding_frames_do_not_depend_on_batches(monkeypatch):
+    import pyarrow as pa
+
+    from borelight.operators import sliding
+
+    rng = np.random.default_rng(21)
+    rn = np.concatenate([np.arange(1, n + 1) for n in (1, 70, 3, 200, 2)])
+    t = pa.table({"x": pa.array(rng.normal(size=len(rn)), mask=rng.random(len(rn)) < 0.2), "_rn": rn})
+    frames = {"a": ("x", -3, 4), "b": ("x", -60, 0), "c": ("x", 2, 5)}
+    whole = pa.Table.from_batches(sliding.rolled_batches(t.to_batches(), frames))
+    monkeypatch.setattr(sliding, "LEAST", 1)
+    parts = list(sliding.rolled_batches(t.to_batches(max_chunksize=7), frames))
+    assert len(parts) > 3 and pa.Table.from_batches(parts).equals(whole) and whole.num_rows == len(rn)
+    s = pd.Series(t["x"].to_numpy()[71 + 3 :][:200])
+    want = s.rolling(61, min_periods=2).mean()
+    np.testing.assert_allclose(whole["b_mean"].to_numpy()[74:274], want, rtol=1e-12)
