@@ -457,3 +457,27 @@ def test_pipeline_keeps_the_mixed_order(spark):
 
     out = corpus_pipeline.run(spark, FOLDER)
     assert 0 < out.count() < 200 and out.select("doc_id").distinct().count() == out.count()
+
+
+def test_simple_words_go_to_the_model(monkeypatch):
+    """The ids of a whole call, whatever the text; plain words need no call of the whole tokenizer."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    from borelight.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    signs = [*"aZé\u00c0ßŁ\u024fǃ0\u0037.,!?<|>_-#`~[]\\{}^$&*() ", "'", "\u00aa", "²", "×", "÷", "\u0250", "ж", "日", "\u00ad", "\u00a0", "\x7f", "\x01", "\t", "\n", " ", " ", "the", "'s", "<|endoftext|>"]
+    rng = np.random.default_rng(23)
+    texts = ["", "don't l'été x² 3.14", "a<|endoftext|>b <|endoftext|>, <|endoftext", *["".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(4000)]]
+    t = tokens.Ids(path)
+    ids, bounds = t.encode(pa.array(texts))
+    want = [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+    assert all(t.word(bytes([b]).decode("latin-1")) == np.array(t.tokenizer.encode(chr(b), add_special_tokens=False).ids, "<u4").tobytes() for b in range(33, 256) if tokens.SIMPLE.fullmatch(chr(b)))
+
+    def called(texts):
+        assert not texts
+
+    monkeypatch.setattr(t, "ids", lambda texts: called(texts) or [])
+    assert t.encode(pa.array(["unheard-of wörds, 1234 of them!"]))[1].tolist()[0] == 0
