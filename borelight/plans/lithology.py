@@ -24,6 +24,7 @@ from borelight.plans.boosting import FIT, UNUSED, WATCH, fit_boosted
 
 SPLITS = ("train", "validation", "test")
 FOREST_MEMORY_MB = 1024  # of a task for the counts of open nodes: fewer passes over the rows
+FOREST_ROWS = 500_000  # a task of a forest's passes, at most about
 SIDE_BY_SIDE = 3  # forests that are fitted at once
 
 
@@ -226,8 +227,9 @@ def train_lithology(
         raise ValueError(f"unknown model kind {kind!r}")
     ready, inputs, fitted = impute_with_indicators(rows, features, max_rows=max_rows)
     ready = balanced_weights(ready, target).withColumn("_label", _label(codes, target).cast("double"))
-    # every level of the trees reads the rows again: they are imputed and weighted once
+    # every level of the trees goes through the rows again: they are imputed and weighted once, and dealt evenly, however few tasks have read them
     ready = materialised(ready.select(*inputs, "weight", "_label"))
+    ready = ready.repartition(max(train.sparkSession.sparkContext.defaultParallelism, -(-ready.count() // FOREST_ROWS)))
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="_label", weightCol="weight", numTrees=trees, maxDepth=depth,
         minInstancesPerNode=min_leaf, seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=FOREST_MEMORY_MB, cacheNodeIds=False,

@@ -194,6 +194,27 @@ class Called(Exception):
     pass
 
 
+def test_forest_rows_are_dealt_however_few_tasks_read_them(spark, monkeypatch):
+    class Fitted:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, rows):
+            raise Called(rows)
+
+    monkeypatch.setattr(L, "Pipeline", Fitted)
+    monkeypatch.setattr(L, "FOREST_ROWS", 100)
+    df = spark.range(0, 1000, 1, 1).selectExpr("'W' || id % 7 AS well", "CAST(id AS double) AS x", "IF(id % 3 = 0, 30000, 65000) AS lithology")
+    with pytest.raises(Called) as got:
+        L.train_lithology(df, ["x"])
+    tasks = [len(t) for t in got.value.args[0].rdd.glom().collect()]
+    assert len(tasks) == 10 and sum(tasks) == 1000 and max(tasks) <= 110
+    monkeypatch.setattr(L, "FOREST_ROWS", 100_000)
+    with pytest.raises(Called) as got:
+        L.train_lithology(df, ["x"])
+    assert got.value.args[0].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize(
     "name, operator, kinds",
     [
