@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -26,6 +25,7 @@ from borelight.params import (
 from borelight.sources.writers import write_table
 
 METHOD = "nlp_document_extraction"
+PAGE_TASKS = 4  # a core, over pages of few row groups
 
 
 @dataclass(frozen=True)
@@ -54,20 +54,25 @@ class Knowledge:
 
 
 def _readable(pages: DataFrame) -> DataFrame:
-    pages = spread(pages, "document_id", "page_number")
+    pages = spread(pages, "document_id", "page_number", per_core=PAGE_TASKS)
     return pages.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
 
 
 def sentence_rows(pages: DataFrame) -> DataFrame:
     """One row per sentence with the lower-cased text of it and the next one."""
+    return _lowered_sentences(pages).drop("_low")
+
+
+def _lowered_sentences(pages: DataFrame) -> DataFrame:
+    """`sentence_rows` with each sentence in lower case (`_low`), which the rows are made with: a filter on it does not lower it anew for every term."""
     keep = [c for c in pages.columns if c != "text"]
     arrays = pages.select(*keep, X.split_sentences("text").alias("_s"))
     pairs = F.transform(
-        "_s", lambda s, i: F.struct(s.alias("sentence"), F.concat_ws(" ", F.slice("_s", i + 1, F.lit(2))).alias("window"))
+        "_s", lambda s, i: F.struct(s.alias("sentence"), F.lower(s).alias("low"), F.concat_ws(" ", F.slice("_s", i + 1, F.lit(2))).alias("window"))
     )
     rows = arrays.select(*keep, F.posexplode(pairs).alias("sentence_no", "_p"))
     return rows.select(
-        *keep, "sentence_no", F.col("_p.sentence").alias("sentence"), F.lower("_p.window").alias("window")
+        *keep, "sentence_no", F.col("_p.sentence").alias("sentence"), F.lower("_p.window").alias("window"), F.col("_p.low").alias("_low")
     )
 
 
@@ -90,9 +95,7 @@ def mentions(pages: DataFrame, lexicon: Lexicon = LEXICON, every_occurrence: boo
     A mention counts when at least one occurrence of its term is neither denied nor part of a routine
     phrase; with `every_occurrence` off only the first occurrence is looked at.
     """
-    any_term = "|".join(re.escape(t) for t in sorted(lexicon.problems, key=len, reverse=True))
-    rows = sentence_rows(_readable(pages)).withColumn("_low", F.lower("sentence"))
-    rows = rows.where(F.col("_low").rlike(any_term))
+    rows = _lowered_sentences(_readable(pages))
     rows = rows.withColumn("_term", X.problem_term("_low", lexicon.problems)).where(F.col("_term").isNotNull())
     rows = rows.withColumn("_at", _occurrences(F.col("_low"), F.col("_term.term")))
     if not every_occurrence:
@@ -215,7 +218,7 @@ def ingest_documents(
     stored = chunks.groupBy("document_id").agg(
         F.max("page_number").alias("_deepest"), F.max("chunk_index").alias("max_index")
     )
-    fresh = pages.join(
+    fresh = spread(pages, "document_id", "page_number", per_core=PAGE_TASKS).join(
         broadcast_if_small(stored.select("document_id", "_deepest")), "document_id", "left"
     ).where(F.col("page_number") > F.coalesce("_deepest", F.lit(0))).drop("_deepest")
     new_chunks = chunk_numbering(

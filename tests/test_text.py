@@ -165,6 +165,29 @@ def test_ingest(spark):
     assert again.chunks.where("page_number <= 2").count() == 0 and again.events.count() == 0 and again.intervals.count() == 0
 
 
+def test_ingest_deals_pages_of_one_row_group(spark, tmp_path, monkeypatch):
+    """The join with what is stored comes after the pages are dealt; the heavy work after it has tasks for all cores, and finds the same."""
+    docs, p, _, ev, iv = tables(spark)
+    path = str(tmp_path / "pages")
+    many = p.where("page_number = 2").crossJoin(spark.range(1, 401)).selectExpr("id AS document_id", "page_number", "text", "method", "confidence")
+    many.coalesce(1).write.parquet(path)
+    stored = spark.createDataFrame([(1, 2, 0, "old")], "document_id long, page_number int, chunk_index int, text string")
+    titles = spark.range(1, 401).selectExpr("id AS document_id", "'t' AS title", "1L AS well_id")
+    seen, real = [], K.extract_knowledge
+    monkeypatch.setattr(K, "extract_knowledge", lambda pages, *a: seen.append(pages) or real(pages, *a))
+    got = K.ingest_documents(spark.read.parquet(path), titles, stored, ev, iv)
+    tasks = [n for n in seen[0].rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(tasks) >= spark.sparkContext.defaultParallelism and max(tasks) <= 100 and sum(tasks) == 399
+    assert got.events.count() == 399 and got.chunks.count() == 399
+
+
+def test_mentions_of_terms_with_marks(spark):
+    terms = {"h2s (gas)": "gas", "a.c": "letters", "Über": "never lower", "kick": "well_control"}
+    p = spark.createDataFrame([(1, 1, "Saw H2S (GAS) here. abc only. A.C fault. Über all. No such.", 0.9)], "document_id long, page_number int, text string, confidence double")
+    got = K.mentions(p, K.Lexicon(problems=terms)).select("sentence_no", "category", "reason").orderBy("sentence_no").collect()
+    assert [tuple(r) for r in got][0] == (0, "gas", None) and {r["category"] for r in got} == {"gas", "letters"}
+
+
 def test_batches_may_be_run_again(spark, tmp_path):
     """A batch that is repeated changes nothing, a later one goes on behind it, and a stream may call it batch by batch."""
     docs, p, _, _, _ = tables(spark)
