@@ -217,6 +217,7 @@ def token_rows(docs: DataFrame, order: Column, tokenizer: str, end_id: int, size
                 none = [pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column("place"), part.column("doc_id"), crc, pa.array(np.arange(row, row + n)), column, *none], names=names)
                 row += n
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks and keeps what it is not asked for
         at = np.flatnonzero(total)
         none = [pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary())]
         yield pa.RecordBatch.from_arrays([*none, pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([total[at].tolist()], pa.list_(pa.int64()))], names=names)

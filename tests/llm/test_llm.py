@@ -481,3 +481,24 @@ def test_simple_words_go_to_the_model(monkeypatch):
 
     monkeypatch.setattr(t, "ids", lambda texts: called(texts) or [])
     assert t.encode(pa.array(["unheard-of wörds, 1234 of them!"]))[1].tolist()[0] == 0
+
+
+def test_pipeline_stages_hand_small_batches_to_python(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    try:
+        for given, most in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("300", 300)):
+            spark.conf.set(corpus_pipeline.BATCH, given)
+            stage = corpus_pipeline.in_batches(lambda s, docs, folder: docs.mapInArrow(sizes, "n long"))
+            got = [r["n"] for r in stage(spark, spark.range(0, 9000, 1, 1), "").collect()]
+            assert sum(got) == 9000 and max(got) <= most
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
