@@ -125,7 +125,11 @@ def mix(
         raise ValueError("a source has no weight")
     one = scheduled(spark, shares, {s: -(-n // block_rows) for s, n in sizes.items()})
     about = [(s, number[s], -(-n // BUCKET_ROWS)) for s, n in sizes.items()]
-    about = spark.createDataFrame(about, f"_s {kind}, _i long, _buckets long")  # a row a source
+    if kind == "string":  # Spark takes Arrow data as they are and starts no Python workers for them
+        columns = zip(("_s", "_i", "_buckets"), zip(*about, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)
+        about = spark.createDataFrame(pa.table({c: pa.array(x, t) for c, x, t in columns}))  # a row a source
+    else:
+        about = spark.createDataFrame(about, f"_s {kind}, _i long, _buckets long")
     if len(sizes) <= SENT_SOURCES:
         about = F.broadcast(about)
     # the caller's row goes along as one struct, so no name of its columns can clash

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borelight.llm.held import held
-from borelight.llm.units import Units, by_lines, plain, slices
+from borelight.llm.units import Units, by_lines, gathered, plain, slices
 from borelight.operators.materialise import checkpoint_folder
 
 SCALE = 16  # bits of the frequency table
@@ -142,17 +142,17 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        said = json.loads(self.tokenizer.to_str())
-        words = said["pre_tokenizer"] or {}
-        split = said["normalizer"] is None and words.get("type") == "ByteLevel" and words.get("use_regex") and not words.get("add_prefix_space")
-        whole = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not re.search(r"\s", t["content"]) for t in said["added_tokens"])
+        model, before, added = self.tokenizer.model, self.tokenizer.pre_tokenizer, self.tokenizer.get_added_tokens_decoder().values()
+        words = json.loads(before.__getstate__()) if before is not None else {}
+        split = self.tokenizer.normalizer is None and words.get("type") == "ByteLevel" and words.get("use_regex") and not words.get("add_prefix_space")
+        whole = all(not t.lstrip and not t.rstrip and not t.single_word and not re.search(r"\s", t.content) for t in added)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.units = Units(self.encoded, 1, bool(split and whole))
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else -1
-        model, control = self.tokenizer.model, "|".join(re.escape(t["content"]) for t in said["added_tokens"])
+        control = "|".join(re.escape(t.content) for t in added)
         self.control = re.compile(control or r"(?!)")
-        self.direct = self.units.split and said["model"].get("type") == "BPE"
+        self.direct = self.units.split and type(model).__name__ == "BPE"
 
         @lru_cache(1 << 16)
         def word(piece: str) -> bytes:
@@ -204,7 +204,7 @@ def token_rows(docs: DataFrame, order: Column, tokenizer: str, end_id: int, size
         tokens, total = ids_of(tokenizer), np.zeros(size, dtype=np.int64)
         row = TaskContext.get().partitionId() << 40
         width = np.dtype(tokens.kind).itemsize
-        for batch in batches:
+        for batch in gathered(batches):
             for lo, hi in slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
                 ids, bounds = tokens.encode(part.column("text"))
@@ -251,7 +251,7 @@ def write_tokens(
     token_rows(docs, place, tokenizer, end_id, size).write.option("compression", "zstd").parquet(plain)
     rows = spark.read.schema(ROWS).parquet(plain)
     freq = frequencies(id_counts(rows, size))
-    spark.createDataFrame([(bytearray(freq.astype("<u4").tobytes()),)], "freq binary").coalesce(1).write.parquet(f"{folder}/table")
+    spark.createDataFrame(pa.table({"freq": pa.array([freq.astype("<u4").tobytes()], pa.binary())})).coalesce(1).write.parquet(f"{folder}/table")
     rows = rows.where("row is not null").select("place", "doc_id", "crc", "row", "ids")
     keys = [F.col("place").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "crc", "row"]
     placed = rows.repartitionByRange(min(most_pieces, max(1, -(-rows.count() // piece_rows))), *keys).sortWithinPartitions(*keys)
@@ -301,7 +301,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
     for p, n in sorted((r["piece"], r["n"]) for r in sums.collect()):  # a row a piece, at most about 100,000
         base.append((p, total))
         total += n
-    bases = spark.createDataFrame(base, "piece int, base long")
+    bases = spark.createDataFrame(pa.table({"piece": pa.array([p for p, _ in base], pa.int32()), "base": pa.array([n for _, n in base], pa.int64())}))
 
     def decode(batches):
         table = Table(freq)

@@ -34,6 +34,19 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` in batches of about SLICE_BYTES at least, however small they come: what is done once a slice is not done more often."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.nbytes
+        if size >= SLICE_BYTES:
+            yield pa.concat_batches(some) if len(some) > 1 else batch
+            some, size = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
+
 def cut(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Places in `data`, texts one after the other from `starts` (none empty), at which units begin."""
     space = SPACE[data]

@@ -502,3 +502,42 @@ def test_pipeline_stages_hand_small_batches_to_python(spark):
     finally:
         spark.conf.set(corpus_pipeline.BATCH, before)
     assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+
+
+def test_pipeline_stages_hand_few_bytes_to_python(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "size"])
+
+    before = {c: spark.conf.get(c) for c in (corpus_pipeline.BATCH, "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        stage = corpus_pipeline.in_batches(lambda s, docs, folder: docs.mapInArrow(sizes, "n long, size long"))
+        got = stage(spark, spark.range(0, 2000, 1, 1).selectExpr("id", "repeat('long text ', 500) AS text"), "").collect()
+        assert sum(r["n"] for r in got) == 2000 and max(r["size"] for r in got) <= 2 << 20  # 10 MB in all
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_small_batches_are_gathered():
+    import pyarrow as pa
+
+    from borelight.llm import units
+
+    schema = pa.schema([("place", pa.int64()), ("text", pa.string())])
+    batches = [pa.RecordBatch.from_pydict({"place": [k], "text": [x * (1 << 20) if x else x]}, schema=schema) for k, x in enumerate(["a", None, "b", "", "c", "d", "e", "f"])]
+    got = list(units.gathered(iter(batches)))
+    assert len(got) == 2 and got[0].nbytes >= units.SLICE_BYTES and pa.Table.from_batches(got).to_pydict() == pa.Table.from_batches(batches).to_pydict()
+    assert list(units.gathered(iter([]))) == []
+
+
+def test_side_tables_start_no_python_workers(spark, tmp_path):
+    docs = spark.range(8).selectExpr("id AS doc_id", "concat('text ', id) AS text", "if(id % 2 = 0, 'a', 'b') AS source")
+    mixed = mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    tokens.write_tokens(docs, str(tmp_path), pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    read = tokens.read_tokens(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in mixed + read and "LocalRelation" in mixed and "LocalRelation" in read  # none is an RDD of pickled rows
