@@ -281,7 +281,7 @@ def cross_validate(
     """Scores per (model, fold); every model sees the same folds of whole wells.
 
     Folds are dealt once and written with the rows. Boosted models of all folds grow together over one set of binned rows, in which a row has a role in each
-    fold; forests are fitted side by side. `fit_seconds` is a fold's share of the time of its kind.
+    fold; forests are fitted and models judged side by side. `fit_seconds` is a fold's share of the time of its kind.
     """
     folds = materialised(group_folds(df, k, well, use_splits))
     size = folds.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.struct(well)).alias("wells"), F.max("fold").alias("last")).first()
@@ -302,8 +302,12 @@ def cross_validate(
             with ThreadPool(SIDE_BY_SIDE) as pool:
                 models = pool.map(lambda m: train_lithology(rows.where(F.col("fold") != m).drop("fold", "_roles"), features, kind, target, **model_options), range(n))
         seconds = (time.perf_counter() - start) / n
-        for fold, m in enumerate(models):
-            scores = evaluate(m, rows.where(F.col("fold") == fold), target)
+
+        def judged(fold):
+            scores = evaluate(models[fold], rows.where(F.col("fold") == fold), target)
             names = (F.lit(kind).alias("model"), F.lit(fold).alias("fold"), "macro_f1", "accuracy", "balanced_accuracy", F.lit(seconds).alias("fit_seconds"))
-            parts.append(materialised(scores.select(*names)))
+            return materialised(scores.select(*names))
+
+        with ThreadPool(SIDE_BY_SIDE) as pool:
+            parts += pool.map(judged, range(n))
     return reduce(DataFrame.unionByName, parts)
