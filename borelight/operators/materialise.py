@@ -20,8 +20,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder and read back: computed once, short lineage, known size."""
+def materialised(df: DataFrame, **options: str) -> DataFrame:
+    """`df` written to the checkpoint folder (with the writer's `options`) and read back: computed once, short lineage, known size."""
     path = f"{checkpoint_folder(df.sparkSession)}/borelight-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def _block(block: int, bins: np.ndarray, label: np.ndarray, roles: np.ndarray, m
 
 
 def packed_blocks(rows: DataFrame, features: list[str], edges: list[np.ndarray]) -> DataFrame:
-    """`rows` (features, _label, _roles) as blocks of binned rows, written once."""
+    """`rows` (features, _label, _roles) as blocks of binned rows, written once; uncompressed, so that the size of a file's piece says what a task holds."""
     def pack(batches):
         from pyspark import TaskContext
 
@@ -140,7 +141,7 @@ def packed_blocks(rows: DataFrame, features: list[str], edges: list[np.ndarray])
             block += 1
 
     known = rows.select(values(rows, features).alias("x"), F.col("_label").cast("int"), F.col("_roles").cast("array<int>"))
-    return materialised(known.mapInArrow(pack, BLOCKS))
+    return materialised(known.mapInArrow(pack, BLOCKS), compression="none")
 
 
 def packed_cells(cells: DataFrame, number: int, edges: list[np.ndarray], classes: int) -> DataFrame:
@@ -157,7 +158,7 @@ def packed_cells(cells: DataFrame, number: int, edges: list[np.ndarray], classes
             block += 1
 
     dealt = cells.repartition(max(cells.sparkSession.sparkContext.defaultParallelism, -(-number // BLOCK_CELLS)))
-    return materialised(dealt.mapInArrow(pack, BLOCKS))
+    return materialised(dealt.mapInArrow(pack, BLOCKS), compression="none")
 
 
 class Job:
@@ -473,4 +474,4 @@ def _with_margins(blocks: DataFrame, job: Job, write: bool) -> DataFrame:
             yield _block(row["block"].as_py(), bins, label, roles, margins.astype(np.float32 if write else np.float64).tobytes())
 
     out = blocks.mapInArrow(update, BLOCKS)
-    return materialised(out) if write else out.persist()
+    return materialised(out, compression="none") if write else out.persist(StorageLevel.DISK_ONLY)

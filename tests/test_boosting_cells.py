@@ -1,7 +1,8 @@
-"""Boosting over counted cells gives the trees that it gives over rows."""
+"""Boosting over counted cells gives the trees that it gives over rows, and blocks take little memory."""
 
 import numpy as np
 import pytest
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from borelight.plans import boosting as B
@@ -54,6 +55,22 @@ def test_rows_of_a_cell_are_drawn_one_by_one(spark, monkeypatch):
     assert abs(p[0] - p[2]).max() < 0.05 and abs(p[1] - p[2]).max() < 0.05 and (p[0] != p[2]).any()
 
 
+def test_blocks_take_little_memory(spark):
+    """No margins are written before there are trees, what a file's piece holds is its size, and what Spark keeps lies on disk."""
+    rows = table(spark).where("_label >= 0").withColumn("_roles", F.array(F.lit(B.FIT)))
+    blocks = B.packed_blocks(rows, ["a", "b", "c"], [np.array([0.0])] * 3)
+    assert {len(r["margins"]) for r in blocks.collect()} == {0} and all(f.endswith(".parquet") and "snappy" not in f for f in blocks.inputFiles())
+    job = B.Job(1, 3, 3, 3)
+    t = B.Tree.empty(1)
+    t.value[0] = 0.5
+    job.recent = [{0: [t, B.Tree.empty(1), B.Tree.empty(1)]}]
+    kept = B._with_margins(blocks, job, False)
+    assert kept.storageLevel == StorageLevel.DISK_ONLY
+    got = np.concatenate([np.frombuffer(r["margins"]).reshape(-1, 3) for r in kept.collect()])
+    assert len(got) == rows.count() and (got == [0.5, 0.0, 0.0]).all()
+    kept.unpersist()
+
+
 def test_a_large_table_is_scored_as_row_by_row(spark):
     df = table(spark, 600).withColumnRenamed("_label", "lithology")
     b = L.train_lithology(df, ["a", "b", "c"], "boosted", rounds=3, boosted_depth=2).model
