@@ -151,11 +151,11 @@ def pruned(feature: list, cut: list, left: list, stats: list) -> tuple:
 
 
 def fit_forest(rows: DataFrame, features: list[str], classes: int, trees: int, depth: int, least: int, seed: int) -> Forest | None:
-    """A forest over `rows`: features without gaps, `weight` (one a class) and `_label`. None if they have more than FOREST_CELLS cells."""
+    """A forest over `rows`: features without gaps, `weight` (one a class, else its mean) and `_label`. None if they have more than FOREST_CELLS cells."""
     spark = rows.sparkSession
     probs = [i / POINTS for i in range(POINTS + 1)]
     about = rows.where("_label >= 0").groupBy(F.col("_label").cast("int").alias("k")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("weight").alias("w"), *[F.percentile_approx(f, probs, 10_000).alias(f"q{i}") for i, f in enumerate(features)]
+        F.count(F.lit(1)).alias("n"), F.when(F.min("weight") == F.max("weight"), F.max("weight")).otherwise(F.avg("weight")).alias("w"), *[F.percentile_approx(f, probs, 10_000).alias(f"q{i}") for i, f in enumerate(features)]
     ).collect()
     weight = np.zeros(classes)
     for r in about:
